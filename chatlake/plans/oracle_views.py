@@ -98,5 +98,8 @@ def with_views(names: list[str], body: str) -> str:
 
     for n in names:
         add(n)
+    if not order:
+        b = body.lstrip()
+        return "WITH " + b[1:].lstrip() if b.startswith(",") else body
     ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n]}\n)" for n in order)
     return f"WITH {ctes}\n{body}"
