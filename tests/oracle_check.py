@@ -20,6 +20,11 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+TYPE_MAP = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE",
+            "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT",
+            "array<string>": "VARCHAR[]", "array<float>": "FLOAT[]"}
+
+
 def norm(v):
     if v is None:
         return "NULL"
@@ -73,6 +78,7 @@ def main(argv):
         try:
             df = fn(spark, sf_dir)
             s_cols = df.columns
+            s_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
             s_rows = [tuple(r) for r in df.collect()]
         except Exception as e:  # noqa: BLE001
             print(f"ERROR     {name}: spark {type(e).__name__}: {str(e)[:400]}")
@@ -85,6 +91,7 @@ def main(argv):
         try:
             cur = con.execute(sqls[name])
             d_cols = [c[0] for c in cur.description]
+            d_types = {c[0]: str(c[1]) for c in cur.description}
             d_rows = cur.fetchall()
         except Exception as e:  # noqa: BLE001
             print(f"ERROR     {name}: duckdb {type(e).__name__}: {str(e)[:400]}")
@@ -99,7 +106,10 @@ def main(argv):
             diff_d = [r for r in dr if r not in set(sr)][:3]
             print(f"          only spark: {diff_s}\n          only duck:  {diff_d}")
         else:
-            print(f"OK        {name}: rows={len(sr)} ({ts:.1f}s)")
+            tmis = [(c, s_types.get(c), d_types.get(c)) for c in s_cols
+                    if TYPE_MAP.get(s_types.get(c), s_types.get(c)) != d_types.get(c)]
+            note = f" TYPES {tmis}" if tmis else ""
+            print(f"OK        {name}: rows={len(sr)} ({ts:.1f}s){note}")
     spark.stop()
     return 1 if bad else 0
 
