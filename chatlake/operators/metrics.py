@@ -250,13 +250,12 @@ def user_detail(users: DataFrame, tokens: DataFrame, msgs: DataFrame,
 def knowledge_summary(chunks: DataFrame) -> DataFrame:
     """AG19: per tradition chunk count and last insert time, plus the grand total.
 
-    The total is a second global aggregate (one row) cross-joined back; its
-    size is exactly one row, so broadcasting it is bounded.
+    The total is a window sum over the per-tradition aggregate, which has one
+    row per tradition (tiny), so the unpartitioned window is cheap.
     """
     per = chunks.groupBy("tradition").agg(F.count(F.lit(1)).alias("chunk_count"),
                                           F.max("created_at").alias("last_added"))
-    total = per.agg(F.sum("chunk_count").alias("total"))
-    return per.crossJoin(F.broadcast(total)).orderBy("tradition")
+    return per.withColumn("total", F.sum("chunk_count").over(Window.partitionBy())).orderBy("tradition")
 
 
 def _long(df: DataFrame, section: str, bucket: Column | None, metrics: list[str]) -> DataFrame:
