@@ -6,7 +6,7 @@ from chatlake.plans import registry
 from chatlake.plans import analytics  # noqa: F401
 
 _MODULES = ["chatlake.plans.text_plans", "chatlake.plans.knowledge_plans",
-            "chatlake.plans.state_plans", "chatlake.plans.limit_plans"]
+            "chatlake.plans.state_plans", "chatlake.plans.limit_plans", "chatlake.plans.stream_plans"]
 
 for _m in _MODULES:
     try:

@@ -94,6 +94,18 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def load_stream(spark: SparkSession, path: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """SC1 (stream): the same table as a file stream; ``path`` is a folder of parquet files.
+
+    ``pathGlobFilter`` picks the table's file(s), so a folder holding all
+    tables (like the test data) works as well as a folder of one table.
+    """
+    r = spark.readStream.schema(RAW_SCHEMAS[name]).option("pathGlobFilter", f"{name}*.parquet")
+    if files_per_batch:
+        r = r.option("maxFilesPerTrigger", files_per_batch)
+    return r.parquet(path)
+
+
 def ts_lit(value: str) -> Column:
     """A TIMESTAMP_NTZ literal, independent of ``spark.sql.timestampType``."""
     return F.expr(f"TIMESTAMP_NTZ '{value}'")
@@ -135,7 +147,11 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "events")
+    return dream_messages_from(load(spark, sf_dir, "events"))
+
+
+def dream_messages_from(e: DataFrame) -> DataFrame:
+    """dream_messages as a projection of an events DataFrame (batch or stream)."""
     even = F.col("event_id") % 2 == 0
     odd = F.col("event_id") % 2 == 1
     return e.select(
@@ -251,7 +267,12 @@ def sso_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = dream_messages(spark, sf_dir).where(F.col("id") % 3 == 0)
+    return feedback_events_from(dream_messages(spark, sf_dir))
+
+
+def feedback_events_from(msgs: DataFrame) -> DataFrame:
+    """feedback_events from a dream_messages DataFrame (batch or stream)."""
+    m = msgs.where(F.col("id") % 3 == 0)
     seq = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("seq")
     x = m.select("id", "user_id", "created_at", seq)
     r = (F.col("id") + F.col("seq")) % 3
