@@ -33,19 +33,14 @@ DIST_DECIMALS = 9
 
 # ------------------------------------------------------------------ KB1
 
-def chunk_column(text: Column, target_words: int = TARGET_WORDS, sep: str = BLANK_LINE_SEP) -> Column:
-    """Greedy paragraph packing of one text into chunks (array<string>).
+def _paragraphs(text: Column, sep: str) -> Column:
+    return F.filter(F.transform(F.split(text, sep, -1), lambda p: js_trim(p)), lambda p: p != "")
 
-    Paragraphs = split on ``sep``, JS-trimmed, empties dropped; words = split
-    on JS whitespace.  A paragraph starts a new chunk when the current chunk
-    is non-empty and would pass ``target_words``; a chunk over 1.6 x target is
-    closed at once (this never changes the output, kept for fidelity).
-    The fold only records chunk start indexes, so it is O(paragraphs + chunks^2).
-    """
-    paras = F.filter(F.transform(F.split(text, sep, -1), lambda p: js_trim(p)), lambda p: p != "")
-    words = F.transform(paras, lambda p: F.size(F.split(p, JS_WS_RUN, -1)))
+
+def _chunk_starts(words: Column, target_words: int) -> Column:
+    """1-based indexes of the paragraphs that open a chunk (greedy packing fold)."""
     cap = int(target_words * 1.6)
-    init = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("cur"), F.lit(0).alias("i"))
+    init = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("cur"), F.lit(1).alias("i"))
 
     def step(acc, w):
         new = (acc["cur"] == 0) | (acc["cur"] + w > target_words)
@@ -54,24 +49,46 @@ def chunk_column(text: Column, target_words: int = TARGET_WORDS, sep: str = BLAN
         starts = F.when(new, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"])
         return F.struct(starts.alias("starts"), nxt.alias("cur"), (acc["i"] + 1).alias("i"))
 
-    starts = F.aggregate(words, init, step)["starts"]
+    return F.aggregate(words, init, step)["starts"]
+
+
+def _chunks(paras: Column, starts: Column) -> Column:
     n = F.size(paras)
 
     def one(c):
         s = F.element_at(starts, c)
-        e = F.coalesce(F.try_element_at(starts, c + 1), n)
-        return F.array_join(F.slice(paras, s + 1, e - s), "\n\n")
+        e = F.coalesce(F.try_element_at(starts, c + 1), n + 1)
+        return F.array_join(F.slice(paras, s, e - s), "\n\n")
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.size(starts)), one)).otherwise(
-        F.array().cast("array<string>"))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(starts), F.lit(1))), one)
 
 
 def chunk_text(df: DataFrame, text_col: str = "text", key_cols: list[str] | None = None,
                target_words: int = TARGET_WORDS, sep: str = BLANK_LINE_SEP) -> DataFrame:
-    """KB1: one row per chunk: key columns, chunk_idx (0-based), content, n_words."""
+    """KB1: one row per chunk: key columns, chunk_idx (0-based), content, n_words.
+
+    Paragraphs = split on ``sep``, JS-trimmed, empties dropped; words = split
+    on JS whitespace.  A paragraph starts a new chunk when the current chunk
+    is non-empty and would pass ``target_words``; a chunk over 1.6 x target is
+    closed at once (this never changes the output; kept for fidelity).
+    Each intermediate array is its own column: Spark does not share common
+    subexpressions inside lambdas, and it will not collapse projections that
+    would duplicate these expensive expressions, so every array is built once.
+    The fold records only chunk start indexes: O(paragraphs + chunks^2).
+    """
     keys = key_cols if key_cols is not None else [c for c in df.columns if c != text_col]
-    x = df.select(*keys, F.posexplode(chunk_column(F.col(text_col), target_words, sep)).alias("chunk_idx", "content"))
-    return x.withColumn("n_words", F.size(F.split("content", JS_WS_RUN, -1)))
+    x = (df.select(*keys, _paragraphs(F.col(text_col), sep).alias("_p"))
+           .where(F.size("_p") > 0)
+           .withColumn("_w", F.transform("_p", lambda p: F.size(F.split(p, JS_WS_RUN, -1))))
+           .withColumn("_s", _chunk_starts(F.col("_w"), target_words))
+           .withColumn("_n", F.transform(F.sequence(F.lit(1), F.size("_s")), lambda c: F.aggregate(
+               F.slice("_w", F.element_at("_s", c),
+                       F.coalesce(F.try_element_at("_s", c + 1), F.size("_w") + 1) - F.element_at("_s", c)),
+               F.lit(0), lambda a, b: a + b)))
+           .withColumn("_c", _chunks(F.col("_p"), F.col("_s"))))
+    return (x.select(*keys, F.posexplode(F.arrays_zip(F.col("_c").alias("content"), F.col("_n").alias("n_words")))
+                     .alias("chunk_idx", "z"))
+             .select(*keys, "chunk_idx", "z.content", "z.n_words"))
 
 
 # ------------------------------------------------------------------ PF9 (knowledge), KB2
