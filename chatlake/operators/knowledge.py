@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlake.functions.semantics import BLANK_LINE_SEP, JS_WS_RUN, js_trim
+from chatlake.functions.semantics import BLANK_LINE_SEP, js_trim, js_word_count
 from chatlake.sources.lexicon import MAX_KNOWLEDGE_CHARS, MIN_KNOWLEDGE_CHARS
 
 TARGET_WORDS = 350
@@ -79,7 +79,7 @@ def chunk_text(df: DataFrame, text_col: str = "text", key_cols: list[str] | None
     keys = key_cols if key_cols is not None else [c for c in df.columns if c != text_col]
     x = (df.select(*keys, _paragraphs(F.col(text_col), sep).alias("_p"))
            .where(F.size("_p") > 0)
-           .withColumn("_w", F.transform("_p", lambda p: F.size(F.split(p, JS_WS_RUN, -1))))
+           .withColumn("_w", F.transform("_p", js_word_count))
            .withColumn("_s", _chunk_starts(F.col("_w"), target_words))
            .withColumn("_n", F.transform(F.sequence(F.lit(1), F.size("_s")), lambda c: F.aggregate(
                F.slice("_w", F.element_at("_s", c),
