@@ -275,26 +275,46 @@ def _flags(as_of: str) -> list[Column]:
             F.coalesce(after("created_at", as_of, "12 MONTHS"), F.lit(False)).alias("f12")]
 
 
+def _materialise(*dfs: DataFrame) -> list[DataFrame]:
+    """Write small intermediates once (reliable checkpoints in the shared folder) and read them back.
+
+    Used for the dashboard pre-aggregates, whose size is bounded by days x
+    dimension values, never by fact rows.  Unlike ``cache()`` this cuts the
+    lineage, survives executor loss, and is never matched by a later query.
+    The independent checkpoint jobs are submitted concurrently from driver
+    threads, so the scheduler runs them side by side.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from chatlake.session import checkpoint_dir
+    checkpoint_dir(dfs[0].sparkSession)
+    with ThreadPoolExecutor(max_workers=len(dfs)) as pool:
+        return list(pool.map(lambda d: d.checkpoint(eager=True), dfs))
+
+
 def dashboard(users: DataFrame, msgs: DataFrame, tokens: DataFrame,
               as_of: str = DEFAULT_AS_OF) -> dict[str, DataFrame]:
-    """AG21: every dashboard part as its own lazy DataFrame.
-
-    Each fact is first reduced to a small pre-aggregate at the grain that all
-    of its metrics need: (day, month, window flags, dimensions) with counts and
-    sums, plus user_id for user-role messages (the distinct counts need it).
-    Every part is rolled up from that pre-aggregate.  Because the parts share
-    one DataFrame per fact, a plan that combines them (``dashboard_long``)
-    reuses the pre-aggregate's shuffle: one scan per fact however many parts.
-    The grain is bounded by days x dimension values (x active users per day
-    for messages), not by fact rows.
+    """AG21: every dashboard part as its own DataFrame, from one scan per fact.
+
+    Each fact is reduced to a small pre-aggregate at the grain its metrics
+    need — (day, month, window flags, dimensions) with counts and sums — which
+    is materialised once and rolled up into every part.  Distinct users per
+    day (30 days) and per month (12 months) come from one GROUPING SETS
+    distinct aggregation over the 12-month slice (the time filter is pushed
+    into the scan).  Without materialising, Catalyst pushes each part's filter
+    below the shared aggregate and every part rescans the fact table.
     """
-    ub = (users.groupBy(*_flags(as_of), "login_source", (F.col("banned") == F.lit(True)).alias("is_banned"))
-               .agg(F.count(F.lit(1)).alias("n")))
-    mb = (msgs.groupBy(*_flags(as_of), "role", "category", "feedback",
-                       F.when(F.col("role") == "user", F.col("user_id")).alias("uid"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    tb = (tokens.groupBy(*_flags(as_of), model_group("model").alias("model_group"))
-                .agg(F.sum("total_tokens").alias("s"), F.count(F.lit(1)).alias("n")))
+    recent = (msgs.where((F.col("role") == "user") & after("created_at", as_of, "12 MONTHS"))
+                  .select(F.when(after("created_at", as_of, "30 DAYS"), F.to_date("created_at")).alias("day"),
+                          F.date_format("created_at", "yyyy-MM").alias("month"), "user_id"))
+    ub, mb, tb, au = _materialise(
+        users.groupBy(*_flags(as_of), "login_source", (F.col("banned") == F.lit(True)).alias("is_banned"))
+             .agg(F.count(F.lit(1)).alias("n")),
+        msgs.groupBy(*_flags(as_of), "role", "category", "feedback").agg(F.count(F.lit(1)).alias("n")),
+        tokens.groupBy(*_flags(as_of), model_group("model").alias("model_group"))
+              .agg(F.sum("total_tokens").alias("s"), F.count(F.lit(1)).alias("n")),
+        recent.groupingSets([["day"], ["month"]], "day", "month")
+              .agg(F.count_distinct("user_id").alias("count"), F.grouping_id().alias("gid")))
 
     n = F.col("n")
 
@@ -326,8 +346,8 @@ def dashboard(users: DataFrame, msgs: DataFrame, tokens: DataFrame,
             s_if((fb == "up") & F.col("f30")).alias("up_last_30_days"),
             s_if((fb == "down") & F.col("f30")).alias("down_last_30_days")),
         "dailyUsers": ub.where("f30").groupBy("day").agg(F.sum(n).alias("count")).orderBy("day"),
-        "dailyActiveUsers": (usr.where("f30").groupBy("day")
-                                .agg(F.count_distinct("uid").alias("count")).orderBy("day")),
+        "dailyActiveUsers": (au.where(F.col("day").isNotNull() & (F.col("gid") == 1))
+                               .select("day", "count").orderBy("day")),
         "dailyTokens": (tb.where("f30").groupBy("day")
                           .agg(zero_if_null(F.sum("s")).alias("count")).orderBy("day")),
         "dailyFeedback": (ai.where("f30").groupBy("day")
@@ -335,8 +355,8 @@ def dashboard(users: DataFrame, msgs: DataFrame, tokens: DataFrame,
                                  s_if(fb == "down").alias("down"), s_if(fb.isNull()).alias("none"))
                             .orderBy("day")),
         "monthlyUsers": ub.where("f12").groupBy("month").agg(F.sum(n).alias("count")).orderBy("month"),
-        "monthlyActiveUsers": (usr.where("f12").groupBy("month")
-                                  .agg(F.count_distinct("uid").alias("count")).orderBy("month")),
+        "monthlyActiveUsers": (au.where(F.col("month").isNotNull() & (F.col("gid") == 2))
+                                 .select("month", "count").orderBy("month")),
         "monthlyTokens": (tb.where("f12").groupBy("month")
                             .agg(zero_if_null(F.sum("s")).alias("count")).orderBy("month")),
         "topCategories": (usr.where(F.col("category").isNotNull()).groupBy("category")

@@ -30,6 +30,7 @@ def build_session(master: str | None = None, app: str = "chatlake",
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.driver.memory", os.environ.get("CHATLAKE_DRIVER_MEM", "16g"))
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.driver.host", "127.0.0.1")
          .config("spark.driver.bindAddress", "127.0.0.1"))
     for k, v in (extra or {}).items():

@@ -164,6 +164,7 @@ def feedback_stream(events: DataFrame, msgs: DataFrame, name: str = "feedback",
     q = (events.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{base}/ckpt")
                .trigger(availableNow=True).start())
     q.awaitTermination()
-    if state["path"] is None:
+    path = state["path"] or previous(2 ** 62)   # a restart with no new input: last snapshot on disk
+    if path is None:
         return spark.createDataFrame([], "message_id long, feedback string")
-    return spark.read.parquet(state["path"]).select("message_id", "feedback")
+    return spark.read.parquet(path).select("message_id", "feedback")
