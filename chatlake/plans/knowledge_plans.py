@@ -166,3 +166,18 @@ SELECT COUNT(*) AS deleted FROM knowledge_chunks WHERE tradition = 't3'"""))
 def kb6_count(spark, d):
     _, deleted = K.drop_tradition(T.knowledge_chunks(spark, d), "t3")
     return deleted
+
+
+# ---------------------------------------------------------------- SC5
+
+@register("SC5_knowledge_append", with_views(["knowledge_chunks"], """
+SELECT tradition, COUNT(*) AS chunk_count FROM knowledge_chunks GROUP BY tradition"""))
+def sc5(spark, d):
+    """Append the chunk table (partitioned by tradition) to a folder under the checkpoint dir; read it back."""
+    import uuid
+
+    from chatlake.session import checkpoint_dir
+    from chatlake.sources.sinks import append_knowledge
+    path = f"{checkpoint_dir(spark)}/knowledge-{uuid.uuid4().hex[:8]}"
+    append_knowledge(T.knowledge_chunks(spark, d), path)
+    return spark.read.parquet(path).groupBy("tradition").agg(F.count(F.lit(1)).alias("chunk_count"))
