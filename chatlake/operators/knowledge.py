@@ -119,6 +119,11 @@ def ingest(texts: DataFrame, key: str = "doc_id", vectorise_fn=None, sep: str =
         js_trim("text").alias("text"))
     chunks = chunk_text(ok, "text", [key, "tradition", "source_ref"], target_words, sep)
     if vectorise_fn is not None:
+        # The encoder fit and the transform both read the chunks: write them once
+        # (reliable checkpoint in the shared folder) instead of chunking twice.
+        from chatlake.session import checkpoint_dir
+        checkpoint_dir(chunks.sparkSession)
+        chunks = chunks.checkpoint(eager=True)
         chunks = vectorise_fn(chunks)
     else:
         chunks = chunks.withColumn("embedding", F.lit(None).cast("array<float>"))

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,22 +33,24 @@ def _to_us(s: pd.Series) -> np.ndarray:
     return s.to_numpy().astype("datetime64[us]").astype(np.int64)
 
 
-def _rate_fold(key: str, ts: str, window_us: int, max_count: int):
+def _rate_fold(group: list[str], ts: str, window_us: int, max_count: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_key, start, count = None, None, 0
+        cur, start, count = None, None, 0
         for pdf in it:
             n = len(pdf)
             if n == 0:
                 continue
-            keys = pdf[key].to_numpy()
+            cols = [pdf[g].to_numpy() for g in group]
             t = _to_us(pdf[ts])
             limited = np.zeros(n, dtype=bool)
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            bounds = np.concatenate(([0], cuts, [n]))
+            change = np.zeros(n - 1, dtype=bool)
+            for c in cols:
+                change |= c[1:] != c[:-1]
+            bounds = np.concatenate(([0], np.flatnonzero(change) + 1, [n]))
             for a, b in zip(bounds[:-1], bounds[1:]):
-                k = keys[a]
-                if cur_key is None or k != cur_key:
-                    cur_key, start, count = k, None, 0
+                k = tuple(c[a] for c in cols)
+                if cur is None or k != cur:
+                    cur, start, count = k, None, 0
                 seg = t[a:b]
                 i = 0
                 while i < b - a:
@@ -66,19 +68,77 @@ def _rate_fold(key: str, ts: str, window_us: int, max_count: int):
     return run
 
 
+def _micros(ts: str) -> Column:
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{ts}`)")
+
+
+def hot_keys(df: DataFrame, key: str, share: float | None = None) -> DataFrame:
+    """Keys holding more than ``share`` of all rows (default 1 / (2 x parallelism)).
+
+    At most 1/share keys qualify, so the list is bounded; it is collected once
+    (two small jobs: a row count and a per-key count filtered by the bound)
+    and returned as a small DataFrame that is safe to broadcast.
+    """
+    spark = df.sparkSession
+    share = share if share is not None else 1.0 / (2 * spark.sparkContext.defaultParallelism)
+    total = df.count()
+    rows = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+              .where(F.col("_n") > F.lit(total * share)).select(key).collect())
+    return spark.createDataFrame(rows, T.StructType([df.schema[key]]))
+
+
+def idle_sessions(df: DataFrame, key: str, ts: str, gap_ms: int, bucket_ms: int | None = None) -> DataFrame:
+    """Session number per (key, time bucket): a session starts after an idle gap > ``gap_ms``.
+
+    Gaps are found between consecutive non-empty buckets from a per-(key,
+    bucket) min/max summary (a partial aggregate, skew-safe); its size per key
+    is bounded by the key's time span / bucket, not by its rows.  Buckets are
+    at least as long as the gap, so no break is missed across buckets and
+    none is needed inside one.  Returns (key, _bk, _sess).
+    """
+    b_us = max(gap_ms, bucket_ms or 600_000) * 1000
+    x = df.select(key, _micros(ts).alias("_us")).withColumn("_bk", F.floor(F.col("_us") / b_us))
+    summ = x.groupBy(key, "_bk").agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
+    w = Window.partitionBy(key).orderBy("_bk")
+    brk = (F.lag("_hi").over(w).isNull() | (F.col("_lo") - F.lag("_hi").over(w) > gap_ms * 1000)).cast("long")
+    return (summ.withColumn("_brk", brk)
+                .withColumn("_sess", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+                .select(key, "_bk", "_sess"))
+
+
 def rate_limit(df: DataFrame, key: str, ts: str, window_ms: int, max_count: int,
-               tie: str | None = None, partitions: int | None = None) -> DataFrame:
+               tie: str | None = None, partitions: int | None = None, split_hot: bool = True) -> DataFrame:
     """RL1: add ``limited`` per event, anchored windows per key.
 
     Per key, in (ts, tie) order: an event starts a new window (count 1) if
     there is none or ``ts - start > window`` (strict); else it is limited if
     count >= max (count and start unchanged); else count + 1.
+
+    Hot keys (see ``hot_keys``) are split into sessions at idle gaps longer
+    than the window: the first event after such a gap always opens a window,
+    so sessions are independent and fold in parallel.  The session map covers
+    only hot keys and is broadcast (bounded by hot keys x time buckets).
     """
-    order = [key, ts] + ([tie] if tie else [])
-    parts = df.repartition(partitions, key) if partitions else df.repartition(key)
-    srt = parts.sortWithinPartitions(*order)
     schema = T.StructType(df.schema.fields + [T.StructField("limited", T.BooleanType(), False)])
-    return srt.mapInPandas(_rate_fold(key, ts, window_ms * US_PER_MS, max_count), schema)
+    group = [key]
+    x = df
+    if split_hot:
+        hot = hot_keys(df, key)
+        if not hot.isEmpty():
+            b_us = max(window_ms, 600_000) * 1000
+            hot_rows = df.join(F.broadcast(hot), key, "left_semi")
+            sess = idle_sessions(hot_rows, key, ts, window_ms)
+            x = (df.withColumn("_bk", F.floor(_micros(ts) / b_us))
+                   .join(F.broadcast(sess), [key, "_bk"], "left")
+                   .withColumn("_sess", F.coalesce(F.col("_sess"), F.lit(0)))
+                   .drop("_bk"))
+            group = [key, "_sess"]
+    order = group + [ts] + ([tie] if tie else [])
+    parts = x.repartition(partitions, *group) if partitions else x.repartition(*group)
+    srt = parts.sortWithinPartitions(*order)
+    inner = T.StructType(x.schema.fields + [T.StructField("limited", T.BooleanType(), False)])
+    out = srt.mapInPandas(_rate_fold(group, ts, window_ms * US_PER_MS, max_count), inner)
+    return out.select(*[f.name for f in schema.fields])
 
 
 # The chat request limits (per minute).
@@ -109,7 +169,7 @@ def rolling_counts(df: DataFrame, key: str, ts: str, window_minutes: int, tie: s
     partition spans at most two window lengths of one key.
     """
     w_us = window_minutes * 60 * 1_000_000
-    us = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {ts})")
+    us = _micros(ts)
     base = df.withColumn("_us", us).withColumn("_b", F.floor(F.col("_us") / w_us))
     own = base.withColumn("_own", F.lit(True))
     ctx = base.withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False))

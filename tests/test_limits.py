@@ -122,3 +122,23 @@ def test_rolling_sends_hot_email_split_by_time(spark):
     # sends every 5 minutes: two earlier sends are strictly within 15 min, eleven within 1 h
     assert res[39] == (2, 11)
     assert res[0] == (0, 0) and res[1] == (1, 1)
+
+
+def test_hot_key_split_at_idle_gaps(spark):
+    rnd = random.Random(11)
+    ev, i = [], 0
+    for burst in range(12):                                   # 12 bursts of the hot key, 2 h apart
+        base = T0 + dt.timedelta(hours=2 * burst)
+        for _ in range(300):
+            ev.append(("hot", base + dt.timedelta(milliseconds=rnd.randrange(0, 600_000)), i))
+            i += 1
+    for k in range(40):                                       # many small keys
+        for _ in range(5):
+            ev.append((f"k{k}", T0 + dt.timedelta(seconds=rnd.randrange(0, 86_400)), i))
+            i += 1
+    df = spark.createDataFrame(ev, "k string, ts timestamp_ntz, id long")
+    assert [r["k"] for r in L.hot_keys(df, "k").collect()] == ["hot"]
+    sess = L.idle_sessions(df.where("k = 'hot'"), "k", "ts", 60_000)
+    assert sess.select("_sess").distinct().count() == 12
+    got = {r["id"]: r["limited"] for r in L.rate_limit(df, "k", "ts", 60_000, 4, tie="id").collect()}
+    assert got == py_rate_limit(ev, 60_000, 4)
