@@ -549,10 +549,4 @@ def users_page(users: DataFrame, sessions: DataFrame, tokens: DataFrame, page=1,
     return paginate(j, [pg_desc("created_at"), F.col("id").desc()], page, clamp_limit(limit))
 
 
-def display_name(first: Column | str, last: Column | str, email: Column | str) -> Column:
-    """SF2: trim(first + ' ' + last) else email else 'User' (JS ``||`` chain)."""
-    f = F.col(first) if isinstance(first, str) else first
-    l = F.col(last) if isinstance(last, str) else last
-    e = F.col(email) if isinstance(email, str) else email
-    full = js_trim(F.concat(F.coalesce(f, F.lit("")), F.lit(" "), F.coalesce(l, F.lit(""))))
-    return (F.when(full != "", full).when(F.coalesce(e, F.lit("")) != "", e).otherwise(F.lit("User")))
+from chatlake.functions.scalars import display_name  # noqa: E402,F401  (SF2, kept importable here)

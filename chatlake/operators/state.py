@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatlake.functions.scalars import suspension_end
 from chatlake.functions.semantics import js_int_or, nullif_empty
 from chatlake.sources.tables import DEFAULT_AS_OF, ts_lit
 
@@ -157,8 +158,7 @@ def apply_actions(users: DataFrame, actions: DataFrame, as_of: str = DEFAULT_AS_
     rejects = v.where(F.col("reject").isNotNull()).select("seq", "target_id", "action", "reject")
     ok = v.where(F.col("reject").isNull())
     now = ts_lit(as_of)
-    until = now + F.make_interval(F.lit(0), F.col("_months").cast("int"), F.lit(0), F.col("_days").cast("int"),
-                                  F.col("_hours").cast("int"), F.col("_minutes").cast("int"), F.lit(0))
+    until = suspension_end(now, "_months", "_days", "_hours", "_minutes")
     reason = nullif_empty("reason")
     act = F.col("action")
     per = ok.groupBy(F.col("target_id").alias("id")).agg(
