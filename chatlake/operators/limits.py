@@ -133,7 +133,10 @@ def rate_limit(df: DataFrame, key: str, ts: str, window_ms: int, max_count: int,
                    .withColumn("_sess", F.coalesce(F.col("_sess"), F.lit(0)))
                    .drop("_bk"))
             group = [key, "_sess"]
-    order = group + [ts] + ([tie] if tie else [])
+    # A total order, so a recomputed partition (lost executor) folds identically:
+    # without an explicit tie column, every remaining column breaks ties.
+    rest = [c for c in df.columns if c not in (key, ts)]
+    order = group + [ts] + ([tie] if tie else rest)
     parts = x.repartition(partitions, *group) if partitions else x.repartition(*group)
     srt = parts.sortWithinPartitions(*order)
     inner = T.StructType(x.schema.fields + [T.StructField("limited", T.BooleanType(), False)])

@@ -25,9 +25,14 @@ ACTIONS = ["delete", "ban", "unban", "suspend", "unsuspend"]
 
 
 def _latest(df: DataFrame, key: str | list[str], order: list[str], cols: list[str]) -> DataFrame:
-    """Latest row per key by ``order`` (max_by over a struct, skew-safe)."""
+    """Latest row per key by ``order`` (max_by over a struct, skew-safe).
+
+    Ties in ``order`` are broken by the value columns, so the pick is the same
+    when a partition is recomputed after an executor loss.
+    """
     keys = [key] if isinstance(key, str) else key
-    pick = F.max_by(F.struct(*cols), F.struct(*order)).alias("_l")
+    tie = [c for c in cols if c not in order]
+    pick = F.max_by(F.struct(*cols), F.struct(*order, *tie)).alias("_l")
     return df.groupBy(*keys).agg(pick).select(*keys, "_l.*")
 
 
