@@ -202,56 +202,137 @@ def rolling_sends(log: DataFrame) -> DataFrame:
 
 OTP_TTL_US = 10 * 60 * 1_000_000
 OTP_MAX_ATTEMPTS = 5
+# After at most this many valid attempts the code is gone (ok, expired or too many).
+OTP_DECISIVE = OTP_MAX_ATTEMPTS + 1
 
 
-def _otp_fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cur, h, exp, att = None, None, None, 0
+def _otp_step(state, kind, t, hsh, fmt_ok):
+    """One event of the OTP state machine: (state, event) -> (state, outcome).
+
+    state = (code_hash or None, expires_us, attempts).
+    """
+    h, exp, att = state
+    if kind == "send":
+        return (hsh, t + OTP_TTL_US, 0), "sent"
+    if hsh is None:
+        return state, "missing"
+    if not fmt_ok:
+        return state, "bad_format"
+    if h is None:
+        return state, "no_code"
+    if exp < t:
+        return (None, exp, att), "expired"
+    if att >= OTP_MAX_ATTEMPTS:
+        return (None, exp, att), "too_many"
+    if hsh != h:
+        return (h, exp, att + 1), "incorrect"
+    return (None, exp, att), "ok"
+
+
+FRESH = (None, None, 0)
+
+
+def _otp_rows(pdf: pd.DataFrame):
+    return zip(pdf["email"].tolist(), pdf["kind"].tolist(), _to_us(pdf["ts"]).tolist(),
+               pdf["code_hash"].tolist(), pdf["format_ok"].tolist())
+
+
+def _otp_summary(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pass 1: per partition, what a carried-in state needs and the local end state.
+
+    first run (the partition's first e-mail): whether it has a send, and its
+    first ``OTP_DECISIVE`` valid attempts before that send (all a carried-in
+    state can react to); last run: its end state from a fresh start (exact if
+    the run has a send or began in this partition).
+    """
+    pid, first, last, has_send, pre, state = None, None, None, False, [], FRESH
     for pdf in it:
         if pdf.empty:
             continue
-        em = pdf["email"].tolist()
-        t = _to_us(pdf["ts"]).tolist()
-        kind = pdf["kind"].tolist()
-        code_ok = pdf["format_ok"].tolist()
-        hashes = pdf["code_hash"].tolist()
-        out = []
-        for i in range(len(pdf)):
-            if em[i] != cur:
-                cur, h, exp, att = em[i], None, None, 0
-            if kind[i] == "send":
-                h, exp, att = hashes[i], t[i] + OTP_TTL_US, 0
-                out.append("sent")
-            elif hashes[i] is None:
-                out.append("missing")
-            elif not code_ok[i]:
-                out.append("bad_format")
-            elif h is None:
-                out.append("no_code")
-            elif exp < t[i]:
-                h = None
-                out.append("expired")
-            elif att >= OTP_MAX_ATTEMPTS:
-                h = None
-                out.append("too_many")
-            elif hashes[i] != h:
-                att += 1
-                out.append("incorrect")
-            else:
-                h = None
-                out.append("ok")
-        yield pd.DataFrame({"id": pdf["id"].to_numpy(), "outcome": out})
-
-
-def otp_outcomes(events: DataFrame) -> DataFrame:
+        pid = int(pdf["_pid"].iloc[0])
+        for em, kind, t, hsh, ok in _otp_rows(pdf):
+            if first is None:
+                first = em
+            if em != last:
+                last, state = em, FRESH
+            if em == first and not has_send:
+                if kind == "send":
+                    has_send = True
+                elif hsh is not None and ok and len(pre) < OTP_DECISIVE:
+                    pre.append((t, hsh))
+            state, _ = _otp_step(state, kind, t, hsh, ok)
+    if pid is None:
+        return
+    yield pd.DataFrame({"pid": [pid], "first": [first], "last": [last], "has_send": [has_send],
+                        "pre_t": [[t for t, _ in pre]], "pre_h": [[h for _, h in pre]],
+                        "end_h": [state[0]], "end_exp": [state[1]], "end_att": [state[2]]})
+
+
+def _otp_carry(summaries: list) -> dict[int, tuple]:
+    """Driver scan over partition summaries (one small row per partition) → carried-in state."""
+    carry_in: dict[int, tuple] = {}
+    email, state = None, FRESH
+    for r in sorted(summaries, key=lambda r: r["pid"]):
+        if r["first"] == email:
+            carry_in[r["pid"]] = state
+            start = state
+        else:
+            start = FRESH
+        end_local = (r["end_h"], r["end_exp"], r["end_att"])
+        if r["first"] == r["last"] and not r["has_send"]:
+            st = start
+            for t, h in zip(r["pre_t"], r["pre_h"]):
+                st, _ = _otp_step(st, "attempt", t, h, True)
+            state = st
+        else:
+            state = end_local
+        email = r["last"]
+    return carry_in
+
+
+def _otp_fold(carry_in: dict[int, tuple]):
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cur, state = None, FRESH
+        for pdf in it:
+            if pdf.empty:
+                continue
+            pid = int(pdf["_pid"].iloc[0])
+            if cur is None and pid in carry_in:
+                cur, state = pdf["email"].iloc[0], carry_in[pid]
+            out = []
+            for em, kind, t, hsh, ok in _otp_rows(pdf):
+                if em != cur:
+                    cur, state = em, FRESH
+                state, o = _otp_step(state, kind, t, hsh, ok)
+                out.append(o)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "outcome": out})
+    return run
+
+
+def otp_outcomes(events: DataFrame, partitions: int | None = None) -> DataFrame:
     """OT2: outcome of every OTP send and verify attempt, in time order per e-mail.
 
     ``events``: id, email, ts, kind ('send' | 'attempt'), code.  Codes are
-    hashed (SHA-256 hex) and format-checked in the JVM; the fold compares
-    hashes only.  Codes live 10 minutes, at most 5 wrong attempts, a new send
-    replaces the code.  Returns (id, outcome).
+    hashed (SHA-256 hex) and format-checked in the JVM.  Codes live 10
+    minutes, at most 5 wrong attempts, a new send replaces the code.
+
+    Skew: events are range-partitioned by (email, ts, id), so a hot e-mail
+    spans many partitions, and materialised once (reliable checkpoint) so both
+    passes see the same partitions.  A carried-in state can only react to the
+    next few valid attempts before the next send, so each partition ships one
+    small summary row; the driver scans those rows (bounded by the partition
+    count) and each partition then folds from its exact carry-in.
+    Returns (id, outcome).
     """
+    from chatlake.session import checkpoint_dir
     x = events.select("id", "email", "ts", "kind",
                       F.when(F.coalesce(F.col("code"), F.lit("")) != "", F.sha2(F.col("code"), 256)).alias("code_hash"),
                       F.coalesce(col_("code").rlike("^[0-9]{6}$"), F.lit(False)).alias("format_ok"))
-    srt = x.repartition("email").sortWithinPartitions("email", "ts", "id")
-    return srt.mapInPandas(_otp_fold, "id long, outcome string")
+    n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    checkpoint_dir(events.sparkSession)
+    srt = (x.repartitionByRange(n, "email", "ts", "id").sortWithinPartitions("email", "ts", "id")
+            .checkpoint(eager=True).withColumn("_pid", F.spark_partition_id()))
+    summary_schema = ("pid int, first string, last string, has_send boolean, pre_t array<long>, "
+                      "pre_h array<string>, end_h string, end_exp long, end_att int")
+    summaries = [r.asDict() for r in srt.mapInPandas(_otp_summary, summary_schema).collect()]
+    return srt.mapInPandas(_otp_fold(_otp_carry(summaries)), "id long, outcome string")

@@ -142,3 +142,49 @@ def test_hot_key_split_at_idle_gaps(spark):
     assert sess.select("_sess").distinct().count() == 12
     got = {r["id"]: r["limited"] for r in L.rate_limit(df, "k", "ts", 60_000, 4, tie="id").collect()}
     assert got == py_rate_limit(ev, 60_000, 4)
+
+
+def py_otp(rows):
+    """Independent row-by-row OTP fold over (id, email, ts, kind, code) rows."""
+    out, st = {}, {}
+    for i, em, ts, kind, code in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        h, exp, att = st.get(em, (None, None, 0))
+        if kind == "send":
+            st[em] = (code, ts + dt.timedelta(minutes=10), 0)
+            out[i] = "sent"
+        elif not code:
+            out[i] = "missing"
+        elif not (len(code) == 6 and code.isdigit()):
+            out[i] = "bad_format"
+        elif h is None:
+            out[i] = "no_code"
+        elif exp < ts:
+            st[em] = (None, exp, att)
+            out[i] = "expired"
+        elif att >= 5:
+            st[em] = (None, exp, att)
+            out[i] = "too_many"
+        elif code != h:
+            st[em] = (h, exp, att + 1)
+            out[i] = "incorrect"
+        else:
+            st[em] = (None, exp, att)
+            out[i] = "ok"
+    return out
+
+
+def test_otp_hot_email_across_partitions(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(4000):
+        em = "hot@x.io" if rnd.random() < 0.7 else f"u{rnd.randrange(30)}@x.io"
+        ts = T0 + dt.timedelta(seconds=rnd.randrange(0, 6 * 3600))
+        if rnd.random() < 0.08:
+            rows.append((i, em, ts, "send", str(rnd.randrange(3))*6))
+        else:
+            r = rnd.random()
+            code = str(rnd.randrange(3)) * 6 if r < 0.9 else ("12a456" if r < 0.95 else None)
+            rows.append((i, em, ts, "attempt", code))
+    df = spark.createDataFrame(rows, "id long, email string, ts timestamp_ntz, kind string, code string")
+    got = {r["id"]: r["outcome"] for r in L.otp_outcomes(df, partitions=13).collect()}
+    assert got == py_otp(rows)
