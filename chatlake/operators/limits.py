@@ -87,25 +87,6 @@ def hot_keys(df: DataFrame, key: str, share: float | None = None) -> DataFrame:
     return spark.createDataFrame(rows, T.StructType([df.schema[key]]))
 
 
-def idle_sessions(df: DataFrame, key: str, ts: str, gap_ms: int, bucket_ms: int | None = None) -> DataFrame:
-    """Session number per (key, time bucket): a session starts after an idle gap > ``gap_ms``.
-
-    Gaps are found between consecutive non-empty buckets from a per-(key,
-    bucket) min/max summary (a partial aggregate, skew-safe); its size per key
-    is bounded by the key's time span / bucket, not by its rows.  Buckets are
-    at least as long as the gap, so no break is missed across buckets and
-    none is needed inside one.  Returns (key, _bk, _sess).
-    """
-    b_us = max(gap_ms, bucket_ms or 600_000) * 1000
-    x = df.select(key, _micros(ts).alias("_us")).withColumn("_bk", F.floor(F.col("_us") / b_us))
-    summ = x.groupBy(key, "_bk").agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
-    w = Window.partitionBy(key).orderBy("_bk")
-    brk = (F.lag("_hi").over(w).isNull() | (F.col("_lo") - F.lag("_hi").over(w) > gap_ms * 1000)).cast("long")
-    return (summ.withColumn("_brk", brk)
-                .withColumn("_sess", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                .select(key, "_bk", "_sess"))
-
-
 def rate_limit(df: DataFrame, key: str, ts: str, window_ms: int, max_count: int,
                tie: str | None = None, partitions: int | None = None, split_hot: bool = True) -> DataFrame:
     """RL1: add ``limited`` per event, anchored windows per key.
@@ -114,34 +95,125 @@ def rate_limit(df: DataFrame, key: str, ts: str, window_ms: int, max_count: int,
     there is none or ``ts - start > window`` (strict); else it is limited if
     count >= max (count and start unchanged); else count + 1.
 
-    Hot keys (see ``hot_keys``) are split into sessions at idle gaps longer
-    than the window: the first event after such a gap always opens a window,
-    so sessions are independent and fold in parallel.  The session map covers
-    only hot keys and is broadcast (bounded by hot keys x time buckets).
+    Ordinary keys fold in ``mapInPandas`` over key-partitioned, sorted data.
+    Hot keys (``hot_keys``: a bounded list) take ``rate_limit_doubling``, whose
+    work is spread over (key, time bucket) partitions and position joins, so no
+    task ever holds a hot key.
     """
     schema = T.StructType(df.schema.fields + [T.StructField("limited", T.BooleanType(), False)])
-    group = [key]
-    x = df
+    # A total order, so a recomputed partition (lost executor) folds identically:
+    # without an explicit tie column, every remaining column breaks ties.
+    ties = [tie] if tie else [c for c in df.columns if c not in (key, ts)]
+    cold = df
+    hot_part = None
     if split_hot:
         hot = hot_keys(df, key)
         if not hot.isEmpty():
-            b_us = max(window_ms, 600_000) * 1000
-            hot_rows = df.join(F.broadcast(hot), key, "left_semi")
-            sess = idle_sessions(hot_rows, key, ts, window_ms)
-            x = (df.withColumn("_bk", F.floor(_micros(ts) / b_us))
-                   .join(F.broadcast(sess), [key, "_bk"], "left")
-                   .withColumn("_sess", F.coalesce(F.col("_sess"), F.lit(0)))
-                   .drop("_bk"))
-            group = [key, "_sess"]
-    # A total order, so a recomputed partition (lost executor) folds identically:
-    # without an explicit tie column, every remaining column breaks ties.
-    rest = [c for c in df.columns if c not in (key, ts)]
-    order = group + [ts] + ([tie] if tie else rest)
-    parts = x.repartition(partitions, *group) if partitions else x.repartition(*group)
-    srt = parts.sortWithinPartitions(*order)
-    inner = T.StructType(x.schema.fields + [T.StructField("limited", T.BooleanType(), False)])
-    out = srt.mapInPandas(_rate_fold(group, ts, window_ms * US_PER_MS, max_count), inner)
-    return out.select(*[f.name for f in schema.fields])
+            hot = F.broadcast(hot)
+            cold = df.join(hot, key, "left_anti")
+            hot_part = rate_limit_doubling(df.join(hot, key, "left_semi"), [key], ts, ties, window_ms, max_count)
+    parts = cold.repartition(partitions, key) if partitions else cold.repartition(key)
+    srt = parts.sortWithinPartitions(key, ts, *ties)
+    out = srt.mapInPandas(_rate_fold([key], ts, window_ms * US_PER_MS, max_count), schema)
+    if hot_part is not None:
+        out = out.unionByName(hot_part.select(*[f.name for f in schema.fields]))
+    return out
+
+
+def rate_limit_doubling(df: DataFrame, group: list[str], ts: str, ties: str | list[str], window_ms: int,
+                        max_count: int) -> DataFrame:
+    """RL1 for very large groups, exact and parallel: window starts by pointer doubling.
+
+    Events are bucketed by W = window; every window has the form
+    [start, nxt(start)) where nxt(i) = first event with ts > ts_i + W, and the
+    starts are the orbit of a group's first event under nxt.
+
+    * positions: row_number within (group, bucket) + bucket offsets from a
+      per-bucket summary (bounded by time span / W, not by rows);
+    * nxt: ts_i + W always falls in bucket b+1, so nxt is the next event after
+      it inside bucket b+1 (a running ``last(ignorenulls)`` in reverse order)
+      or else the first position after bucket b+1;
+    * starts are more than W apart, so at most one per bucket: the orbit has at
+      most #buckets nodes and ceil(log2(#buckets)) doubling rounds
+      (J_{k+1} = J_k o J_k, key joins on position, checkpointed each round)
+      find it;
+    * an event's window start is in its own or the previous bucket: two key
+      joins, then ``limited = position - start >= max``.
+
+    Every window operator is partitioned by (group, bucket), so no task holds
+    more than one window-length of a group's events.  ``ties`` must make
+    (group, ts, ties) unique.
+    """
+    ties = [ties] if isinstance(ties, str) else list(ties)
+    from chatlake.functions.joins import broadcast_if_small
+    from chatlake.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    w_us = window_ms * US_PER_MS
+    x = df.withColumn("_us", _micros(ts)).withColumn("_b", F.floor(F.col("_us") / w_us))
+
+    # bucket summary: count, offset (events in earlier buckets), size of bucket b+1, group size
+    bs = x.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    wg = Window.partitionBy(*group).orderBy("_b")
+    bs = (bs.withColumn("_off", F.coalesce(F.sum("_cnt").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+            .withColumn("_next_cnt", F.when(F.lead("_b").over(wg) == F.col("_b") + 1, F.lead("_cnt").over(wg))
+                                      .otherwise(F.lit(0)))
+            .withColumn("_n", F.sum("_cnt").over(Window.partitionBy(*group))))
+    bs = bs.checkpoint(eager=True)
+    wb = Window.partitionBy(*group, "_b").orderBy("_us", *ties)
+    ev = (x.join(broadcast_if_small(bs), [*group, "_b"])
+           .withColumn("_pos", (F.col("_off") + F.row_number().over(wb) - 1).cast("long")))
+    ev = ev.checkpoint(eager=True)
+
+    # nxt: probes at ts + W, resolved against the events of bucket b+1
+    probes = ev.select(*group, (F.col("_b") + 1).alias("_b"), (F.col("_us") + w_us).alias("_t"),
+                       F.lit(1).alias("_type"), F.col("_pos").alias("_src"), F.lit(None).cast("long").alias("_p"),
+                       (F.col("_off") + F.col("_cnt") + F.col("_next_cnt")).alias("_fallback"), "_n")
+    events = ev.select(*group, "_b", F.col("_us").alias("_t"), F.lit(0).alias("_type"),
+                       F.lit(None).cast("long").alias("_src"), F.col("_pos").alias("_p"),
+                       F.lit(None).cast("long").alias("_fallback"), "_n")
+    # descending (time, type, position): the running last() is then the nearest event
+    # strictly after the probe, and among equal times the one with the smallest position
+    rev = (Window.partitionBy(*group, "_b").orderBy(F.col("_t").desc(), F.col("_type").desc(),
+                                                    F.col("_p").desc_nulls_first())
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = (probes.unionByName(events)
+                   .withColumn("_hit", F.last("_p", ignorenulls=True).over(rev))
+                   .where(F.col("_type") == 1))
+    nxt = F.coalesce(F.col("_hit"), F.col("_fallback"))
+    jump = found.select(*group, F.col("_src").alias("_pos"),
+                        F.when(nxt < F.col("_n"), nxt).cast("long").alias("_j")).checkpoint(eager=True)
+
+    # doubling: J_k = nxt^(2^k); orbit of position 0 = starts
+    rounds = int(bs.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 1)
+    k_max = max(1, int(np.ceil(np.log2(rounds + 1))))
+    starts = bs.select(*group).distinct().withColumn("_pos", F.lit(0).cast("long"))
+    j = jump
+    for k in range(k_max):
+        nxt_nodes = (starts.join(j, [*group, "_pos"]).where(F.col("_j").isNotNull())
+                        .select(*group, F.col("_j").alias("_pos")))
+        starts = starts.unionByName(nxt_nodes).distinct().checkpoint(eager=True)
+        # starts now holds nxt^d(0) for d < 2^(k+1); fewer nodes than that means the orbit ended
+        longest = starts.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
+        if longest < 2 ** (k + 1):
+            break
+        if k + 1 < k_max:
+            a = j.alias("a")
+            b = j.alias("b")
+            cond = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in group] + [F.col("a._j") == F.col("b._pos")]
+            j = (a.join(b, cond, "left")
+                  .select(*[F.col(f"a.{c}").alias(c) for c in group], F.col("a._pos").alias("_pos"),
+                          F.col("b._j").alias("_j"))
+                  .checkpoint(eager=True))
+
+    # window start per event: the start in its own bucket (if not after it) or in the previous one
+    st = starts.join(ev.select(*group, "_pos", "_b"), [*group, "_pos"]).select(*group, "_b", F.col("_pos").alias("_s"))
+    st = broadcast_if_small(st.checkpoint(eager=True))
+    cur = st.withColumnRenamed("_s", "_s0")
+    prev = st.withColumn("_b", F.col("_b") + 1).withColumnRenamed("_s", "_s1")
+    out = ev.join(cur, [*group, "_b"], "left").join(prev, [*group, "_b"], "left")
+    start = F.when(F.col("_s0") <= F.col("_pos"), F.col("_s0")).otherwise(F.col("_s1"))
+    return (out.withColumn("limited", (F.col("_pos") - start) >= max_count)
+               .drop("_us", "_b", "_cnt", "_off", "_next_cnt", "_n", "_pos", "_s0", "_s1"))
 
 
 # The chat request limits (per minute).

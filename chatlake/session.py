@@ -41,17 +41,18 @@ def build_session(master: str | None = None, app: str = "chatlake",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir`` if set.
+    """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir``.
 
-    Only when it is unset (local tests) do we pick a scratch folder, and we
-    register it with the context so ``DataFrame.checkpoint()`` works.
+    Only when nothing is configured (a bare local session) is a scratch folder
+    chosen.  ``spark.checkpoint.dir`` is a core setting and cannot be changed
+    at run time, so the folder is registered with the context instead.
     """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
     if not d:
         import tempfile
         d = tempfile.mkdtemp(prefix="chatlake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir()

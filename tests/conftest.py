@@ -18,7 +18,7 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from chatlake.session import build_session
     s = build_session(master="local[4]", app="chatlake-tests", shuffle_partitions=8)
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="chatlake-test-ckpt-"))
+    if not s.sparkContext.getCheckpointDir() and not s.conf.get("spark.checkpoint.dir", None):
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chatlake-test-ckpt-"))
     yield s
     s.stop()
