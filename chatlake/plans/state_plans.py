@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chatlake.operators import state as S
 from chatlake.operators import text as X
+from chatlake.plans.limit_plans import _rl_sql
 from chatlake.plans.oracle_views import with_views
 from chatlake.plans.registry import register
 from chatlake.sources import tables as T
@@ -332,3 +333,42 @@ FROM r LEFT JOIN users u ON u.id = r.user_id"""))
 def pf10(spark, d):
     g = S.account_gate(requests(spark, d), T.users(spark, d), T.app_settings(spark))
     return g.select("request_id", "gate")
+
+
+def _gate_sql_base() -> str:
+    return """
+r AS (SELECT conv_id * 100 + turn AS request_id, CASE WHEN conv_id % 13 = 0 THEN NULL ELSE conv_id * 15 END AS user_id,
+             '10.0.' || CAST(conv_id % 4 AS VARCHAR) || '.1' AS ip,
+             TIMESTAMP '2024-01-30 00:00:00' + to_seconds(CAST(turn AS INTEGER)) AS ts, text
+      FROM chat_turns WHERE role = 'user'),
+g0 AS (SELECT r.*, CASE WHEN r.user_id IS NULL OR u.id IS NULL THEN 'no_account'
+                        WHEN COALESCE(u.banned, false) THEN 'banned'
+                        WHEN COALESCE(u.suspended_until > r.ts, false) THEN 'suspended' END AS early
+       FROM r LEFT JOIN users u ON u.id = r.user_id),
+surv AS (SELECT * FROM g0 WHERE early IS NULL),"""
+
+
+@register("PF10_gate_with_limits", "WITH RECURSIVE " + with_views(["users", "chat_turns"], "").replace("WITH ", "", 1)
+          + ",\n" + _gate_sql_base()
+          + _rl_sql(
+              "surv", "ip", "ts", "request_id", 60_000, 15, "a") + ",\n"
+          + "pass AS (SELECT s.* FROM surv s JOIN a ON a.id = s.request_id WHERE NOT a.limited),"
+          + _rl_sql(
+              "pass", "user_id", "ts", "request_id", 60_000, 20, "b") + """
+SELECT g0.request_id, CASE WHEN g0.early IS NOT NULL THEN g0.early
+  WHEN COALESCE(a.limited, false) OR COALESCE(b.limited, false) THEN 'rate_limited'
+  WHEN g0.text IS NULL THEN 'missing'
+  WHEN length(trim(g0.text)) < 2 THEN 'too_short'
+  WHEN length(g0.text) > 6000 THEN 'too_long' ELSE 'ok' END AS gate
+FROM g0 LEFT JOIN a ON a.id = g0.request_id LEFT JOIN b ON b.id = g0.request_id""")
+def pf10_limits(spark, d):
+    """PF10 with RL2: only requests that pass the account gates count against the limits."""
+    from chatlake.operators import limits as L
+    req = requests(spark, d)
+    users = T.users(spark, d)
+    settings = T.app_settings(spark)
+    first = S.account_gate(req, users, settings)
+    survivors = first.where(~F.col("gate").isin("no_account", "banned", "suspended", "maintenance"))
+    lim = L.rate_limit_chain(survivors.select("request_id", "user_id", "ip", "ts"))
+    return S.account_gate(req, users, settings, rate_limited=lim.select("request_id", "limited")) \
+        .select("request_id", "gate")
