@@ -246,19 +246,24 @@ def semantic_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, query_key:
 # ------------------------------------------------------------------ KB5
 
 def _lsh_signatures(dims: int, tables: int, bits: int, seed: int):
+    """Column function: array<int> of ``tables`` hyperplane-sign codes per vector.
+
+    One Arrow-batched pandas UDF: a batch of vectors times all tables x bits
+    hyperplanes is one NumPy matrix product (fixed seed, same planes on every
+    executor).
+    """
     rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((tables, bits, dims))
+    planes = rng.standard_normal((tables * bits, dims))
+    weights = (1 << np.arange(bits)).astype(np.int64)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def codes(vecs: pd.Series) -> pd.Series:
+        m = np.stack(vecs.map(lambda a: np.asarray(a, np.float64)).to_numpy())
+        signs = (m @ planes.T >= 0).reshape(len(m), tables, bits)
+        return pd.Series(list((signs * weights).sum(axis=2).astype(np.int32)))
 
     def sigs(vec: Column) -> Column:
-        out = []
-        for t in range(tables):
-            code = F.lit(0)
-            for b in range(bits):
-                p = F.array(*[F.lit(float(x)) for x in planes[t, b]])
-                dot = F.aggregate(F.zip_with(vec, p, lambda a, c: a * c), F.lit(0.0), lambda s, x: s + x)
-                code = code + F.when(dot >= 0, F.lit(1 << b)).otherwise(F.lit(0))
-            out.append(F.struct(F.lit(t).alias("tbl"), code.alias("sig")))
-        return F.array(*out)
+        return F.transform(codes(vec), lambda c, t: F.struct(t.alias("tbl"), c.alias("sig")))
     return sigs
 
 
@@ -266,10 +271,10 @@ def lsh_candidates(queries: DataFrame, chunks: DataFrame, tables: int = 16, bits
                    query_key: str = "query_id") -> DataFrame:
     """KB5 candidates: (query_id, id, qv, embedding) pairs sharing a hyperplane signature.
 
-    Each vector gets ``tables`` signatures of ``bits`` hyperplane signs
-    (computed in the JVM with ``aggregate(zip_with(...))``).  The join is an
-    equi-join on (table, signature): it shuffles by bucket and never pairs
-    vectors that share no bucket.
+    Each vector gets ``tables`` signatures of ``bits`` hyperplane signs (one
+    NumPy matrix product per Arrow batch).  The join is an equi-join on
+    (table, signature): it shuffles by bucket and never pairs vectors that
+    share no bucket.
     """
     dims = chunks.select(F.size("embedding").alias("d")).where("d > 0").limit(1).collect()[0]["d"]
     sigs = _lsh_signatures(dims, tables, bits, seed)
