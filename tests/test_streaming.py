@@ -72,3 +72,29 @@ def test_feedback_stream_matches_batch(spark):
                                                        "left_semi").collect()}
     assert got == want
     assert again == want
+
+
+def test_daily_counts_stream_multi_batch(spark):
+    path = _split_events(spark, 5)
+    msgs = T.dream_messages_from(T.load_stream(spark, path, "events", files_per_batch=1))
+    res = ST.run_to_table(ST.daily_counts_stream(msgs), "sm1-test", mode="update", keys=["w"])
+    got = {r["day"]: (r["ai_total"], r["up"], r["down"], r["none"], r["user_msgs"]) for r in
+           res.select(F.to_date("w.start").alias("day"), "ai_total", "up", "down", "none", "user_msgs").collect()}
+    b = T.dream_messages(spark, SF001)
+    fb = F.col("feedback")
+    ai = F.col("role") == "ai"
+    want = {r["day"]: (r["a"], r["u"], r["d"], r["n"], r["m"]) for r in
+            b.groupBy(F.to_date("created_at").alias("day")).agg(
+                F.count_if(ai).alias("a"), F.count_if(ai & (fb == "up")).alias("u"),
+                F.count_if(ai & (fb == "down")).alias("d"), F.count_if(ai & fb.isNull()).alias("n"),
+                F.count_if(F.col("role") == "user").alias("m")).collect()}
+    assert got == want
+
+    dau = ST.run_to_table(ST.active_user_days_stream(
+        T.dream_messages_from(T.load_stream(spark, path, "events", files_per_batch=1))), "sm1dau-test",
+        mode="update", keys=["w", "user_id"])
+    got = {r["day"]: r["c"] for r in dau.groupBy(F.to_date("w.start").alias("day"))
+           .agg(F.count(F.lit(1)).alias("c")).collect()}
+    want = {r["day"]: r["c"] for r in b.where("role = 'user'").groupBy(F.to_date("created_at").alias("day"))
+            .agg(F.count_distinct("user_id").alias("c")).collect()}
+    assert got == want
