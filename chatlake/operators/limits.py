@@ -33,6 +33,26 @@ def _to_us(s: pd.Series) -> np.ndarray:
     return s.to_numpy().astype("datetime64[us]").astype(np.int64)
 
 
+def fold_windows(t: np.ndarray, start, count: int, window_us: int, max_count: int,
+                 limited: np.ndarray) -> tuple:
+    """Fold one key's sorted event times (µs) from state (start, count); marks ``limited`` in place.
+
+    One iteration per window: ``searchsorted`` finds where the window ends,
+    the first ``max - count`` events in it pass, the rest are limited.
+    Returns the state after the last event.
+    """
+    i, n = 0, len(t)
+    while i < n:
+        if start is None or t[i] - start > window_us:
+            start, count = int(t[i]), 0
+        j = int(np.searchsorted(t, start + window_us, side="right"))
+        take = min(max(0, max_count - count), j - i)
+        limited[i + take:j] = True
+        count += take
+        i = j
+    return start, count
+
+
 def _rate_fold(group: list[str], ts: str, window_us: int, max_count: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur, start, count = None, None, 0
@@ -51,17 +71,7 @@ def _rate_fold(group: list[str], ts: str, window_us: int, max_count: int):
                 k = tuple(c[a] for c in cols)
                 if cur is None or k != cur:
                     cur, start, count = k, None, 0
-                seg = t[a:b]
-                i = 0
-                while i < b - a:
-                    if start is None or seg[i] - start > window_us:
-                        start, count = int(seg[i]), 0
-                    j = int(np.searchsorted(seg, start + window_us, side="right"))
-                    allowed = max(0, max_count - count)
-                    take = min(allowed, j - i)
-                    limited[a + i + take:a + j] = True
-                    count += take
-                    i = j
+                start, count = fold_windows(t[a:b], start, count, window_us, max_count, limited[a:b])
             out = pdf.copy()
             out["limited"] = limited
             yield out

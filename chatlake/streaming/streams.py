@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from chatlake.operators.limits import fold_windows
 from chatlake.session import checkpoint_dir
 
 SWEEP_MS = 300_000
@@ -54,13 +55,7 @@ def rate_limit_stream(sdf: DataFrame, key: str, ts: str, tie: str, window_ms: in
         pdf = pd.concat(parts).sort_values(["ts", "id"], kind="stable")
         t = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
         limited = np.zeros(len(pdf), dtype=bool)
-        for i in range(len(pdf)):
-            if start is None or t[i] - start > w_us:
-                start, count = int(t[i]), 1
-            elif count >= max_count:
-                limited[i] = True
-            else:
-                count += 1
+        start, count = fold_windows(t, start, count, w_us, max_count, limited)
         state.update((start, count))
         state.setTimeoutTimestamp(start // 1000 + max(SWEEP_MS, window_ms))
         yield pd.DataFrame({"id": pdf["id"].to_numpy(), "k": pdf["k"].to_numpy(), "ts": pdf["ts"].to_numpy(),
