@@ -82,8 +82,13 @@ def _micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{ts}`)")
 
 
-def hot_keys(df: DataFrame, key: str, share: float | None = None) -> DataFrame:
-    """Keys holding more than ``share`` of all rows (default 1 / (2 x parallelism)).
+# Below this many rows a key folds in one task in well under a second, so the
+# parallel hot-key path is not worth its fixed cost.
+HOT_MIN_ROWS = 1_000_000
+
+
+def hot_keys(df: DataFrame, key: str, share: float | None = None, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+    """Keys holding more than ``share`` of all rows (default 1 / (2 x parallelism)) and at least ``min_rows``.
 
     At most 1/share keys qualify, so the list is bounded; it is collected once
     (two small jobs: a row count and a per-key count filtered by the bound)
@@ -93,12 +98,14 @@ def hot_keys(df: DataFrame, key: str, share: float | None = None) -> DataFrame:
     share = share if share is not None else 1.0 / (2 * spark.sparkContext.defaultParallelism)
     total = df.count()
     rows = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-              .where(F.col("_n") > F.lit(total * share)).select(key).collect())
+              .where((F.col("_n") > F.lit(total * share)) & (F.col("_n") >= F.lit(min_rows)))
+              .select(key).collect())
     return spark.createDataFrame(rows, T.StructType([df.schema[key]]))
 
 
 def rate_limit(df: DataFrame, key: str, ts: str, window_ms: int, max_count: int,
-               tie: str | None = None, partitions: int | None = None, split_hot: bool = True) -> DataFrame:
+               tie: str | None = None, partitions: int | None = None, split_hot: bool = True,
+               hot_min_rows: int = HOT_MIN_ROWS) -> DataFrame:
     """RL1: add ``limited`` per event, anchored windows per key.
 
     Per key, in (ts, tie) order: an event starts a new window (count 1) if
@@ -117,7 +124,7 @@ def rate_limit(df: DataFrame, key: str, ts: str, window_ms: int, max_count: int,
     cold = df
     hot_part = None
     if split_hot:
-        hot = hot_keys(df, key)
+        hot = hot_keys(df, key, min_rows=hot_min_rows)
         if not hot.isEmpty():
             hot = F.broadcast(hot)
             cold = df.join(hot, key, "left_anti")

@@ -58,7 +58,7 @@ def test_rate_limit_random_against_fold(spark):
     # 3 partitions and many Arrow batches: state must carry across batch boundaries
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
     try:
-        got = _run(spark, ev, 30_000, 3, partitions=3)
+        got = _run(spark, ev, 30_000, 3, partitions=3)          # plain fold (below the hot minimum)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == py_rate_limit(ev, 30_000, 3)
@@ -137,8 +137,10 @@ def test_hot_key_bursts(spark):
             ev.append((f"k{k}", T0 + dt.timedelta(seconds=rnd.randrange(0, 86_400)), i))
             i += 1
     df = spark.createDataFrame(ev, "k string, ts timestamp_ntz, id long")
-    assert [r["k"] for r in L.hot_keys(df, "k").collect()] == ["hot"]
-    got = {r["id"]: r["limited"] for r in L.rate_limit(df, "k", "ts", 60_000, 4, tie="id").collect()}
+    assert [r["k"] for r in L.hot_keys(df, "k", min_rows=0).collect()] == ["hot"]
+    assert L.hot_keys(df, "k").isEmpty()            # below the absolute minimum: plain fold
+    got = {r["id"]: r["limited"] for r in
+           L.rate_limit(df, "k", "ts", 60_000, 4, tie="id", hot_min_rows=0).collect()}
     assert got == py_rate_limit(ev, 60_000, 4)
 
 
