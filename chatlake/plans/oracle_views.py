@@ -79,8 +79,6 @@ SELECT u.id * 10 + s.seq AS seq, u.id AS target_id,
   CASE WHEN u.id % 2 = 0 THEN 'spam' ELSE '' END AS reason,
   CAST(u.id % 2 AS INTEGER) AS months, CAST(u.id % 3 AS INTEGER) AS days
 FROM users u CROSS JOIN (VALUES (1), (2)) s(seq) WHERE u.id % 7 = 0""",
-    "source_texts": """
-SELECT source, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source""",
 }
 
 # Views that other views read.

@@ -301,18 +301,6 @@ def admin_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One text per document source, documents joined by a blank line in doc order.
-
-    The ordered concatenation is one ``collect_list`` per source after a
-    sort inside the aggregate (``array_sort`` on (doc_id, text) structs), so
-    it does not depend on shuffle order.
-    """
-    d = load(spark, sf_dir, "documents")
-    g = d.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("xs"))
-    return g.select("source", F.array_join(F.transform("xs", lambda x: x["text"]), "\n\n").alias("text"))
-
-
 def app_settings(spark: SparkSession) -> DataFrame:
     """The one seeded settings row (schema seed)."""
     return spark.createDataFrame([("maintenance_mode", "false")], "key string, value string")
@@ -323,5 +311,5 @@ VIEWS = {
     "token_usage_big": token_usage_big, "dream_sessions": dream_sessions, "audit_log": audit_log,
     "knowledge_chunks": knowledge_chunks, "send_log": send_log, "chat_turns": chat_turns,
     "sso_payloads": sso_payloads, "feedback_events": feedback_events,
-    "admin_actions": admin_actions, "source_texts": source_texts,
+    "admin_actions": admin_actions,
 }

@@ -66,8 +66,19 @@ def test_chunking_matches_independent_fold(spark):
         assert [n for _, _, n in rows] == [len(re.split(_WS + "+", c)) for c in want]
 
 
+def _source_texts(spark, d):
+    """Fixture: one text per document source, documents joined by a blank line in doc order.
+
+    Test-only: it concatenates a whole source into one row, which is fine for a
+    small fixture and is why it is not part of the library.
+    """
+    docs = T.load(spark, d, "documents")
+    g = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("xs"))
+    return g.select("source", F.array_join(F.transform("xs", lambda x: x["text"]), "\n\n").alias("text"))
+
+
 def test_chunking_source_texts_blank_lines(spark):
-    src = T.source_texts(spark, SF001)
+    src = _source_texts(spark, SF001)
     got = {}
     for r in K.chunk_text(src, "text", ["source"]).collect():
         got.setdefault(r["source"], []).append((r["chunk_idx"], r["content"]))
