@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlake.functions.semantics import js_trim, js_trim_py, pg_desc
+from chatlake.functions.scalars import display_name  # noqa: F401  (SF2, re-exported)
+from chatlake.functions.semantics import js_trim_py, pg_desc
 from chatlake.sources.tables import DEFAULT_AS_OF, ts_lit
 
 
@@ -547,6 +548,3 @@ def users_page(users: DataFrame, sessions: DataFrame, tokens: DataFrame, page=1,
     f = user_filter(user_search(users, search), source, banned)
     j = users_with_usage(f, sessions, tokens)
     return paginate(j, [pg_desc("created_at"), F.col("id").desc()], page, clamp_limit(limit))
-
-
-from chatlake.functions.scalars import display_name  # noqa: E402,F401  (SF2, kept importable here)
