@@ -535,6 +535,25 @@ def paginate(df: DataFrame, order: list[Column], page, limit) -> tuple[DataFrame
     return rows, meta
 
 
+def keyset_page(df: DataFrame, order: list[tuple[str, bool]], after: tuple | None, limit: int) -> DataFrame:
+    """SL2 for deep pages: the ``limit`` rows after the key ``after`` in ``order``.
+
+    ``order`` is [(column, descending)]; the last column must be unique (e.g.
+    id).  The seek predicate is a filter Spark pushes toward the scan, so a
+    deep page costs a top-``limit`` per partition instead of sorting and
+    skipping ``offset`` rows.  Key columns must be non-NULL.
+    """
+    out = df
+    if after is not None:
+        cond = None
+        for i in range(len(order) - 1, -1, -1):
+            c, desc = order[i]
+            step = (F.col(c) < F.lit(after[i])) if desc else (F.col(c) > F.lit(after[i]))
+            cond = step if cond is None else (step | ((F.col(c) == F.lit(after[i])) & cond))
+        out = out.where(cond)
+    return out.orderBy(*[F.col(c).desc() if d else F.col(c).asc() for c, d in order]).limit(limit)
+
+
 def audit_page(audit: DataFrame, users: DataFrame, page=1, limit: int = 30) -> tuple[DataFrame, DataFrame]:
     """JN1 + SL2: newest-first audit page (Postgres DESC = NULLS FIRST, id tie-break)."""
     j = audit_with_user(audit, users)

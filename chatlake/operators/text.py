@@ -41,13 +41,31 @@ def _keyword_array(lex: Lexicon) -> Column:
                      for _, cat, _, kw in lex.keyword_rows()])
 
 
+# The three precomposed Bengali letters and their canonical
+# decomposed forms (base letter + U+09BC NUKTA): RRA, RHA, YYA.
+PRECOMPOSED = [("\u09dc", "\u09a1\u09bc"), ("\u09dd", "\u09a2\u09bc"), ("\u09df", "\u09af\u09bc")]
+
+
+def decompose_nukta(c: Column) -> Column:
+    """Map the precomposed nukta letters to base + nukta (what NFC/NFD both do for them)."""
+    for pre, dec in PRECOMPOSED:
+        c = F.replace(c, F.lit(pre), F.lit(dec))
+    return c
+
+
+def _decompose_py(s: str) -> str:
+    for pre, dec in PRECOMPOSED:
+        s = s.replace(pre, dec)
+    return s
+
+
 def first_keyword(text: Column, lex: Lexicon) -> Column:
     """Struct(category, kw) of the first dictionary keyword contained in ``text`` (or NULL)."""
     return F.try_element_at(F.filter(_keyword_array(lex), lambda k: text.contains(k["kw"])), F.lit(1))
 
 
 def classify(df: DataFrame, text_col: str, lex: Lexicon, key_cols: list[str] | None = None,
-             method: str = "auto") -> DataFrame:
+             method: str = "auto", normalize: bool = False) -> DataFrame:
     """TX1: add (category, entity): first category, then first keyword, contained in the text.
 
     Case-sensitive substring match on the untrimmed keyword; the entity is the
@@ -58,6 +76,14 @@ def classify(df: DataFrame, text_col: str, lex: Lexicon, key_cols: list[str] | N
     joins the size-checked, broadcast dictionary on ``contains`` and keeps the
     best-ranked hit per row with ``min_by`` — only hits leave the join.
     """
+    if normalize:
+        # Optional: match precomposed and decomposed spellings alike (the default
+        # matches code points exactly, as the application does).
+        from dataclasses import replace
+        lex = replace(lex, categories=[(c, [_decompose_py(k) for k in kws]) for c, kws in lex.categories])
+        df = df.withColumn("_norm_text", decompose_nukta(F.col(text_col)))
+        out = classify(df, "_norm_text", lex, key_cols, method, normalize=False)
+        return out.drop("_norm_text")
     n_kw = len(lex.keyword_rows())
     if method == "auto":
         method = "literal" if n_kw <= LITERAL_KEYWORD_LIMIT or not key_cols else "join"

@@ -81,3 +81,19 @@ def test_top_categories_tie_break(spark):
                                  "user_id long, role string, category string")
     got = [(r["category"], r["count"]) for r in M.top_categories(msgs, 2).collect()]
     assert got == [("a", 2), ("b", 2)]
+
+
+def test_keyset_paging_equals_offset_paging(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    u = _users(spark, [(i, "email", "n", "L", f"{i}@x.io", "free", False, t0 + dt.timedelta(days=i % 5))
+                       for i in range(1, 58)])
+    order = [("created_at", True), ("id", True)]
+    seen, after = [], None
+    while True:
+        page = M.keyset_page(u, order, after, 10).collect()
+        if not page:
+            break
+        seen += [r["id"] for r in page]
+        after = (page[-1]["created_at"], page[-1]["id"])
+    full = [r["id"] for r in u.orderBy(F.col("created_at").desc(), F.col("id").desc()).collect()]
+    assert seen == full

@@ -112,3 +112,12 @@ def test_prompt_history_cut_and_roles(spark):
     assert [m["role"] for m in msgs] == ["system", "assistant", "user"]   # system turn dropped after the cut
     assert msgs[1]["content"] == "a" * 500 + "..."
     assert msgs[2]["content"].startswith("hello\n[type: general question]")
+
+
+def test_optional_normalisation_matches_precomposed(spark):
+    precomposed = "\u0998\u09cb\u09dc\u09be"        # RRA (U+09DC)
+    df = spark.createDataFrame([(0, precomposed)], "id long, text string")
+    faithful = X.classify(df, "text", BENGALI).first()
+    norm = X.classify(df, "text", BENGALI, normalize=True).first()
+    assert faithful["category"] == "অন্যান্য"
+    assert norm["category"] == "পশু" and norm["text"] == precomposed     # text column itself is untouched
