@@ -148,3 +148,54 @@ LATIN_CURATED = [
     ("d_house", "there", "never used: d_house is not in the registry"),
 ]
 LATIN_REGISTRY = ["d_nature", "d_road", "d_fire"]
+
+
+# ---------------------------------------------------------------------------
+# File loaders (SC2, SC3): dictionaries are data; order in the file is meaning.
+# ---------------------------------------------------------------------------
+
+def _ordered_json_lines(spark, path: str, schema: str):
+    """Read JSON lines keeping file order in ``line_no``.
+
+    ``monotonically_increasing_id`` is increasing in file order (partition
+    index in the high bits, row position in the low bits); the file is read as
+    text so no reordering happens before the ids are assigned.
+    """
+    from pyspark.sql import functions as F
+    raw = spark.read.text(path).where(F.trim("value") != "")
+    return raw.select(F.monotonically_increasing_id().alias("line_no"),
+                      F.from_json("value", schema).alias("r")).select("line_no", "r.*")
+
+
+def load_keywords(spark, path: str):
+    """SC2: keyword dictionary from JSON lines {"category": ..., "keywords": [...]}, in order.
+
+    Returns (cat_rank, category, kw_rank, keyword) — the frame ``classify``'s
+    join method and ``keyword_frame`` use.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    rows = _ordered_json_lines(spark, path, "category string, keywords array<string>")
+    # one small dictionary file: a global row_number over its lines is fine
+    ranked = rows.withColumn("cat_rank", F.row_number().over(Window.orderBy("line_no")))
+    return ranked.select("cat_rank", "category", F.posexplode("keywords").alias("kw_pos", "keyword")) \
+                 .select("cat_rank", "category", (F.col("kw_pos") + 1).alias("kw_rank"), "keyword")
+
+
+def lexicon_from_frame(frame, base: Lexicon) -> Lexicon:
+    """A Lexicon whose ordered categories come from a (small) keyword frame."""
+    from dataclasses import replace
+    cats: dict[tuple[int, str], list[tuple[int, str]]] = {}
+    for r in frame.collect():      # dictionary-sized (a few hundred rows), read once on the driver
+        cats.setdefault((r["cat_rank"], r["category"]), []).append((r["kw_rank"], r["keyword"]))
+    ordered = [(c, [k for _, k in sorted(v)]) for (_, c), v in sorted(cats.items())]
+    return replace(base, categories=ordered)
+
+
+def load_curated(spark, path: str):
+    """SC3: curated meanings from JSON lines {"category", "entity" (null = general), "meaning"}.
+
+    Returns (line_no, category, entity, meaning) for ``curated_lookup``,
+    which resolves duplicate keys by the later line.
+    """
+    return _ordered_json_lines(spark, path, "category string, entity string, meaning string")

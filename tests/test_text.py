@@ -121,3 +121,26 @@ def test_optional_normalisation_matches_precomposed(spark):
     norm = X.classify(df, "text", BENGALI, normalize=True).first()
     assert faithful["category"] == "অন্যান্য"
     assert norm["category"] == "পশু" and norm["text"] == precomposed     # text column itself is untouched
+
+
+def test_dictionary_files_keep_order(spark):
+    import json
+    import tempfile
+    d = tempfile.mkdtemp(prefix="chatlake-dict-")
+    with open(f"{d}/kw.jsonl", "w") as f:
+        for cat, kws in LATIN.categories:
+            f.write(json.dumps({"category": cat, "keywords": kws}) + "\n")
+    from chatlake.sources.lexicon import lexicon_from_frame, load_curated, load_keywords
+    from chatlake.sources.lexicon import LATIN_CURATED, LATIN_REGISTRY
+    frame = load_keywords(spark, f"{d}/kw.jsonl")
+    assert [tuple(r) for r in frame.orderBy("cat_rank", "kw_rank").collect()] == LATIN.keyword_rows()
+    assert lexicon_from_frame(frame, LATIN).categories == LATIN.categories
+    with open(f"{d}/cur.jsonl", "w") as f:
+        for c, e, m in LATIN_CURATED:
+            f.write(json.dumps({"category": c, "entity": e, "meaning": m}) + "\n")
+    cur = load_curated(spark, f"{d}/cur.jsonl")
+    lab = spark.createDataFrame([("d_nature", "ich", "new_dream"), ("d_road", "éa", "new_dream"),
+                                 ("d_house", "there", "new_dream"), ("d_nature", "ich", "general_question")],
+                                "category string, entity string, input_type string")
+    got = [r["meaning"] for r in X.curated_lookup(lab, cur, LATIN_REGISTRY).collect()]
+    assert sorted(got, key=str) == sorted(["ich meaning", None, None, None], key=str)
