@@ -137,100 +137,113 @@ def rate_limit(df: DataFrame, key: str, ts: str, window_ms: int, max_count: int,
     return out
 
 
+# Sub-buckets per window in the hot-key path: a window partition holds at most
+# about 2/SUB_PER_WINDOW of a window-length of one key's events.
+SUB_PER_WINDOW = 64
+
+
 def rate_limit_doubling(df: DataFrame, group: list[str], ts: str, ties: str | list[str], window_ms: int,
-                        max_count: int) -> DataFrame:
+                        max_count: int, sub: int = SUB_PER_WINDOW) -> DataFrame:
     """RL1 for very large groups, exact and parallel: window starts by pointer doubling.
 
-    Events are bucketed by W = window; every window has the form
-    [start, nxt(start)) where nxt(i) = first event with ts > ts_i + W, and the
-    starts are the orbit of a group's first event under nxt.
-
-    * positions: row_number within (group, bucket) + bucket offsets from a
-      per-bucket summary (bounded by time span / W, not by rows);
-    * nxt: ts_i + W always falls in bucket b+1, so nxt is the next event after
-      it inside bucket b+1 (a running ``last(ignorenulls)`` in reverse order)
-      or else the first position after bucket b+1;
-    * starts are more than W apart, so at most one per bucket: the orbit has at
-      most #buckets nodes and ceil(log2(#buckets)) doubling rounds
-      (J_{k+1} = J_k o J_k, key joins on position, checkpointed each round)
-      find it;
-    * an event's window start is in its own or the previous bucket: two key
-      joins, then ``limited = position - start >= max``.
-
-    Every window operator is partitioned by (group, bucket), so no task holds
-    more than one window-length of a group's events.  ``ties`` must make
-    (group, ts, ties) unique.
+    Every window has the form [start, nxt(start)) with nxt(i) = first event
+    with ts > ts_i + W, and the starts are the orbit of a group's first event
+    under nxt.  Time is cut into sub-buckets of width w = W / ``sub``:
+
+    * positions: row_number within (group, sub-bucket) + offsets from a
+      per-sub-bucket summary (size bounded by time span / w, not by rows);
+    * nxt: a probe at ts_i + W goes to its sub-bucket c; the nearest event
+      after it inside c comes from a reverse running ``last(ignorenulls)`` over
+      (group, c), else nxt = number of events in sub-buckets <= c (a running
+      sum over the summary);
+    * starts are more than W apart, so the orbit has at most span / W + 1
+      nodes; doubling (J_{k+1} = J_k o J_k, key joins on position,
+      checkpointed, stopped when the orbit ends) finds it in log rounds;
+    * assignment: each start's interval [s, next start) is attached to the
+      sub-buckets it can govern (at most ``sub`` + 2 of them) and events join
+      on (group, sub-bucket) with a containment filter: one match each.
+
+    Every window operator is partitioned by (group, sub-bucket), so a task
+    holds about 2/``sub`` of a window-length of one group's events.  ``ties``
+    must make (group, ts, ties) unique.
     """
-    ties = [ties] if isinstance(ties, str) else list(ties)
     from chatlake.functions.joins import broadcast_if_small
     from chatlake.session import checkpoint_dir
+    ties = [ties] if isinstance(ties, str) else list(ties)
     checkpoint_dir(df.sparkSession)
     w_us = window_ms * US_PER_MS
-    x = df.withColumn("_us", _micros(ts)).withColumn("_b", F.floor(F.col("_us") / w_us))
+    sub_us = max(1, w_us // sub)
+    x = df.withColumn("_us", _micros(ts)).withColumn("_b", F.floor(F.col("_us") / sub_us))
 
-    # bucket summary: count, offset (events in earlier buckets), size of bucket b+1, group size
+    # sub-bucket summary: count, offset (events in earlier sub-buckets), group size
     bs = x.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     wg = Window.partitionBy(*group).orderBy("_b")
-    bs = (bs.withColumn("_off", F.coalesce(F.sum("_cnt").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            .withColumn("_next_cnt", F.when(F.lead("_b").over(wg) == F.col("_b") + 1, F.lead("_cnt").over(wg))
-                                      .otherwise(F.lit(0)))
-            .withColumn("_n", F.sum("_cnt").over(Window.partitionBy(*group))))
-    bs = bs.checkpoint(eager=True)
+    bs = (bs.withColumn("_off", F.coalesce(F.sum("_cnt").over(wg.rowsBetween(Window.unboundedPreceding, -1)),
+                                           F.lit(0)))
+            .withColumn("_n", F.sum("_cnt").over(Window.partitionBy(*group)))
+            .checkpoint(eager=True))
     wb = Window.partitionBy(*group, "_b").orderBy("_us", *ties)
     ev = (x.join(broadcast_if_small(bs), [*group, "_b"])
-           .withColumn("_pos", (F.col("_off") + F.row_number().over(wb) - 1).cast("long")))
-    ev = ev.checkpoint(eager=True)
+           .withColumn("_pos", (F.col("_off") + F.row_number().over(wb) - 1).cast("long"))
+           .checkpoint(eager=True))
 
-    # nxt: probes at ts + W, resolved against the events of bucket b+1
-    probes = ev.select(*group, (F.col("_b") + 1).alias("_b"), (F.col("_us") + w_us).alias("_t"),
-                       F.lit(1).alias("_type"), F.col("_pos").alias("_src"), F.lit(None).cast("long").alias("_p"),
-                       (F.col("_off") + F.col("_cnt") + F.col("_next_cnt")).alias("_fallback"), "_n")
+    # nxt, part 1: nearest event after ts + W inside the probe's sub-bucket
+    probes = ev.select(*group, F.floor((F.col("_us") + w_us) / sub_us).alias("_b"),
+                       (F.col("_us") + w_us).alias("_t"), F.lit(1).alias("_type"), F.col("_pos").alias("_src"),
+                       F.lit(None).cast("long").alias("_p"), "_n")
     events = ev.select(*group, "_b", F.col("_us").alias("_t"), F.lit(0).alias("_type"),
-                       F.lit(None).cast("long").alias("_src"), F.col("_pos").alias("_p"),
-                       F.lit(None).cast("long").alias("_fallback"), "_n")
-    # descending (time, type, position): the running last() is then the nearest event
-    # strictly after the probe, and among equal times the one with the smallest position
+                       F.lit(None).cast("long").alias("_src"), F.col("_pos").alias("_p"), "_n")
+    # descending (time, type, position): the running last() is the nearest event strictly
+    # after the probe, and among equal times the one with the smallest position
     rev = (Window.partitionBy(*group, "_b").orderBy(F.col("_t").desc(), F.col("_type").desc(),
                                                     F.col("_p").desc_nulls_first())
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = (probes.unionByName(events)
                    .withColumn("_hit", F.last("_p", ignorenulls=True).over(rev))
                    .where(F.col("_type") == 1))
-    nxt = F.coalesce(F.col("_hit"), F.col("_fallback"))
+    # nxt, part 2: otherwise the first position after sub-bucket c = events in sub-buckets <= c
+    targets = found.select(*group, "_b").distinct().withColumn("_cnt", F.lit(0)).withColumn("_k", F.lit(1))
+    cum = (bs.select(*group, "_b", "_cnt", F.lit(0).alias("_k")).unionByName(targets)
+             .withColumn("_cum", F.sum("_cnt").over(Window.partitionBy(*group).orderBy("_b", "_k")
+                                                     .rowsBetween(Window.unboundedPreceding, 0)))
+             .where(F.col("_k") == 1).select(*group, "_b", "_cum"))
+    found = found.join(broadcast_if_small(cum), [*group, "_b"])
+    nxt = F.coalesce(F.col("_hit"), F.col("_cum"))
     jump = found.select(*group, F.col("_src").alias("_pos"),
                         F.when(nxt < F.col("_n"), nxt).cast("long").alias("_j")).checkpoint(eager=True)
 
-    # doubling: J_k = nxt^(2^k); orbit of position 0 = starts
-    rounds = int(bs.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 1)
-    k_max = max(1, int(np.ceil(np.log2(rounds + 1))))
+    # doubling: J_k = nxt^(2^k); the orbit of position 0 is the set of window starts
+    span = bs.groupBy(*group).agg((F.max("_b") - F.min("_b") + 1).alias("s")).agg(F.max("s")).first()[0] or 1
+    k_max = max(1, int(np.ceil(np.log2(span * sub_us / w_us + 2))))
     starts = bs.select(*group).distinct().withColumn("_pos", F.lit(0).cast("long"))
     j = jump
     for k in range(k_max):
         nxt_nodes = (starts.join(j, [*group, "_pos"]).where(F.col("_j").isNotNull())
-                        .select(*group, F.col("_j").alias("_pos")))
+                           .select(*group, F.col("_j").alias("_pos")))
         starts = starts.unionByName(nxt_nodes).distinct().checkpoint(eager=True)
-        # starts now holds nxt^d(0) for d < 2^(k+1); fewer nodes than that means the orbit ended
+        # starts holds nxt^d(0) for d < 2^(k+1); fewer nodes than that means the orbit ended
         longest = starts.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
         if longest < 2 ** (k + 1):
             break
         if k + 1 < k_max:
-            a = j.alias("a")
-            b = j.alias("b")
+            a, b = j.alias("a"), j.alias("b")
             cond = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in group] + [F.col("a._j") == F.col("b._pos")]
             j = (a.join(b, cond, "left")
                   .select(*[F.col(f"a.{c}").alias(c) for c in group], F.col("a._pos").alias("_pos"),
                           F.col("b._j").alias("_j"))
                   .checkpoint(eager=True))
 
-    # window start per event: the start in its own bucket (if not after it) or in the previous one
-    st = starts.join(ev.select(*group, "_pos", "_b"), [*group, "_pos"]).select(*group, "_b", F.col("_pos").alias("_s"))
-    st = broadcast_if_small(st.checkpoint(eager=True))
-    cur = st.withColumnRenamed("_s", "_s0")
-    prev = st.withColumn("_b", F.col("_b") + 1).withColumnRenamed("_s", "_s1")
-    out = ev.join(cur, [*group, "_b"], "left").join(prev, [*group, "_b"], "left")
-    start = F.when(F.col("_s0") <= F.col("_pos"), F.col("_s0")).otherwise(F.col("_s1"))
-    return (out.withColumn("limited", (F.col("_pos") - start) >= max_count)
-               .drop("_us", "_b", "_cnt", "_off", "_next_cnt", "_n", "_pos", "_s0", "_s1"))
+    # assignment: interval [s, next start) attached to the sub-buckets it can govern
+    st = starts.join(ev.select(*group, "_pos", "_b", "_n"), [*group, "_pos"])
+    st = st.withColumn("_e", F.coalesce(F.lead("_pos").over(Window.partitionBy(*group).orderBy("_pos")),
+                                        F.col("_n")))
+    iv = (st.select(*group, F.col("_pos").alias("_s"), "_e",
+                    F.explode(F.sequence(F.col("_b"), F.col("_b") + F.lit(sub + 2))).alias("_b"))
+            .checkpoint(eager=True))
+    out = (ev.join(broadcast_if_small(iv), [*group, "_b"])
+             .where((F.col("_s") <= F.col("_pos")) & (F.col("_pos") < F.col("_e"))))
+    return (out.withColumn("limited", (F.col("_pos") - F.col("_s")) >= max_count)
+               .drop("_us", "_b", "_cnt", "_off", "_n", "_pos", "_s", "_e"))
 
 
 # The chat request limits (per minute).
