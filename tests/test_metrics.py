@@ -97,3 +97,15 @@ def test_keyset_paging_equals_offset_paging(spark):
         after = (page[-1]["created_at"], page[-1]["id"])
     full = [r["id"] for r in u.orderBy(F.col("created_at").desc(), F.col("id").desc()).collect()]
     assert seen == full
+
+
+def test_write_users_csv_file(spark):
+    import glob
+    import tempfile
+    from chatlake.sources.sinks import write_users_csv
+    u = _users(spark, [(i, "email", f"N{i}", "L", f"{i}@x.io", "free", False,
+                        dt.datetime(2024, 1, 1) + dt.timedelta(days=i)) for i in range(1, 4)])
+    out = tempfile.mkdtemp(prefix="chatlake-csv-") + "/export"
+    write_users_csv(u, out)
+    lines = open(glob.glob(f"{out}/part-*")[0]).read().splitlines()
+    assert lines[0] == CSV_HEADER and [ln.split(",")[0] for ln in lines[1:]] == ["3", "2", "1"]

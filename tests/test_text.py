@@ -144,3 +144,9 @@ def test_dictionary_files_keep_order(spark):
                                 "category string, entity string, input_type string")
     got = [r["meaning"] for r in X.curated_lookup(lab, cur, LATIN_REGISTRY).collect()]
     assert sorted(got, key=str) == sorted(["ich meaning", None, None, None], key=str)
+
+
+def test_rename_title_trims_and_cuts(spark):
+    df = spark.createDataFrame([("　 " + "x" * 70 + " ",), ("  short  ",)], "t string")
+    got = [r["r"] for r in df.select(X.rename_title("t").alias("r")).collect()]
+    assert got == ["x" * 60, "short"]
