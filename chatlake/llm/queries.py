@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import bpe_codec, line_dedup, minhash, mixing, quality
+from chatlake.llm import bpe_codec, line_dedup, lm, minhash, mixing, pii, quality, secret_scan, token_counts, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,28 @@ SELECT doc_id, source, coalesce(len(lines), 0) AS n_lines,
 FROM marked"""
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and log-bilinear log10 probabilities of all documents."""
+    scored = lm.score(_table(spark, sf_dir, "documents"))
+    return scored.withColumnRenamed("id", "doc_id")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: base spans and those that the boosted trees add."""
+    return pii.find(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: base rules and further token formats."""
+    rules, n_base = secret_scan.RULES, len(secret_scan.BASE_RULES)
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"), rules=rules)
+    of = lambda i: F.size(F.filter("found", lambda s: s["place"] == i)).cast("long")
+    base = F.filter("found", lambda s: s["place"] < n_base)
+    return found.select("row.doc_id", *[of(i).alias(f"n_{r.kind}") for i, r in enumerate(secret_scan.BASE_RULES)],
+                        F.sha2(secret_scan.digest_text(base, rules).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.digest_text(F.col("found"), rules).alias("spans"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -58,6 +80,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept", *quality.MEASURES)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of all documents."""
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"),
+                                        public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumnRenamed("id", "doc_id")
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and the decoded text of every document."""
     coded = bpe_codec.encode_and_decode(_table(spark, sf_dir, "documents"),
@@ -101,13 +130,34 @@ SELECT doc_id, size, source_size, target,
 FROM spread"""
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows of all embeddings for each query row."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = f"""
+WITH usable AS (
+  SELECT row_number() OVER () AS place, vec_id,
+    list_transform(embedding, lambda c: floor(c::DOUBLE * {topk.SCALE})) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (
+  SELECT q.place, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.place <> c.place AND len(q.v) = len(c.v) WHERE q.vec_id % {topk.EVERY} = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {topk.K}"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op5_minhash_near_dedup, op6_quality_rules, op8_bpe_codec, op9_mixing,
+    f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_pii, op4_secret_scan, op5_minhash_near_dedup,
+                            op6_quality_rules, op7_token_counts, op8_bpe_codec, op9_mixing, op10_topk_search,
                             pipeline)}
 
-ORACLE = {"op1_line_dedup": OP1_SQL, "op9_mixing": OP9_SQL}
+ORACLE = {"op1_line_dedup": OP1_SQL, "op9_mixing": OP9_SQL, "op10_topk_search": OP10_SQL}

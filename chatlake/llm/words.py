@@ -118,5 +118,8 @@ def spread(bounds: np.ndarray) -> np.ndarray:
 
 def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of the words' values by text."""
-    total = np.concatenate([np.zeros(1, dtype=values.dtype), np.cumsum(values)])
+    n = bounds.size - 1
+    if values.dtype.kind == "f":  # summed text by text, so that rounding doesn't depend on the slice
+        return np.bincount(spread(bounds), weights=values, minlength=n)
+    total = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(values)])
     return total[bounds[1:]] - total[bounds[:-1]]
