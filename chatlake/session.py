@@ -9,9 +9,34 @@ below are about speed and operability (AQE, Arrow, no UI).
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the session's Python workers this package, once for each application.
+
+    Functions that run in workers are pickled by reference, so the package must
+    be importable there whatever the driver's working folder.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="chatlake-package-"), "chatlake.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in sorted(os.walk(PACKAGE)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(PACKAGE)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
 
 def build_session(master: str | None = None, app: str = "chatlake",
                   shuffle_partitions: int | None = None,
@@ -37,14 +62,15 @@ def build_session(master: str | None = None, app: str = "chatlake",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (a bare local session) is a scratch folder
-    chosen.  ``spark.checkpoint.dir`` is a core setting and cannot be changed
+    Only a local master (one machine) may do without the setting; on a cluster a
+    missing folder is an error.  ``spark.checkpoint.dir`` is a core setting and cannot be changed
     at run time, so the folder is registered with the context instead.
     """
     sc = spark.sparkContext
@@ -52,7 +78,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        import tempfile
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="chatlake-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir()
