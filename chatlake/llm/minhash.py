@@ -8,12 +8,15 @@ batch and the pair is pruned once the posterior probability of reaching the
 threshold falls below the chosen miss probability; survivors are verified on
 their full shingle sets.  Linked classes form components.
 
-A bucket's pairs are never emitted at once.  In each round a bucket that still
-spans several components compares a few pivots (1, 4, 16, ...) with the members
-of *other* components, retires the pivots and merges what was linked.  A group
-of thousands of near copies is one component after a round or two, while a
-bucket of unlinked documents ends with every pair tested, so no link between
-two components is ever lost to a cap.
+Pairs of a bucket are not emitted.  In two rounds, each bucket that spans several
+components compares one pivot, then four, with the members of *other*
+components, retires the pivots and merges what was linked; a group of thousands
+of near copies is one component by then.  What is left, buckets of documents
+that mostly stay unlinked, is compared in blocks of bounded rows and bytes:
+block against block in one task, with signatures and texts at hand, so only
+links come out.  A pair that shares several buckets is compared in the first of
+its bands.  Every pair of a bucket is thus tested or already connected, and no
+link between two components is lost to a cap.
 
 Defined results: a null text is empty; a document without words has no
 shingles, is linked with nothing and is its own component; rows repeating a
@@ -40,6 +43,10 @@ BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 THRESHOLD_PCT = 75
 MISS_PROBABILITY = 1e-6
+#: Pivots of a bucket in each round, before what is left is compared in blocks ...
+PIVOTS = (1, 4)
+#: ... of at most about so many members and bytes of text.
+BLOCK_MEMBERS, BLOCK_BYTES = 256, 8 << 20
 BATCH = 25
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
@@ -96,12 +103,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "sig"])
 
 
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """The bucket of each signature in each band."""
+    cut = sigs.astype(np.uint64).reshape(-1, BANDS, ROWS)
+    return mix((cut * _BAND_WEIGHTS).sum(axis=2, dtype=np.uint64) ^ _BAND_SALT)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        sigs = _matrix(batch["sig"]).astype(np.uint64).reshape(len(batch), BANDS, ROWS)
-        keys = mix((sigs * _BAND_WEIGHTS).sum(axis=2, dtype=np.uint64) ^ _BAND_SALT)
+        keys = band_keys(_matrix(batch["sig"]))
         nodes = batch["node"].to_numpy()
         for i in range(0, BANDS, 8):
             yield pa.RecordBatch.from_arrays(
@@ -152,6 +164,59 @@ def _prune(threshold_pct: int, miss: float):
     return run
 
 
+class Members:
+    """Some members of one bucket, ready to be compared."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.node, self.comp = table["node"].to_numpy(), table["comp"].to_numpy()
+        self.sig = _matrix(table["sig"].combine_chunks())
+        self.keys = band_keys(self.sig)
+        self.sets = [s for texts in text_slices(table["text"].combine_chunks()) for s in shingle_sets(texts)]
+        self.size = np.array([s.size for s in self.sets], dtype=np.int64)
+
+
+def linked(one: Members, i: int, other: Members, rows: np.ndarray, bounds: list[tuple[int, int]],
+           threshold_pct: int) -> np.ndarray:
+    """Of ``rows`` of ``other``, those linked with member ``i`` of ``one``."""
+    size = one.sets[i].size
+    rows = rows[100 * np.minimum(size, other.size[rows]) >= threshold_pct * np.maximum(size, other.size[rows])]
+    same, done = np.zeros(rows.size, dtype=np.int64), 0
+    for n, least in bounds:
+        same += (other.sig[rows, done:n] == one.sig[i, done:n]).sum(axis=1)
+        rows, same, done = rows[same >= least], same[same >= least], n
+    if not rows.size:
+        return rows
+    found = np.concatenate([other.sets[j] for j in rows.tolist()])
+    at = np.minimum(np.searchsorted(one.sets[i], found), size - 1)
+    inside = np.add.reduceat(one.sets[i][at] == found, np.append(0, np.cumsum(other.size[rows])[:-1]), dtype=np.int64)
+    return rows[100 * inside >= threshold_pct * (size + other.size[rows] - inside)]
+
+
+def _blocks(threshold_pct: int, miss: float):
+    """Links between the two blocks of members in a group, or within its one block."""
+    bounds = least_matches(threshold_pct / 100, miss)
+
+    def run(table: pa.Table) -> pa.Table:
+        left_slot, right_slot = table["one"][0].as_py(), table["two"][0].as_py()
+        slot = table["slot"].to_numpy()
+        left = Members(table.filter(pa.array(slot == left_slot)))
+        right = left if left_slot == right_slot else Members(table.filter(pa.array(slot == right_slot)))
+        a, b = [], []
+        if left.node.size and right.node.size:
+            band = int(np.flatnonzero(left.keys[0] == np.uint64(table["bucket"][0].as_py() % (1 << 64)))[0])
+            for i in range(left.node.size):
+                rows = np.arange(i + 1 if right is left else 0, right.node.size)
+                rows = rows[right.comp[rows] != left.comp[i]]
+                # Pairs that agree in an earlier band are compared there.
+                rows = rows[~(right.keys[rows, :band] == left.keys[i, :band]).any(axis=1)]
+                for j in linked(left, i, right, rows, bounds, threshold_pct).tolist():
+                    a.append(min(left.node[i], right.node[j]))
+                    b.append(max(left.node[i], right.node[j]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _one_set(text: str) -> np.ndarray:
     return next(iter(shingle_sets(next(text_slices(pa.array([text]), 1)))))
 
@@ -207,6 +272,33 @@ def _ordered_pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
+def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(bucket, node, comp) of the buckets that span several components."""
+    if labels is not None:
+        members = members.join(labels, "node", "left") \
+            .select("bucket", "node", F.coalesce("root", "node").alias("comp"))
+    else:
+        members = members.withColumn("comp", F.col("node"))
+    wide = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    return members.join(wide.select("bucket"), "bucket")
+
+
+def _merge(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(node, root) after ``links``: linked nodes are contracted to their components, and those are joined."""
+    if links.isEmpty():
+        return labels
+    if labels is None:
+        return scratch.save(components(links, scratch), "labels")
+    name = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    between = (links.join(name("a"), "a", "left").join(name("b"), "b", "left")
+               .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    merged = components(between, scratch).withColumnRenamed("root", "to")
+    old = (labels.join(merged.withColumnRenamed("node", "root"), "root", "left")
+           .select("node", F.coalesce("to", "root").alias("root")))
+    new = merged.join(labels.select("node"), "node", "left_anti").select("node", F.col("to").alias("root"))
+    return scratch.save(old.union(new), "labels")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold_pct: int = THRESHOLD_PCT, miss: float = MISS_PROBABILITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
@@ -242,18 +334,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = scratch.save(texts, "texts")
     sigs = wanted.select("node", "n_shingles", "sig")
 
-    labels = None
-    tested = None
-    pivots_per_bucket = 1
-    while True:
-        # Members of buckets that still span several components.
-        if labels is not None:
-            members = (members.join(labels, "node", "left")
-                       .select("bucket", "node", F.coalesce("root", "node").alias("comp")))
-        else:
-            members = members.withColumn("comp", F.col("node"))
-        open_ = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        active = scratch.save(members.join(open_.select("bucket"), "bucket"), "active")
+    labels = tested = None
+    for pivots_per_bucket in PIVOTS:
+        active = scratch.save(_open(members, labels), "active")
         if active.isEmpty():
             break
         turn = F.xxhash64("node", F.lit(pivots_per_bucket))
@@ -264,9 +347,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = _ordered_pairs(active.join(pivots, "bucket").filter("comp <> pivot_comp"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-
+        tested = pairs = scratch.save(pairs, "pairs")
         a, b = (sigs.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"),
                             F.col("sig").alias(f"sig_{x}")) for x in "ab")
         near = (pairs.join(a, "a").join(b, "b")
@@ -278,24 +359,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = scratch.save(
             near.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
             .mapInArrow(_verify(threshold_pct), "a long, b long"), "links")
-        if not links.isEmpty():
-            if labels is None:
-                new = components(links, scratch)
-            else:
-                # Contract linked nodes to their components, join those, relabel.
-                name = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-                between = (links.join(name("a"), "a", "left").join(name("b"), "b", "left")
-                           .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
-                merged = components(between, scratch).withColumnRenamed("root", "to")
-                old = labels.join(merged.withColumnRenamed("node", "root"), "root", "left") \
-                    .select("node", F.coalesce("to", "root").alias("root"))
-                new = old.union(merged.join(labels.select("node"), "node", "left_anti")
-                                .select("node", F.col("to").alias("root")))
-            labels = scratch.save(new, "labels")
+        labels = _merge(labels, links, scratch)
         # A pivot has met every other component of its bucket: it needs no more partners there.
         members = (active.select("bucket", "node")
                    .join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"))
-        pivots_per_bucket *= 4
+    else:
+        left = scratch.save(_open(members, labels), "active")
+        if not left.isEmpty():
+            sized = left.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+            parts = sized.groupBy("bucket").agg(F.greatest(
+                F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("parts"))
+            dealt = (left.join(parts, "bucket")
+                     .withColumn("slot", F.pmod(F.xxhash64("node", F.lit(0)), F.col("parts")).cast("int"))
+                     .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+                     .select("bucket", "node", "comp", "slot", F.least("slot", "other").alias("one"),
+                             F.greatest("slot", "other").alias("two")))
+            full = dealt.join(wanted.select("node", "sig").join(texts, "node"), "node")
+            links = scratch.save(full.groupBy("bucket", "one", "two")
+                                 .applyInArrow(_blocks(threshold_pct, miss), "a long, b long"), "links")
+            labels = _merge(labels, links, scratch)
 
     named = classes.select("set_a", "set_b", "n_shingles", "node", "min_id")
     if labels is not None:
