@@ -150,7 +150,7 @@ def fit_vectoriser(df: DataFrame, text_col: str = "content", dims: int = 1536, i
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
 
-    stages = [RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", minTokenLength=1),
+    stages = [RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}\p{M}\p{N}_]+", minTokenLength=1),
               HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dims)]
     last = "_tf"
     if idf:

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,28 +54,37 @@ def fold_windows(t: np.ndarray, start, count: int, window_us: int, max_count: in
     return start, count
 
 
-def _rate_fold(group: list[str], ts: str, window_us: int, max_count: int):
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Names of the key digest (two 64-bit hashes) and of the event time in microseconds.
+_DIGEST = ("_rl_key_a", "_rl_key_b")
+_TIME = "_rl_us"
+
+
+def key_digest(group: list[str]) -> list[Column]:
+    """128 bits that stand for a key of any type; NULL keys are one key of their own."""
+    parts = [x for g in group for x in (col_(g).isNull(), col_(g))]
+    return [F.xxhash64(F.lit(salt), *parts).alias(name) for salt, name in enumerate(_DIGEST)]
+
+
+def _rate_fold(window_us: int, max_count: int):
+    """Fold sorted Arrow batches; every input column passes through untouched."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cur, start, count = None, None, 0
-        for pdf in it:
-            n = len(pdf)
+        for batch in it:
+            n = len(batch)
             if n == 0:
                 continue
-            cols = [pdf[g].to_numpy() for g in group]
-            t = _to_us(pdf[ts])
+            a, b = (batch[c].to_numpy() for c in _DIGEST)
+            t = batch[_TIME].to_numpy()
             limited = np.zeros(n, dtype=bool)
-            change = np.zeros(n - 1, dtype=bool)
-            for c in cols:
-                change |= c[1:] != c[:-1]
+            change = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             bounds = np.concatenate(([0], np.flatnonzero(change) + 1, [n]))
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                k = tuple(c[a] for c in cols)
-                if cur is None or k != cur:
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                k = (a[lo], b[lo])
+                if k != cur:
                     cur, start, count = k, None, 0
-                start, count = fold_windows(t[a:b], start, count, window_us, max_count, limited[a:b])
-            out = pdf.copy()
-            out["limited"] = limited
-            yield out
+                start, count = fold_windows(t[lo:hi], start, count, window_us, max_count, limited[lo:hi])
+            keep = [c for c in batch.schema.names if c not in (*_DIGEST, _TIME)]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(limited)], names=[*keep, "limited"])
     return run
 
 
@@ -129,9 +139,10 @@ def rate_limit(df: DataFrame, key: str, ts: str, window_ms: int, max_count: int,
             hot = F.broadcast(hot)
             cold = df.join(hot, key, "left_anti")
             hot_part = rate_limit_doubling(df.join(hot, key, "left_semi"), [key], ts, ties, window_ms, max_count)
-    parts = cold.repartition(partitions, key) if partitions else cold.repartition(key)
-    srt = parts.sortWithinPartitions(key, ts, *ties)
-    out = srt.mapInPandas(_rate_fold([key], ts, window_ms * US_PER_MS, max_count), schema)
+    keyed = cold.select("*", *key_digest([key]), _micros(ts).alias(_TIME))
+    parts = keyed.repartition(partitions, *_DIGEST) if partitions else keyed.repartition(*_DIGEST)
+    srt = parts.sortWithinPartitions(*_DIGEST, ts, *ties)
+    out = srt.mapInArrow(_rate_fold(window_ms * US_PER_MS, max_count), schema)
     if hot_part is not None:
         out = out.unionByName(hot_part.select(*[f.name for f in schema.fields]))
     return out
@@ -429,7 +440,7 @@ def otp_outcomes(events: DataFrame, partitions: int | None = None) -> DataFrame:
     from chatlake.session import checkpoint_dir
     x = events.select("id", "email", "ts", "kind",
                       F.when(F.coalesce(F.col("code"), F.lit("")) != "", F.sha2(F.col("code"), 256)).alias("code_hash"),
-                      F.coalesce(col_("code").rlike("^[0-9]{6}$"), F.lit(False)).alias("format_ok"))
+                      F.coalesce(col_("code").rlike(r"^[0-9]{6}\z"), F.lit(False)).alias("format_ok"))
     n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     checkpoint_dir(events.sparkSession)
     srt = (x.repartitionByRange(n, "email", "ts", "id").sortWithinPartitions("email", "ts", "id")

@@ -161,19 +161,19 @@ def entity_breakdown(msgs: DataFrame, category: str | None = None, k: int = 20)
 
     With ``category=None`` every category is broken down at once; the
     per-category top-k is a ``row_number() <= k`` filter, which Spark plans as
-    a WindowGroupLimit so partial top-k happens before the window shuffle.
+    a WindowGroupLimit before the window shuffle; the totals are a grouping of
+    their own, joined to the few ranked rows.
     """
     m = msgs.where((F.col("role") == "user") & F.col("category").isNotNull())
     if category is not None:
         m = m.where(F.col("category") == category)
     base = (m.groupBy("category", "entity")
              .agg(F.count(F.lit(1)).alias("count")))
-    w_total = Window.partitionBy("category")
+    total = (base.groupBy(F.col("category").alias("c")).agg(F.sum("count").alias("total")))
     w_rank = Window.partitionBy("category").orderBy(F.col("count").desc(), F.col("entity").asc())
-    ranked = (base.withColumn("total", F.sum("count").over(w_total))
-                  .where(F.col("entity").isNotNull())
-                  .withColumn("rank", F.row_number().over(w_rank)))
-    return ranked.where(F.col("rank") <= k).select("category", "entity", "count", "total", "rank")
+    top = (base.where(F.col("entity").isNotNull())
+               .withColumn("rank", F.row_number().over(w_rank)).where(F.col("rank") <= k))
+    return top.join(total, F.col("category") == F.col("c")).select("category", "entity", "count", "total", "rank")
 
 
 def model_breakdown(tokens: DataFrame) -> DataFrame:
@@ -482,7 +482,8 @@ def drop_ids(audit: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, deleted
 
 
-EMAIL_RE = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
+# Fixed value: the sign-in pattern; \z, since $ would let a final newline pass.
+EMAIL_RE = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\z"
 
 
 def valid_email(c: Column | str) -> Column:
@@ -515,7 +516,7 @@ def _js_int(x) -> int | None:
     import re
     if x is None:
         return None
-    m = re.match(r"^\s*([+-]?\d+)", str(x))
+    m = re.match(r"^\s*([+-]?[0-9]+)", str(x))
     return int(m.group(1)) if m else None
 
 
@@ -541,23 +542,31 @@ def keyset_page(df: DataFrame, order: list[tuple[str, bool]], after: tuple | Non
     ``order`` is [(column, descending)]; the last column must be unique (e.g.
     id).  The seek predicate is a filter Spark pushes toward the scan, so a
     deep page costs a top-``limit`` per partition instead of sorting and
-    skipping ``offset`` rows.  Key columns must be non-NULL.
+    skipping ``offset`` rows.  NULL sorts above every value, as in Postgres
+    (first when descending, last when ascending).
     """
     out = df
     if after is not None:
         cond = None
         for i in range(len(order) - 1, -1, -1):
             c, desc = order[i]
-            step = (F.col(c) < F.lit(after[i])) if desc else (F.col(c) > F.lit(after[i]))
-            cond = step if cond is None else (step | ((F.col(c) == F.lit(after[i])) & cond))
+            v = F.col(c)
+            if after[i] is None:
+                step = v.isNotNull() if desc else F.lit(False)
+                same = v.isNull()
+            else:
+                step = F.coalesce(v < F.lit(after[i]), F.lit(False)) if desc else v.isNull() | (v > F.lit(after[i]))
+                same = F.coalesce(v == F.lit(after[i]), F.lit(False))
+            cond = step if cond is None else (step | (same & cond))
         out = out.where(cond)
-    return out.orderBy(*[F.col(c).desc() if d else F.col(c).asc() for c, d in order]).limit(limit)
+    return out.orderBy(*[F.col(c).desc_nulls_first() if d else F.col(c).asc_nulls_last() for c, d in order]).limit(limit)
 
 
 def audit_page(audit: DataFrame, users: DataFrame, page=1, limit: int = 30) -> tuple[DataFrame, DataFrame]:
     """JN1 + SL2: newest-first audit page (Postgres DESC = NULLS FIRST, id tie-break)."""
-    j = audit_with_user(audit, users)
-    return paginate(j, [pg_desc("created_at"), F.col("id").desc()], page, limit)
+    order = [pg_desc("created_at"), F.col("id").desc()]
+    rows, meta = paginate(audit, order, page, limit)
+    return audit_with_user(rows, users).orderBy(*order), meta
 
 
 def users_page(users: DataFrame, sessions: DataFrame, tokens: DataFrame, page=1, limit=25,
@@ -565,5 +574,9 @@ def users_page(users: DataFrame, sessions: DataFrame, tokens: DataFrame, page=1,
                banned: str | None = "any") -> tuple[DataFrame, DataFrame]:
     """PF1 + PF2 + JN2 + SL2: the admin user list."""
     f = user_filter(user_search(users, search), source, banned)
-    j = users_with_usage(f, sessions, tokens)
-    return paginate(j, [pg_desc("created_at"), F.col("id").desc()], page, clamp_limit(limit))
+    order = [pg_desc("created_at"), F.col("id").desc()]
+    rows, meta = paginate(f, order, page, clamp_limit(limit))
+    # At most 100 users are on a page: the facts are reduced to theirs before they are summed.
+    mine = F.broadcast(rows.select(F.col("id").alias("user_id")))
+    j = users_with_usage(rows, sessions.join(mine, "user_id", "left_semi"), tokens.join(mine, "user_id", "left_semi"))
+    return j.orderBy(*order), meta

@@ -50,8 +50,11 @@ def merge_identities(users: DataFrame, sso: DataFrame) -> tuple[DataFrame, DataF
     s = _latest(sso.where(F.col("devonix_user_id").isNotNull()), "devonix_user_id", ["ts"],
                 ["ts", "first_name", "last_name", "email", "phone"])
     s = s.select("devonix_user_id", "ts", nullif_empty("first_name").alias("fn"),
-                 nullif_empty("last_name").alias("ln"), nullif_empty("email").alias("em"),
-                 nullif_empty("phone").alias("ph"))
+                 nullif_empty("last_name").alias("ln"))
+    # Each payload is applied in turn, so the last non-blank e-mail and phone hold.
+    held = lambda c: F.max_by(nullif_empty(c), F.when(nullif_empty(c).isNotNull(), F.struct("ts", c)))
+    s = s.join(sso.groupBy("devonix_user_id").agg(held("email").alias("em"), held("phone").alias("ph")),
+               "devonix_user_id")
     u = users.select("id", "devonix_user_id", "email", "phone", "banned")
     by_id = s.join(u.where(F.col("devonix_user_id").isNotNull()), "devonix_user_id")
     rest = s.join(by_id.select("devonix_user_id"), "devonix_user_id", "left_anti")

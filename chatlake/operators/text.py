@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions.joins import broadcast_if_small
@@ -24,9 +24,6 @@ from chatlake.functions.semantics import col_, js_trim, js_word_count
 from chatlake.sources.lexicon import (CONTEXT_ANSWER_MAX_WORDS, HISTORY_MAX_CHARS, MAX_MESSAGE_CHARS,
                                       MIN_MESSAGE_CHARS, SOURCE_LABEL, Lexicon)
 
-# Above this many keywords TX1 switches from a literal array to a join.
-LITERAL_KEYWORD_LIMIT = 1000
-
 
 # ------------------------------------------------------------------ TX1 / JN6
 
@@ -65,16 +62,18 @@ def first_keyword(text: Column, lex: Lexicon) -> Column:
 
 
 def classify(df: DataFrame, text_col: str, lex: Lexicon, key_cols: list[str] | None = None,
-             method: str = "auto", normalize: bool = False) -> DataFrame:
+             method: str = "literal", normalize: bool = False) -> DataFrame:
     """TX1: add (category, entity): first category, then first keyword, contained in the text.
 
     Case-sensitive substring match on the untrimmed keyword; the entity is the
     trimmed keyword; no hit gives (default category, NULL).
 
-    ``method='literal'`` evaluates the dictionary as a literal array per row
-    (no shuffle).  ``method='join'`` (large dictionaries; needs ``key_cols``)
-    joins the size-checked, broadcast dictionary on ``contains`` and keeps the
-    best-ranked hit per row with ``min_by`` — only hits leave the join.
+    ``method='literal'`` evaluates the dictionary as a literal array per row (no
+    shuffle).  ``method='join'`` joins the size-checked dictionary on
+    ``contains`` and keeps each row's best-ranked hit with ``min_by``; rows are
+    told apart by a row id, so repeated and NULL keys keep their own answers
+    (``key_cols`` is accepted and not needed).  The caller chooses; the answers
+    are the same.
     """
     if normalize:
         # Optional: match precomposed and decomposed spellings alike (the default
@@ -84,9 +83,6 @@ def classify(df: DataFrame, text_col: str, lex: Lexicon, key_cols: list[str] | N
         df = df.withColumn("_norm_text", decompose_nukta(F.col(text_col)))
         out = classify(df, "_norm_text", lex, key_cols, method, normalize=False)
         return out.drop("_norm_text")
-    n_kw = len(lex.keyword_rows())
-    if method == "auto":
-        method = "literal" if n_kw <= LITERAL_KEYWORD_LIMIT or not key_cols else "join"
     if method == "literal":
         hit = first_keyword(F.col(text_col), lex)
         return (df.withColumn("_hit", hit)
@@ -94,14 +90,13 @@ def classify(df: DataFrame, text_col: str, lex: Lexicon, key_cols: list[str] | N
                   .withColumn("entity", js_trim(F.col("_hit.kw")))
                   .drop("_hit"))
     kw = broadcast_if_small(keyword_frame(df.sparkSession, lex))
-    hits = (df.select(*key_cols, text_col)
-              .join(kw, F.col(text_col).contains(F.col("keyword")))
-              .groupBy(*key_cols)
-              .agg(F.min_by(F.struct("category", "keyword"), F.struct("cat_rank", "kw_rank")).alias("_hit")))
-    return (df.join(hits, key_cols, "left")
-              .withColumn("category", F.coalesce(F.col("_hit.category"), F.lit(lex.default_category)))
-              .withColumn("entity", js_trim(F.col("_hit.keyword")))
-              .drop("_hit"))
+    rows = df.select(F.struct("*").alias("_r"), F.monotonically_increasing_id().alias("_row"))
+    best = (rows.join(kw, F.col(f"_r.{text_col}").contains(F.col("keyword")), "left")
+                .groupBy("_row")
+                .agg(F.any_value("_r").alias("_r"),
+                     F.min_by(F.struct("category", "keyword"), F.struct("cat_rank", "kw_rank")).alias("_hit")))
+    return best.select("_r.*", F.coalesce(F.col("_hit.category"), F.lit(lex.default_category)).alias("category"),
+                       js_trim(F.col("_hit.keyword")).alias("entity"))
 
 
 # ------------------------------------------------------------------ hints, TX2, TX3
@@ -137,11 +132,6 @@ def missing_context(trimmed: Column, input_type: Column, known_profession: Colum
 
 # ------------------------------------------------------------------ WN4, WN5, turn labelling
 
-def _prev(turns: DataFrame, back: int, prefix: str) -> DataFrame:
-    return turns.select("conv_id", (F.col("turn") + back).alias("turn"),
-                        F.col("role").alias(f"{prefix}_role"), F.col("text").alias(f"{prefix}_text"))
-
-
 def label_turns(turns: DataFrame, lex: Lexicon) -> DataFrame:
     """Label every user turn as a chat request, with the turns before it as history.
 
@@ -150,9 +140,10 @@ def label_turns(turns: DataFrame, lex: Lexicon) -> DataFrame:
     turns (p1 = newest) for prompt assembly.
     """
     users = turns.where(F.col("role") == "user")
-    p1 = _prev(turns, 1, "p1")
-    p2 = _prev(turns, 2, "p2")
-    x = users.join(p1, ["conv_id", "turn"], "left").join(p2, ["conv_id", "turn"], "left")
+    # The two items before each, whatever their turn numbers.
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    before = {f"p{back}_{c}": F.lag(c, back).over(w) for back in (1, 2) for c in ("role", "text")}
+    x = turns.withColumns(before).where(F.col("role") == "user")
 
     def asked(role: str, text: str) -> Column:
         return F.coalesce((F.col(role) == "ai") & F.col(text).contains(lex.context_marker), F.lit(False))

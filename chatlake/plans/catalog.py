@@ -9,11 +9,7 @@ _MODULES = ["chatlake.plans.text_plans", "chatlake.plans.knowledge_plans",
             "chatlake.plans.state_plans", "chatlake.plans.limit_plans", "chatlake.plans.stream_plans"]
 
 for _m in _MODULES:
-    try:
-        __import__(_m)
-    except ModuleNotFoundError as e:  # plan module not written yet
-        if e.name != _m:
-            raise
+    __import__(_m)
 
 
 def queries():

@@ -89,8 +89,8 @@ def _ingest(spark, d, dims: int = 64):
 ok AS (SELECT doc_id, {_trim("text")} AS text FROM v WHERE reason IS NULL)
 {_chunks_sql("ok", "doc_id", "text", LINE_SEP)}
 SELECT v.doc_id, v.reason, CAST(count(c.chunk_idx) AS BIGINT) AS total_chunks,
-  CAST(count(c.chunk_idx) FILTER (WHERE regexp_matches(c.content, '[0-9A-Za-z_]')) AS BIGINT) AS inserted,
-  CAST(count(c.chunk_idx) FILTER (WHERE NOT regexp_matches(c.content, '[0-9A-Za-z_]')) AS BIGINT) AS failed
+  CAST(count(c.chunk_idx) FILTER (WHERE regexp_matches(c.content, '[\\p{{L}}\\p{{M}}\\p{{N}}_]')) AS BIGINT) AS inserted,
+  CAST(count(c.chunk_idx) FILTER (WHERE NOT regexp_matches(c.content, '[\\p{{L}}\\p{{M}}\\p{{N}}_]')) AS BIGINT) AS failed
 FROM v LEFT JOIN chunks c ON c.k0 = v.doc_id GROUP BY v.doc_id, v.reason""")))
 def kb2(spark, d):
     _, rejects, report = _ingest(spark, d)

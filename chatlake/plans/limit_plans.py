@@ -17,17 +17,17 @@ from chatlake.sources import tables as T
 def _rl_sql(src: str, key: str, ts: str, tie: str, window_ms: int, max_count: int, name: str) -> str:
     """CTE ``name``: (tie, limited) for every row of ``src`` (anchored windows per key)."""
     return f"""
-{name}_ev AS (SELECT {key} AS k, {ts} AS ts, {tie} AS id FROM {src}),
-{name}_nx AS (SELECT a.k, a.ts, min(b.ts) AS nts FROM (SELECT DISTINCT k, ts FROM {name}_ev) a
+{name}_ev AS MATERIALIZED (SELECT {key} AS k, {ts} AS ts, {tie} AS id FROM {src}),
+{name}_nx AS MATERIALIZED (SELECT a.k, a.ts, min(b.ts) AS nts FROM (SELECT DISTINCT k, ts FROM {name}_ev) a
               LEFT JOIN {name}_ev b ON b.k = a.k AND b.ts > a.ts + INTERVAL ({window_ms}) MILLISECOND
               GROUP BY a.k, a.ts),
 {name}_st(k, s) AS (SELECT k, min(ts) FROM {name}_ev GROUP BY k
                     UNION ALL
                     SELECT st.k, nx.nts FROM {name}_st st JOIN {name}_nx nx ON nx.k = st.k AND nx.ts = st.s
                     WHERE nx.nts IS NOT NULL),
-{name}_win AS (SELECT e.k, e.ts, e.id, max(st.s) AS ws FROM {name}_ev e
+{name}_win AS MATERIALIZED (SELECT e.k, e.ts, e.id, max(st.s) AS ws FROM {name}_ev e
                JOIN {name}_st st ON st.k = e.k AND st.s <= e.ts GROUP BY e.k, e.ts, e.id),
-{name} AS (SELECT id, row_number() OVER (PARTITION BY k, ws ORDER BY ts, id) > {max_count} AS limited
+{name} AS MATERIALIZED (SELECT id, row_number() OVER (PARTITION BY k, ws ORDER BY ts, id) > {max_count} AS limited
            FROM {name}_win)"""
 
 
@@ -45,10 +45,10 @@ def chat_requests(spark, d):
                     F.concat(F.lit("10.0.0."), (F.col("user_id") % 16).cast("string")).alias("ip"), "ts")
 
 
-@register("RL2_rate_limit_chain", "WITH RECURSIVE req AS (SELECT event_id AS request_id, user_id, "
+@register("RL2_rate_limit_chain", "WITH RECURSIVE req AS MATERIALIZED (SELECT event_id AS request_id, user_id, "
           "'10.0.0.' || CAST(user_id % 16 AS VARCHAR) AS ip, ts FROM events),"
           + _rl_sql("req", "ip", "ts", "request_id", 60_000, 15, "a") + ",\n"
-          + "pass AS (SELECT r.* FROM req r JOIN a ON a.id = r.request_id WHERE NOT a.limited),"
+          + "pass AS MATERIALIZED (SELECT r.* FROM req r JOIN a ON a.id = r.request_id WHERE NOT a.limited),"
           + _rl_sql("pass", "user_id", "ts", "request_id", 60_000, 20, "b") + """
 SELECT id AS request_id, true AS limited, 'ip' AS by FROM a WHERE limited
 UNION ALL SELECT id, limited, CASE WHEN limited THEN 'user' END FROM b""")

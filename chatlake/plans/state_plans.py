@@ -19,7 +19,9 @@ AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
 _ID1 = """
 , s AS (SELECT devonix_user_id, ts, NULLIF(first_name, '') AS fn, NULLIF(last_name, '') AS ln,
-               NULLIF(email, '') AS em, NULLIF(phone, '') AS ph FROM sso_payloads
+               last_value(NULLIF(email, '') IGNORE NULLS) OVER w AS em,
+               last_value(NULLIF(phone, '') IGNORE NULLS) OVER w AS ph FROM sso_payloads
+        WINDOW w AS (PARTITION BY devonix_user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
         QUALIFY row_number() OVER (PARTITION BY devonix_user_id ORDER BY ts DESC) = 1),
 bi AS (SELECT s.*, u.id, u.email AS old_email, u.phone AS old_phone, u.banned
        FROM s JOIN users u ON u.devonix_user_id = s.devonix_user_id),
@@ -304,7 +306,7 @@ SELECT event_id, CAST(CAST(floor(value * 10000) AS BIGINT) AS VARCHAR) AS code,
 def pf8(spark, d):
     e = T.load(spark, d, "events")
     code = F.floor(F.col("value") * 10000).cast("bigint").cast("string")
-    return e.select("event_id", code.alias("code"), code.rlike("^[0-9]{6}$").alias("valid"))
+    return e.select("event_id", code.alias("code"), code.rlike(r"^[0-9]{6}\z").alias("valid"))
 
 
 def requests(spark, d):

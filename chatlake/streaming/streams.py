@@ -92,6 +92,18 @@ def active_user_days_stream(msgs: DataFrame, watermark: str = "1 hour") -> DataF
                 .agg(F.count(F.lit(1)).alias("n")))
 
 
+def batches(spark: SparkSession, folder: str) -> list[int]:
+    """Ids of the completely written ``batch=N`` folders; an unreadable store raises."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path)]
+    return [int(p.getName().removeprefix("batch=")) for p in found if p.getName().startswith("batch=")
+            and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
 def run_to_table(sdf: DataFrame, name: str, mode: str = "update", keys: list[str] | None = None) -> DataFrame:
     """Drive a streaming DataFrame over all available input into a parquet table; return it.
 
@@ -108,10 +120,9 @@ def run_to_table(sdf: DataFrame, name: str, mode: str = "update", keys: list[str
     q = (sdf.writeStream.outputMode(mode).foreachBatch(sink)
             .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        res = spark.read.parquet(out)
-    except Exception:  # noqa: BLE001  (no batch produced rows)
+    if not batches(spark, out):  # no batch produced rows
         return spark.createDataFrame([], sdf.schema.add("_batch", T.LongType()))
+    res = spark.read.parquet(out)
     if keys:
         from pyspark.sql import Window
         w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
@@ -135,11 +146,7 @@ def feedback_stream(events: DataFrame, msgs: DataFrame, name: str = "feedback",
 
     def previous(batch_id: int) -> str | None:
         """Latest snapshot written before this batch (also after a driver restart)."""
-        try:
-            ids = [r["batch"] for r in spark.read.parquet(snap).select("batch").distinct().collect()]
-        except Exception:  # noqa: BLE001  (no snapshot yet)
-            return None
-        ids = [i for i in ids if i < batch_id]
+        ids = [i for i in batches(spark, snap) if i < batch_id]
         return f"{snap}/batch={max(ids)}" if ids else None
 
     def upsert(df: DataFrame, batch_id: int) -> None:

@@ -16,22 +16,14 @@ _WS = "[" + re.escape(JS_WS_CHARS) + "]"
 
 
 def py_chunks(text: str, target: int = 350) -> list[str]:
-    """Independent greedy packing (written from the behaviour, not from the Spark code)."""
+    """Stated behaviour: as many whole paragraphs as fit in ``target`` words, one at least."""
     paras = [p.strip(JS_WS_CHARS) for p in re.split(r"\n" + _WS + r"*\n", text)]
-    paras = [p for p in paras if p]
-    out, cur, n = [], [], 0
-    for p in paras:
-        w = len(re.split(_WS + "+", p))
-        if cur and n + w > target:
-            out.append("\n\n".join(cur))
-            cur, n = [], 0
-        cur.append(p)
-        n += w
-        if n > target * 1.6:
-            out.append("\n\n".join(cur))
-            cur, n = [], 0
-    if cur:
-        out.append("\n\n".join(cur))
+    left = [(p, len(re.split(_WS + "+", p))) for p in paras if p]
+    out = []
+    while left:
+        fits = [k for k in range(1, len(left) + 1) if k == 1 or sum(w for _, w in left[:k]) <= target]
+        out.append("\n\n".join(p for p, _ in left[:fits[-1]]))
+        left = left[fits[-1]:]
     return out
 
 
