@@ -35,8 +35,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-#: Hexadecimal digits of the digest that divide a size class into blocks (16 ** 3).
-BLOCK_DIGITS = 3
+#: Hexadecimal digits of the digest that divide a size class into blocks (16 ** 2).
+BLOCK_DIGITS = 2
 SEED = "mix"
 
 
