@@ -11,7 +11,7 @@ write the new snapshot to a new path and swap.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions.scalars import suspension_end
@@ -269,33 +269,69 @@ def toggle_feedback(clicks: DataFrame, key: str = "message_id") -> DataFrame:
 
 # ------------------------------------------------------------------ EX1
 
-def log_exchanges(ex: DataFrame, default_category: str, new_title: str) -> dict[str, DataFrame]:
+#: Exchange ids per step of the running totals: a task orders one step.
+ID_STEP = 1 << 20
+
+
+def _running_totals(ex: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """Add, for each named count, its sum over all rows of smaller ``exchange_id``.
+
+    Sums per step of ``ID_STEP`` ids are summed up first (a row per step), then
+    the rows of each step: no task sees more than one step's rows.  Like a
+    serial column, ``exchange_id`` must be unique and not NULL.
+    """
+    x = ex.withColumn("_step", F.floor(F.col("exchange_id") / ID_STEP))
+    for name, n in counts.items():
+        x = x.withColumn(f"_n_{name}", n.cast("bigint"))
+    steps = x.groupBy("_step").agg(*[F.sum(f"_n_{c}").alias(f"_t_{c}") for c in counts])
+    before = Window.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select("_step", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in counts])
+    inside = Window.partitionBy("_step").orderBy("exchange_id").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.join(steps, "_step")
+    return x.select(*ex.columns, *[(F.col(f"_b_{c}") + F.coalesce(F.sum(f"_n_{c}").over(inside), F.lit(0))).alias(c)
+                                   for c in counts])
+
+
+def log_exchanges(ex: DataFrame, default_category: str, new_title: str,
+                  existing: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """EX1: persist chat exchanges as rows of sessions, messages and token usage.
 
     ``ex``: exchange_id, user_id, session_id (NULL → new session), category,
     entity, ts, usage array<struct<model, prompt_tokens, completion_tokens,
-    total_tokens>>.  Ids derive from exchange_id (no global numbering).
+    total_tokens>>.  New ids go on from the largest id of the ``existing``
+    tables (0 if not given), without gaps, in order of exchange_id, so no two
+    rows collide whatever the number of usage rows; reruns give the same ids.
     Message contents are stored empty, as the application does.
     """
+    def last(table: str) -> Column:
+        if existing is None or table not in existing:
+            return F.lit(0).cast("bigint")
+        return existing[table].agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("id")).scalar()
+
+    usages = F.when(F.col("usage").isNull(), F.lit(0)).otherwise(F.size("usage"))
+    ex = _running_totals(ex, {"_ahead": F.lit(1), "_sessions": F.col("session_id").isNull().cast("int"), "_usages": usages})
+    ex = (ex.withColumn("_s", last("dream_sessions") + F.col("_sessions") + 1)
+            .withColumn("_m", last("dream_messages") + F.col("_ahead") * 2 + 1)
+            .withColumn("_u", last("token_usage") + F.col("_usages") + 1))
     new = ex.where(F.col("session_id").isNull())
     cat = F.col("category")
-    sessions = new.select(F.col("exchange_id").alias("id"), "user_id",
+    sessions = new.select(F.col("_s").alias("id"), "user_id",
                           F.when(cat.isNull() | (cat == default_category), F.lit(new_title)).otherwise(cat).alias("title"),
                           F.col("ts").alias("created_at"))
-    sid = F.coalesce(F.col("session_id"), F.col("exchange_id"))
-    user_row = F.struct((F.col("exchange_id") * 2).alias("id"), F.lit("user").alias("role"),
+    sid = F.coalesce(F.col("session_id"), F.col("_s"))
+    user_row = F.struct(F.col("_m").alias("id"), F.lit("user").alias("role"),
                         cat.alias("category"), F.col("entity").alias("entity"))
-    ai_row = F.struct((F.col("exchange_id") * 2 + 1).alias("id"), F.lit("ai").alias("role"),
+    ai_row = F.struct((F.col("_m") + 1).alias("id"), F.lit("ai").alias("role"),
                       F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("entity"))
     messages = (ex.select(sid.alias("session_id"), "user_id", "ts", F.explode(F.array(user_row, ai_row)).alias("m"))
                   .select("m.id", "session_id", "user_id", "m.role", F.lit("").alias("content"), "m.category",
                           "m.entity", F.lit(None).cast("string").alias("feedback"), F.col("ts").alias("created_at")))
-    u = ex.select("exchange_id", "user_id", "ts", F.posexplode("usage").alias("i", "x"))
+    u = ex.select("_m", "_u", "user_id", "ts", F.posexplode("usage").alias("i", "x"))
     p = F.coalesce(F.when(F.col("x.prompt_tokens") != 0, F.col("x.prompt_tokens")), F.lit(0)).cast("bigint")
     c = F.coalesce(F.when(F.col("x.completion_tokens") != 0, F.col("x.completion_tokens")), F.lit(0)).cast("bigint")
     t = F.coalesce(F.when(F.col("x.total_tokens") != 0, F.col("x.total_tokens")), p + c).cast("bigint")
-    tokens = u.select((F.col("exchange_id") * 10 + F.col("i")).alias("id"), "user_id",
-                      (F.col("exchange_id") * 2 + 1).alias("message_id"), F.col("x.model").alias("model"),
+    tokens = u.select((F.col("_u") + F.col("i")).alias("id"), "user_id",
+                      (F.col("_m") + 1).alias("message_id"), F.col("x.model").alias("model"),
                       p.alias("prompt_tokens"), c.alias("completion_tokens"), t.alias("total_tokens"),
                       F.col("ts").alias("created_at"))
     return {"dream_sessions": sessions, "dream_messages": messages, "token_usage": tokens}

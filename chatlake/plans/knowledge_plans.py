@@ -24,7 +24,6 @@ def _wc(x: str) -> str:
 
 def _chunks_sql(src: str, key: str, text: str, sep: str, target: int = 350) -> str:
     """CTEs 'paras' and 'chunks' = greedy packing by a recursive walk over paragraphs."""
-    cap = int(target * 1.6)
     new = f"(w.cur = 0 OR w.cur + p.wc > {target})"
     base = f"(CASE WHEN {new} THEN 0 ELSE w.cur END)"
     return f"""
@@ -34,10 +33,10 @@ trimmed AS (SELECT k0, i, {_trim("p")} AS tp FROM parts),
 paras AS (SELECT k0, row_number() OVER (PARTITION BY k0 ORDER BY i) AS k, tp AS p, {_wc("tp")} AS wc
           FROM trimmed WHERE tp <> ''),
 walk AS (
-  SELECT k0, k, 0 AS chunk, CASE WHEN wc > {cap} THEN 0 ELSE wc END AS cur FROM paras WHERE k = 1
+  SELECT k0, k, 0 AS chunk, wc AS cur FROM paras WHERE k = 1
   UNION ALL
   SELECT p.k0, p.k, w.chunk + CASE WHEN {new} THEN 1 ELSE 0 END,
-         CASE WHEN {base} + p.wc > {cap} THEN 0 ELSE {base} + p.wc END
+         {base} + p.wc
   FROM walk w JOIN paras p ON p.k0 = w.k0 AND p.k = w.k + 1),
 chunks AS (
   SELECT w.k0, w.chunk AS chunk_idx, string_agg(p.p, chr(10) || chr(10) ORDER BY p.k) AS content,

@@ -251,7 +251,7 @@ def exchanges(spark, d):
         F.struct(F.lit("openrouter:m-or").alias("model"), F.lit(0).alias("prompt_tokens"),
                  (ln % 7).alias("completion_tokens"),
                  F.when(F.col("turn") % 4 == 0, F.lit(5)).otherwise(F.lit(0)).alias("total_tokens")))
-    return t.select((F.col("conv_id") * 100 + F.col("turn")).alias("exchange_id"), F.col("conv_id").alias("user_id"),
+    return t.select((F.col("conv_id") * 10000 + F.col("turn")).alias("exchange_id"), F.col("conv_id").alias("user_id"),
                     F.when(F.col("turn") == 0, F.lit(None).cast("bigint")).otherwise(F.col("conv_id") * 100).alias("session_id"),
                     "category", "entity",
                     (T.ts_lit("2024-01-01 00:00:00") + F.make_dt_interval(F.lit(0), F.col("conv_id").cast("int"),
@@ -261,41 +261,50 @@ def exchanges(spark, d):
 
 def _ex_sql() -> str:
     from chatlake.plans.text_plans import _classify_sql, _q
-    return _classify_sql("chat_turns", "conv_id * 1000 + turn", "text") + f"""
-, ex AS (SELECT c.conv_id * 100 + c.turn AS exchange_id, c.conv_id AS user_id,
+    return _classify_sql("chat_turns", "conv_id * 10000 + turn", "text") + f"""
+, ex AS (SELECT c.conv_id * 10000 + c.turn AS exchange_id, c.conv_id AS user_id,
            CASE WHEN c.turn = 0 THEN NULL ELSE c.conv_id * 100 END AS session_id,
            COALESCE(h.category, {_q(LATIN.default_category)}) AS category, trim(h.keyword) AS entity,
            TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(c.conv_id AS INTEGER)) + to_minutes(CAST(c.turn AS INTEGER)) AS ts,
            length(c.text) AS ln, c.turn
-         FROM chat_turns c LEFT JOIN hits h ON h.k = c.conv_id * 1000 + c.turn WHERE c.role = 'user')"""
+         FROM chat_turns c LEFT JOIN hits h ON h.k = c.conv_id * 10000 + c.turn WHERE c.role = 'user'),
+numbered AS (SELECT *, (SELECT max(conv_id) * 100 FROM chat_turns)
+           + count(*) FILTER (WHERE session_id IS NULL) OVER (ORDER BY exchange_id) AS sid,
+         row_number() OVER (ORDER BY exchange_id) AS n FROM ex)"""
+
+
+def _logged(spark, d):
+    sessions = T.chat_turns(spark, d).select((F.col("conv_id") * 100).alias("id"))
+    return S.log_exchanges(exchanges(spark, d), LATIN.default_category, LATIN.no_category_title,
+                           {"dream_sessions": sessions})
 
 
 @register("EX1_sessions", with_views(["chat_turns"], _ex_sql() + f"""
-SELECT exchange_id AS id, user_id,
+SELECT sid AS id, user_id,
   CASE WHEN category IS NULL OR category = 'other' THEN {'%s' % "'new chat'"} ELSE category END AS title,
-  ts AS created_at FROM ex WHERE session_id IS NULL"""))
+  ts AS created_at FROM numbered WHERE session_id IS NULL"""))
 def ex1_sessions(spark, d):
-    return S.log_exchanges(exchanges(spark, d), LATIN.default_category, LATIN.no_category_title)["dream_sessions"]
+    return _logged(spark, d)["dream_sessions"]
 
 
 @register("EX1_messages", with_views(["chat_turns"], _ex_sql() + """
-SELECT exchange_id * 2 AS id, COALESCE(session_id, exchange_id) AS session_id, user_id, 'user' AS role, '' AS content,
-  category, entity, CAST(NULL AS VARCHAR) AS feedback, ts AS created_at FROM ex
+SELECT n * 2 - 1 AS id, COALESCE(session_id, sid) AS session_id, user_id, 'user' AS role, '' AS content,
+  category, entity, CAST(NULL AS VARCHAR) AS feedback, ts AS created_at FROM numbered
 UNION ALL
-SELECT exchange_id * 2 + 1, COALESCE(session_id, exchange_id), user_id, 'ai', '', NULL, NULL, NULL, ts FROM ex"""))
+SELECT n * 2, COALESCE(session_id, sid), user_id, 'ai', '', NULL, NULL, NULL, ts FROM numbered"""))
 def ex1_messages(spark, d):
-    return S.log_exchanges(exchanges(spark, d), LATIN.default_category, LATIN.no_category_title)["dream_messages"]
+    return _logged(spark, d)["dream_messages"]
 
 
 @register("EX1_tokens", with_views(["chat_turns"], _ex_sql() + """
-SELECT exchange_id * 10 AS id, user_id, exchange_id * 2 + 1 AS message_id, 'm-groq' AS model,
+SELECT n * 2 - 1 AS id, user_id, n * 2 AS message_id, 'm-groq' AS model,
   CAST(ln % 100 AS BIGINT) AS prompt_tokens, CAST(turn * 10 AS BIGINT) AS completion_tokens,
-  CAST(ln % 100 + turn * 10 AS BIGINT) AS total_tokens, ts AS created_at FROM ex
+  CAST(ln % 100 + turn * 10 AS BIGINT) AS total_tokens, ts AS created_at FROM numbered
 UNION ALL
-SELECT exchange_id * 10 + 1, user_id, exchange_id * 2 + 1, 'openrouter:m-or', 0, CAST(ln % 7 AS BIGINT),
-  CAST(CASE WHEN turn % 4 = 0 THEN 5 ELSE ln % 7 END AS BIGINT), ts FROM ex"""))
+SELECT n * 2, user_id, n * 2, 'openrouter:m-or', 0, CAST(ln % 7 AS BIGINT),
+  CAST(CASE WHEN turn % 4 = 0 THEN 5 ELSE ln % 7 END AS BIGINT), ts FROM numbered"""))
 def ex1_tokens(spark, d):
-    return S.log_exchanges(exchanges(spark, d), LATIN.default_category, LATIN.no_category_title)["token_usage"]
+    return _logged(spark, d)["token_usage"]
 
 
 # ---------------------------------------------------------------- PF8, PF10

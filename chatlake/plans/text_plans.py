@@ -82,14 +82,14 @@ typed AS (
                  WHEN context_asked AND {wc} <= 25 THEN 'context_answer'
                  ELSE 'general_question' END AS input_type
   FROM prof)
-{_classify_sql("typed", "conv_id * 1000 + turn", "trimmed")},
+{_classify_sql("typed", "conv_id * 10000 + turn", "trimmed")},
 lab AS (
   SELECT t.*, COALESCE(h.category, {_q(LEX.default_category)}) AS category, trim(h.keyword) AS entity,
     list_filter([CASE WHEN NOT {_any("lower(t.trimmed)", LEX.location_hints)} THEN {_q(LEX.missing_location)} END,
                  CASE WHEN NOT {_any("lower(t.trimmed)", LEX.emotion_hints)} THEN {_q(LEX.missing_emotion)} END,
                  CASE WHEN t.input_type = 'new_dream' AND t.known_profession IS NULL AND NOT t.context_asked
                       THEN {_q(LEX.missing_life)} END], lambda x: x IS NOT NULL) AS missing
-  FROM typed t LEFT JOIN hits h ON h.k = t.conv_id * 1000 + t.turn)"""
+  FROM typed t LEFT JOIN hits h ON h.k = t.conv_id * 10000 + t.turn)"""
 
 
 def _curated_sql() -> str:
@@ -134,9 +134,9 @@ def jn6(spark, d):
     return X.classify(docs, "text", LEX, key_cols=["doc_id"], method="join").select("doc_id", "category", "entity")
 
 
-@register("TX1_classify_chat_turns", with_views(["chat_turns"], _classify_sql("chat_turns", "conv_id * 1000 + turn", "text") + f"""
+@register("TX1_classify_chat_turns", with_views(["chat_turns"], _classify_sql("chat_turns", "conv_id * 10000 + turn", "text") + f"""
 SELECT c.conv_id, c.turn, COALESCE(h.category, {_q(LEX.default_category)}) AS category, trim(h.keyword) AS entity
-FROM chat_turns c LEFT JOIN hits h ON h.k = c.conv_id * 1000 + c.turn"""))
+FROM chat_turns c LEFT JOIN hits h ON h.k = c.conv_id * 10000 + c.turn"""))
 def tx1_turns(spark, d):
     return X.classify(T.chat_turns(spark, d), "text", LEX).select("conv_id", "turn", "category", "entity")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chatlake.functions.semantics import JS_WS_CHARS
 from chatlake.operators import knowledge as K
 from chatlake.sources import tables as T
-from conftest import SF001
+from conftest import SF001, SF01
 
 _WS = "[" + re.escape(JS_WS_CHARS) + "]"
 
@@ -86,7 +86,7 @@ def test_semantic_topk_matches_numpy(spark):
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     d = np.round(1 - m @ m.T, K.DIST_DECIMALS)
     top = K.semantic_topk(kc.select(F.col("id").alias("query_id"), "embedding"), kc, k=5,
-                          max_broadcast_bytes=64 * 100)   # forces several query batches
+                          block_rows=32)   # forces several blocks on both sides
     got = {}
     for r in top.collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
@@ -95,16 +95,26 @@ def test_semantic_topk_matches_numpy(spark):
         assert [i for _, i in sorted(got[q])] == list(ids[order])
 
 
-def test_approx_topk_recall_and_pruning(spark):
+def test_semantic_topk_without_vectors(spark):
     kc = T.knowledge_chunks(spark, SF001)
     q = kc.select(F.col("id").alias("query_id"), "embedding")
+    assert K.semantic_topk(q, kc.limit(0)).count() == 0
+    assert K.semantic_topk(q.limit(0), kc).count() == 0
+    zero = kc.limit(3).withColumn("embedding", F.transform("embedding", lambda x: x * 0))
+    assert K.semantic_topk(q, zero).count() == 0
+    assert K.approx_topk(q, zero).count() == 0
+
+
+def test_approx_topk_recall_and_pruning(spark):
+    """Recall against the exact search; most pairs are never scored."""
+    kc = T.knowledge_chunks(spark, SF01)
+    q = kc.where("id % 5 = 0").select(F.col("id").alias("query_id"), "embedding")
     exact = K.semantic_topk(q, kc, k=5).select("query_id", "id")
     approx = K.approx_topk(q, kc, k=5).select("query_id", "id")
     recall = approx.join(exact, ["query_id", "id"]).count() / exact.count()
-    n = kc.count()
-    share = K.lsh_candidates(q, kc).count() / (n * n)
-    assert recall > 0.55, recall
-    assert share < 0.5, share
+    share = K.lsh_candidates(q, kc).count() / (q.count() * kc.count())
+    assert recall >= 0.9, recall
+    assert share < 0.4, share
     assert approx.groupBy("query_id").count().where("count > 5").count() == 0
 
 

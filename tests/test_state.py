@@ -141,3 +141,27 @@ def test_fixture_views_have_all_outcomes(spark):
     _, report = S.merge_identities(T.users(spark, SF001), T.sso_payloads(spark, SF001))
     outcomes = {r["outcome"] for r in report.collect()}
     assert {"updated", "linked", "inserted", "rejected"} <= outcomes
+
+
+def test_exchange_ids_do_not_collide(spark):
+    """Many usage rows, several id steps and existing rows: new ids are new, dense and refer to each other."""
+    usage = lambda n: [("m", i, 1, 0) for i in range(n)]
+    ex = spark.createDataFrame([
+        (5, 1, None, None, None, usage(30)), (6, 1, 77, "c", "e", usage(0)), (7, 2, None, "c", "e", None),
+        (5 + S.ID_STEP, 2, None, "c", "e", usage(12)), (6 + 3 * S.ID_STEP, 2, 78, "c", "e", usage(1)),
+    ], "exchange_id long, user_id long, session_id long, category string, entity string, "
+       "usage array<struct<model string, prompt_tokens int, completion_tokens int, total_tokens int>>")
+    ex = ex.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    old = {"dream_sessions": spark.createDataFrame([(77,), (78,)], "id long"),
+           "dream_messages": spark.createDataFrame([(100,)], "id long"),
+           "token_usage": spark.createDataFrame([], "id long")}
+    out = S.log_exchanges(ex, "other", "new", old)
+    ids = {t: sorted(r["id"] for r in df.collect()) for t, df in out.items()}
+    assert ids["dream_sessions"] == [79, 80, 81]
+    assert ids["dream_messages"] == list(range(101, 111))
+    assert ids["token_usage"] == list(range(1, 44))
+    assert {r["session_id"] for r in out["dream_messages"].collect()} == {77, 78, 79, 80, 81}
+    ai = {r["id"] for r in out["dream_messages"].where("role = 'ai'").collect()}
+    assert {r["message_id"] for r in out["token_usage"].collect()} <= ai
+    alone = S.log_exchanges(ex, "other", "new")
+    assert sorted(r["id"] for r in alone["dream_sessions"].collect()) == [1, 2, 3]
