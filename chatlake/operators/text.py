@@ -3,7 +3,8 @@
 The application labels one message per request; here the same rules run on a
 table of turns (conv_id, turn, role, text).  Everything is built-in column
 expressions (``filter``/``exists``/``contains`` over literal arrays), so the
-work stays in the JVM and inside whole-stage codegen.
+work stays in the JVM; the higher-order functions run outside whole-stage
+codegen and test every keyword.
 
 Turn-history rules use equi-joins on (conv_id, turn) rather than windows
 partitioned by conversation: the join key includes the turn number, so the
@@ -15,6 +16,7 @@ client sends the whole history.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,10 @@ from chatlake.functions.semantics import col_, js_trim, js_word_count
 from chatlake.sources.lexicon import (CONTEXT_ANSWER_MAX_WORDS, HISTORY_MAX_CHARS, MAX_MESSAGE_CHARS,
                                       MIN_MESSAGE_CHARS, SOURCE_LABEL, Lexicon)
 
+#: TX5: the synthesis message; its wording is the caller's to choose.
+SYNTHESIS_TEMPLATE = ("Message: {text}\n\n[Answer 1]:\n{first}\n\n[Answer 2]:\n{second}\n\n"
+                      "Merge the two answers into one.")
+
 
 # ------------------------------------------------------------------ TX1 / JN6
 
@@ -286,6 +292,29 @@ def select_answer(responses: DataFrame, key: str = "exchange_id") -> DataFrame:
                                                                    src.alias("answer_source"))
 
 
+def synthesis_input(responses: DataFrame, texts: DataFrame, key: str = "exchange_id",
+                    template: str = SYNTHESIS_TEMPLATE) -> DataFrame:
+    """TX5: (key, content), the synthesis message of each exchange with two answers.
+
+    ``texts`` has (key, text), a row per exchange, with the user's text, which
+    is trimmed; the answers stand as given, the latest of each source.
+    ``template`` has the places {text}, {first} and {second}; it is cut at them
+    before they are filled, so braces inside the texts mean nothing.  An
+    exchange with one answer only, or without a text, needs no synthesis and
+    gives no row.
+    """
+    g = responses.where(F.col("source").isin("primary", "secondary")).groupBy(key).agg(*[
+        F.max_by(F.when(F.col("source") == s, F.col("text")), F.when(F.col("source") == s, F.col("seq"))).alias(c)
+        for s, c in (("primary", "_p"), ("secondary", "_q"))])
+    both = (g.where(F.col("_p").isNotNull() & F.col("_q").isNotNull())
+             .join(texts.where(F.col("text").isNotNull()).select(key, js_trim("text").alias("_t")), key))
+    fill = {"text": F.col("_t"), "first": F.col("_p"), "second": F.col("_q")}
+    parts = []
+    for literal, name, _, _ in Formatter().parse(template):
+        parts += [F.lit(literal)] + ([fill[name]] if name else [])
+    return both.select(key, F.concat(*parts).alias("content"))
+
+
 def knowledge_block(topk: DataFrame, query_key: str = "query_id", prefix: str = "\n[",
                     suffix: str = "]", label: str = SOURCE_LABEL) -> DataFrame:
     """TX6: per query, '[<label> i]: content' for the ranked chunks, joined by a blank line.

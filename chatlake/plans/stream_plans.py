@@ -46,6 +46,24 @@ def sm1_dau(spark, d):
     return res.groupBy(F.to_date(F.col("w.start")).alias("day")).agg(F.count(F.lit(1)).alias("count"))
 
 
+@register("SM1_daily_signups_stream", with_views(["users"], """
+SELECT CAST(created_at AS DATE) AS day, COUNT(*) AS count FROM users WHERE created_at IS NOT NULL GROUP BY 1"""))
+def sm1_signups(spark, d):
+    """The fixture's signup days are not in file order, so the watermark spans them all."""
+    users = T.users_from(T.load_stream(spark, d, "customer"))
+    res = S.run_to_table(S.daily_signups_stream(users, "400 days"), "sm1signups", mode="update", keys=["w"])
+    return res.select(F.to_date(F.col("w.start")).alias("day"), "count")
+
+
+@register("SM1_daily_tokens_stream", with_views(["token_usage"], """
+SELECT CAST(created_at AS DATE) AS day, CAST(COALESCE(SUM(total_tokens), 0) AS BIGINT) AS count
+FROM token_usage WHERE created_at IS NOT NULL GROUP BY 1"""))
+def sm1_tokens(spark, d):
+    tokens = T.token_usage_from(T.load_stream(spark, d, "events"))
+    res = S.run_to_table(S.daily_tokens_stream(tokens), "sm1tokens", mode="update", keys=["w"])
+    return res.select(F.to_date(F.col("w.start")).alias("day"), "count")
+
+
 @register("SM2_feedback_stream", with_views(["dream_messages", "feedback_events"], """
 , ev AS (SELECT id, message_id, user_id, feedback, message_ts + to_minutes(seq) AS ts FROM feedback_events),
 ok AS (SELECT ev.* FROM ev JOIN dream_messages m ON m.id = ev.message_id AND m.user_id = ev.user_id AND m.role = 'ai'

@@ -242,6 +242,24 @@ def tx5(spark, d):
     return X.select_answer(responses(spark, d))
 
 
+@register("TX5_synthesis_input", with_views(["chat_turns"], f"""
+, r AS (SELECT conv_id AS exchange_id, CASE turn % 3 WHEN 1 THEN 'p' WHEN 2 THEN 'q' END AS source,
+          CASE WHEN turn % 5 = 0 THEN '  ' ELSE text END AS text, turn AS seq FROM chat_turns WHERE role = 'ai'),
+p AS (SELECT * FROM r WHERE source = 'p' QUALIFY row_number() OVER (PARTITION BY exchange_id ORDER BY seq DESC) = 1),
+q AS (SELECT * FROM r WHERE source = 'q' QUALIFY row_number() OVER (PARTITION BY exchange_id ORDER BY seq DESC) = 1),
+u AS (SELECT conv_id AS exchange_id, text FROM chat_turns WHERE role = 'user'
+      QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1)
+SELECT exchange_id, 'Message: ' || {_trim("u.text")} || chr(10) || chr(10) || '[Answer 1]:' || chr(10) || p.text
+  || chr(10) || chr(10) || '[Answer 2]:' || chr(10) || q.text || chr(10) || chr(10)
+  || 'Merge the two answers into one.' AS content
+FROM p JOIN q USING (exchange_id) JOIN u USING (exchange_id)"""))
+def tx5_input(spark, d):
+    """The last user turn of each conversation with the two answers of ``responses``."""
+    last = (T.chat_turns(spark, d).where(F.col("role") == "user")
+            .groupBy(F.col("conv_id").alias("exchange_id")).agg(F.max_by("text", "turn").alias("text")))
+    return X.synthesis_input(responses(spark, d), last)
+
+
 # ---------------------------------------------------------------- WN1-WN3
 
 @register("WN1_recent_sessions", with_views(["dream_sessions", "dream_messages"], """

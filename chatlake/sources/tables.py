@@ -122,7 +122,11 @@ def _k(props: Column) -> Column:
 # ---------------------------------------------------------------- app tables
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = load(spark, sf_dir, "customer")
+    return users_from(load(spark, sf_dir, "customer"))
+
+
+def users_from(c: DataFrame) -> DataFrame:
+    """users as a projection of a customer DataFrame (batch or stream)."""
     dev = F.col("c_mktsegment").isin("BUILDING", "MACHINERY")
     return c.select(
         F.col("c_custkey").alias("id"),
@@ -169,11 +173,15 @@ def dream_messages_from(e: DataFrame) -> DataFrame:
 
 
 def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "events").where(F.col("event_id") % 2 == 1)
+    return token_usage_from(load(spark, sf_dir, "events"))
+
+
+def token_usage_from(e: DataFrame) -> DataFrame:
+    """token_usage as a projection of an events DataFrame (batch or stream)."""
     m = F.col("event_id") % 8
     p = F.floor("value").cast("bigint")
     c = F.floor(F.col("value") * 3).cast("bigint")
-    return e.select(
+    return e.where(F.col("event_id") % 2 == 1).select(
         F.col("event_id").alias("id"), F.col("user_id"), F.col("event_id").alias("message_id"),
         F.when(m == 1, "openrouter:m1").when(m == 3, "synthesis:m2").when(m == 5, "m3").alias("model"),
         p.alias("prompt_tokens"), c.alias("completion_tokens"), (p + c).alias("total_tokens"),

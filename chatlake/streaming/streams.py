@@ -83,6 +83,22 @@ def daily_counts_stream(msgs: DataFrame, watermark: str = "1 hour") -> DataFrame
                      F.count_if(F.col("role") == "user").alias("user_msgs")))
 
 
+def daily_signups_stream(users: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """SM1 (AG4): signups per day."""
+    return (users.withColumn("ts", F.col("created_at").cast(T.TimestampType()))
+                 .withWatermark("ts", watermark)
+                 .groupBy(F.window("ts", "1 day").alias("w"))
+                 .agg(F.count(F.lit(1)).alias("count")))
+
+
+def daily_tokens_stream(tokens: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """SM1 (AG6): token sum per day, 0 where every total is NULL."""
+    return (tokens.withColumn("ts", F.col("created_at").cast(T.TimestampType()))
+                  .withWatermark("ts", watermark)
+                  .groupBy(F.window("ts", "1 day").alias("w"))
+                  .agg(F.coalesce(F.sum("total_tokens"), F.lit(0)).cast("bigint").alias("count")))
+
+
 def active_user_days_stream(msgs: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """SM1 (DAU): one row per (day, user) with a user message; DAU = rows per day."""
     return (msgs.where(F.col("role") == "user")

@@ -98,3 +98,20 @@ def test_daily_counts_stream_multi_batch(spark):
     want = {r["day"]: r["c"] for r in b.where("role = 'user'").groupBy(F.to_date("created_at").alias("day"))
             .agg(F.count_distinct("user_id").alias("c")).collect()}
     assert got == want
+
+
+def test_signup_and_token_streams_multi_batch(spark):
+    """SM1 over several micro-batches equals the batch counts; NULL totals count as 0."""
+    path = _split_events(spark, 4)
+    tokens = T.token_usage_from(T.load_stream(spark, path, "events", files_per_batch=1))
+    res = ST.run_to_table(ST.daily_tokens_stream(tokens), "sm1tokens-test", mode="update", keys=["w"])
+    got = {r["day"]: r["count"] for r in res.select(F.to_date("w.start").alias("day"), "count").collect()}
+    want = {r["day"]: r["s"] or 0 for r in T.token_usage(spark, SF001).groupBy(F.to_date("created_at").alias("day"))
+            .agg(F.sum("total_tokens").alias("s")).collect()}
+    assert got == want
+    users = T.users_from(T.load_stream(spark, SF001, "customer"))
+    res = ST.run_to_table(ST.daily_signups_stream(users, "400 days"), "sm1signups-test", mode="update", keys=["w"])
+    got = {r["day"]: r["count"] for r in res.select(F.to_date("w.start").alias("day"), "count").collect()}
+    want = {r["day"]: r["count"] for r in
+            T.users(spark, SF001).groupBy(F.to_date("created_at").alias("day")).count().collect()}
+    assert got == want

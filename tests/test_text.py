@@ -150,3 +150,19 @@ def test_rename_title_trims_and_cuts(spark):
     df = spark.createDataFrame([("　 " + "x" * 70 + " ",), ("  short  ",)], "t string")
     got = [r["r"] for r in df.select(X.rename_title("t").alias("r")).collect()]
     assert got == ["x" * 60, "short"]
+
+
+def test_synthesis_input(spark):
+    """Two answers are needed, the latest of each counts, and braces in texts stay as they are."""
+    r = spark.createDataFrame([
+        (1, "primary", "old", 0), (1, "primary", "one {second}", 2), (1, "secondary", "two", 1),
+        (2, "primary", "alone", 0), (2, "synthesis", "s", 1),
+        (3, "primary", "", 0), (3, "secondary", "q", 0),
+        (4, "primary", "p", 0), (4, "secondary", "q", 0),
+        (5, "primary", "p", 0), (5, "secondary", "q", 0)],
+        "exchange_id long, source string, text string, seq int")
+    texts = spark.createDataFrame([(1, "  hi {first} "), (2, "x"), (3, "y"), (4, None)], "exchange_id long, text string")
+    got = {x["exchange_id"]: x["content"] for x in
+           X.synthesis_input(r, texts, template="{text}|{first}|{second}|{{end}}").collect()}
+    assert got == {1: "hi {first}|one {second}|two|{end}", 3: "y||q|{end}"}
+    assert X.synthesis_input(r.limit(0), texts).count() == 0
