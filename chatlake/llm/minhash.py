@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.shared import Scratch
+from chatlake.llm.shared import Scratch, arrow_batches
 from chatlake.llm.words import LOWER, Texts, fingerprints, mix, text_slices
 
 SHINGLE = 5
@@ -48,6 +48,8 @@ PIVOTS = (1, 4)
 #: ... of at most about so many members and bytes of text.
 BLOCK_MEMBERS, BLOCK_BYTES = 256, 8 << 20
 BATCH = 25
+#: Rows of an Arrow batch: pairs carry two whole texts each.
+ARROW_ROWS = 1000
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _WEIGHTS = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -306,6 +308,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A pair at the threshold misses all 40 bands of 5 with probability
     (1 - 0.75 ** 5) ** 40 = 2e-5 and is pruned with at most ``miss``.
     """
+    with arrow_batches(docs.sparkSession, ARROW_ROWS):  # every Arrow step is written before this ends
+        return _near_duplicates(docs, id_col, text_col, threshold_pct, miss)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold_pct: int, miss: float) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
