@@ -127,6 +127,15 @@ def test_pii_overlaps_and_empty(make_docs):
     assert pii.find(make_docs(["x"]).limit(0)).count() == 0
 
 
+def test_pii_numbers_of_a_fused_run_are_candidates():
+    cards = ["7536784127813050", "4845168114407329", "4111 1111 1111 1111", "378282246310005"]
+    phones = ["+1 (826) 555-4081", "(843) 555-7672", "020 7946 0958"]
+    text = f"{' '.join(cards)} | {phones[0]} 190.137.223.204 {' / '.join(phones)} {'1 ' * 5000}"
+    found = {(pii.KINDS[k], text[a:b]) for k, (a, b) in pii.candidates(text)}
+    assert {("card", c) for c in cards} | {("phone", p) for p in phones} <= found
+    assert sum(1 for _ in pii.candidates("1 " * 5000)) <= 5000 * 30 and not list(pii.candidates("9" * 20000))
+
+
 def test_boosting_learns_and_threshold_is_calibrated():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
