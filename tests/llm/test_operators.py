@@ -136,6 +136,27 @@ def test_pii_numbers_of_a_fused_run_are_candidates():
     assert sum(1 for _ in pii.candidates("1 " * 5000)) <= 5000 * 30 and not list(pii.candidates("9" * 20000))
 
 
+def test_pii_adds_planted_look_alikes(make_docs):
+    """Also in a table with no or few labelled candidates of any kind."""
+    right = {"call (212) 555-1234 today": ["phone:(212) 555-1234"], "212-555-1234, thanks": ["phone:212-555-1234"],
+             "write to joe [at] example [dot] com": ["email:joe [at] example [dot] com"],
+             "host 192,168,0,1 up": ["ip:192,168,0,1"],
+             "4012888888881881 378282246310005": ["card:4012888888881881", "card:378282246310005"],
+             "so +1 (826) 555-4081 190.137.223.204": ["ip:190.137.223.204", "phone:+1 (826) 555-4081"]}
+    wrong = ["order 2125551234", "version 1.2.3", "on 2024-01-02 12:30 we", "meet at noon.Then", "1,234,567 people",
+             "12 7 33 4 56 8 9 10 22", "4012888888881882 378282246310006", "3.14159265358979", "978-3-16-148410-0"]
+    filler = [f"{prose(i, 5)} call +1 (212) 555-{1000 + i}" for i in range(200)]
+    for more in ([], filler):
+        texts = [*right, *wrong, *more]
+        rows = {r.id: r for r in pii.find(make_docs(texts)).collect()}
+        for i, t in enumerate(texts[:len(right) + len(wrong)]):
+            spans = [x.split(":") for x in rows[i].spans.split(",") if x]
+            found = {f"{k}:{t[int(a):int(b)]}" for k, a, b in spans}
+            if t in right:
+                assert found == set(right[t]), t
+            assert (rows[i].n_added > 0) == (t in right), t
+
+
 def test_boosting_learns_and_threshold_is_calibrated():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
