@@ -9,11 +9,14 @@ The bands come from the documents themselves: within a language and a size
 class (power of two of the token count), a value further than ``SPREAD``
 interquartile ranges outside the quartiles is rejected.  Quartiles are read off
 exact histograms of rounded values, so they cover all rows, do not depend on
-partitions, and need a table bounded by languages, classes and bins.
+partitions, and need a table bounded by languages, classes and bins.  A group of
+fewer than ``LEAST_GROUP`` documents takes in the language's nearest size classes
+until it has as many, in a language of fewer documents those of all languages,
+and in a smaller table all documents: every text with a word is judged.
 
 Defined results: a null text has no words and fails the base rule; a null
-language is a group of its own; groups of fewer than ``LEAST_GROUP`` documents
-have no band; repeated rows count separately; an empty table gives an empty one.
+language is a group of its own; repeated rows count separately; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -151,28 +154,63 @@ def measure(docs: DataFrame, text_col: str, path: str, keep: list[str]) -> DataF
     return docs.select(F.struct("*").alias("row")).mapInArrow(_measure(path, text_col, keep), T.StructType(fields))
 
 
-def bands(measured: DataFrame, lang: str) -> DataFrame:
-    """Lower and upper limits by language and size class, from exact histograms."""
-    worded = measured.filter("n_words > 0")
-    group = [F.coalesce(F.col(f"row.{lang}"), F.lit("")).alias("lang"), size_class().alias("class")]
-    values = F.explode(F.create_map(*[x for m in MEASURES for x in (F.lit(m), F.col(m))])).alias("measure", "value")
-    bins = (worded.select(*group, values)
-            .groupBy("lang", "class", "measure", F.floor(F.col("value") * BINS).alias("bin"))
-            .agg(F.count("*").alias("k")))
-    all_of = Window.partitionBy("lang", "class", "measure")
+def _reach(sizes: DataFrame, by: list[str]) -> DataFrame:
+    """``reach`` (null if none) and ``far``: classes on either side that hold LEAST_GROUP documents, and that there are."""
+    other = sizes.select(*[F.col(c).alias(f"o_{c}") for c in [*by, "class", "n"]])
+    same = F.lit(True)
+    for c in by:
+        same = same & (F.col(c) == F.col(f"o_{c}"))
+    steps = (sizes.join(other, same).groupBy(*by, "class", F.abs(F.col("class") - F.col("o_class")).alias("step"))
+             .agg(F.sum("o_n").alias("n")))
+    up_to = Window.partitionBy(*by, "class").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return (steps.withColumn("up_to", F.sum("n").over(up_to)).groupBy(*by, "class")
+            .agg(F.min(F.when(F.col("up_to") >= LEAST_GROUP, F.col("step"))).alias("reach"), F.max("step").alias("far")))
+
+
+def _widened(bins: DataFrame, reach: DataFrame, by: list[str]) -> DataFrame:
+    """The histograms of each class with those of the classes in its reach."""
+    other = bins.select(*[F.col(c).alias(f"o_{c}") for c in [*by, "class"]], "measure", "bin", "k")
+    near = F.abs(F.col("class") - F.col("o_class")) <= F.col("reach")
+    for c in by:
+        near = near & (F.col(c) == F.col(f"o_{c}"))
+    return reach.join(other, near).groupBy(*by, "class", "measure", "bin").agg(F.sum("k").alias("k"))
+
+
+def _limits(bins: DataFrame, by: list[str]) -> DataFrame:
+    """Lower and upper limits of each measure from the histograms of ``by``."""
+    all_of = Window.partitionBy(*by, "measure")
     up_to = all_of.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     marked = bins.withColumn("below", F.sum("k").over(up_to)).withColumn("n", F.sum("k").over(all_of))
     at = lambda q: F.min(F.when(F.col("below") >= F.col("n") * q, F.col("bin"))) / BINS
     least = F.element_at(F.create_map(*[x for m, v in LEAST_RANGE.items() for x in (F.lit(m), F.lit(v))]), F.col("measure"))
-    edges = (marked.filter(F.col("n") >= LEAST_GROUP).groupBy("lang", "class", "measure")
+    edges = (marked.groupBy(*by, "measure")
              .agg(at(0.25).alias("q1"), (at(0.75) + 1 / BINS).alias("q3"))
              .withColumn("range", F.greatest(F.col("q3") - F.col("q1"), least)))
     low, high = F.col("q1") - SPREAD * F.col("range"), F.col("q3") + SPREAD * F.col("range")
     pick = lambda m, x: F.max(F.when(F.col("measure") == m, x))
-    return edges.groupBy("lang", "class").agg(
+    return edges.groupBy(*by).agg(
         *[pick(m, low).alias(f"{m}_low") for m in MEASURES], *[pick(m, high).alias(f"{m}_high") for m in MEASURES])
 
 
+def bands(measured: DataFrame, lang: str, scratch: Scratch) -> DataFrame:
+    """Lower and upper limits by language and size class, from exact histograms."""
+    worded = measured.filter("n_words > 0")
+    group = [F.coalesce(F.col(f"row.{lang}"), F.lit("")).alias("lang"), size_class().alias("class")]
+    values = F.explode(F.create_map(*[x for m in MEASURES for x in (F.lit(m), F.col(m))])).alias("measure", "value")
+    bins = scratch.save(worded.select(*group, values)
+                        .groupBy("lang", "class", "measure", F.floor(F.col("value") * BINS).alias("bin"))
+                        .agg(F.count("*").alias("k")), "bins")
+    sizes = bins.filter(F.col("measure") == MEASURES[0]).groupBy("lang", "class").agg(F.sum("k").alias("n"))
+    reach = scratch.save(_reach(sizes, ["lang"]), "reach")
+    own = _limits(_widened(bins, reach.filter("reach IS NOT NULL"), ["lang"]), ["lang", "class"])
+    # Languages of too few documents: the size classes of all languages.
+    reach_all = _reach(sizes.groupBy("class").agg(F.sum("n").alias("n")), [])
+    reach_all = reach_all.withColumn("reach", F.coalesce("reach", "far"))
+    shared = bins.groupBy("class", "measure", "bin").agg(F.sum("k").alias("k"))
+    common = _limits(_widened(shared, reach_all, []), ["class"])
+    return own.unionByName(reach.filter("reach IS NULL").select("lang", "class").join(common, "class"))
+
+
 def size_class():
     return F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))).cast("int")
 
@@ -183,7 +221,7 @@ def judge(docs: DataFrame, path: str, text_col: str = "text", lang_col: str = "l
     keep = list(dict.fromkeys([*(keep or docs.columns), lang_col]))
     scratch = Scratch(docs.sparkSession, "quality")
     measured = scratch.save(measure(docs, text_col, path, keep), "measured")
-    limits = scratch.save(bands(measured, lang_col), "bands")
+    limits = scratch.save(bands(measured, lang_col, scratch), "bands")
     limits = limits.withColumnsRenamed({"lang": "b_lang", "class": "b_class"})
     joined = measured.join(limits, (F.coalesce(F.col(f"row.{lang_col}"), F.lit("")) == F.col("b_lang"))
                            & (size_class() == F.col("b_class")), "left")

@@ -283,6 +283,19 @@ def test_quality_counts_and_bands(make_docs):
     assert quality.judge(make_docs(texts).limit(0), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_quality_small_groups_are_judged(make_docs):
+    """By the nearest size classes, by all languages, and in a table below LEAST_GROUP by all documents."""
+    odd = lambda n: "ÿ€☃" * n + " " + prose(9, n).upper()
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    for n in (200, 30):
+        docs = make_docs([*[prose(i, 100) for i in range(n)], prose(901, 700), odd(700), prose(902, 100), odd(60), odd(100)])
+        lang = F.when(F.col("doc_id") == n + 2, "xx").when(F.col("doc_id") == n + 3, "yy").otherwise(F.col("lang"))
+        rows = {r.row.doc_id: r for r in quality.judge(docs.withColumn("lang", lang), path).collect()}
+        assert not any(r.base_failed for r in rows.values())
+        assert sum(rows[i].in_bands for i in range(n)) >= 0.98 * n and rows[n + 2].in_bands
+        assert [rows[n + i].in_bands for i in (1, 3, 4)] == [False] * 3
+
+
 # ---------------------------------------------------------------- 7, 8 tokens
 
 def odd_texts():
