@@ -32,8 +32,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatlake.llm.shared import Scratch, arrow_batches
 from chatlake.llm.words import LOWER, Texts, fingerprints, mix, text_slices
@@ -309,10 +310,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (1 - 0.75 ** 5) ** 40 = 2e-5 and is pruned with at most ``miss``.
     """
     with arrow_batches(docs.sparkSession, ARROW_ROWS):  # every Arrow step is written before this ends
-        return _near_duplicates(docs, id_col, text_col, threshold_pct, miss)
+        return _near_duplicates(docs, id_col, text_col, threshold_pct, miss) \
+            .select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold_pct: int, miss: float) -> DataFrame:
+    """As near_duplicates, with text_hash and ``comp``: the component's own key, null without shingles."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
@@ -392,19 +395,32 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold_pct:
         least = named.groupBy("comp").agg(F.min("min_id").alias("component_id"))
         named = named.join(least, "comp")
     else:
-        named = named.withColumn("component_id", F.col("min_id"))
-    named = named.select("set_a", "set_b", F.col("n_shingles").alias("n"), "component_id")
-    rows = signed.select("doc_id", "n_shingles", "set_a", "set_b")
+        named = named.withColumn("component_id", F.col("min_id")).withColumn("comp", F.col("node"))
+    named = named.select("set_a", "set_b", F.col("n_shingles").alias("n"), "component_id", "comp")
+    rows = signed.select("doc_id", "text_hash", "n_shingles", "set_a", "set_b")
     out = rows.join(named, (rows.set_a == named.set_a) & (rows.set_b == named.set_b) & (rows.n_shingles == named.n),
                     "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return (out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return (out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), "comp")
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names its component, one row for each id."""
-    kept = (near_duplicates(docs, id_col, text_col).filter("kept")
-            .select(F.col("doc_id").alias("_kept_id")).distinct())
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi") \
-        .dropDuplicates([id_col])
+    """One row of ``docs`` for each component, whatever its ids: of its least id (null last), then text hash.
+
+    A text without shingles is a component of its own with its id; of rows that
+    repeat an id and a text the first by the other columns stays.
+    """
+    with arrow_batches(docs.sparkSession, ARROW_ROWS):
+        found = _near_duplicates(docs, id_col, text_col, THRESHOLD_PCT, MISS_PROBABILITY)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    alone = found.filter("comp IS NULL").select("doc_id", "text_hash").distinct()
+    least = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(row).alias("row"))
+    kept = least.select("row.doc_id", "row.text_hash").unionByName(alone)
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
+    key = [F.col(id_col), F.xxhash64(F.col(text_col))]
+    rest = [F.col(f.name) if isinstance(f.dataType, T.AtomicType) else F.to_json(f.name)
+            for f in docs.schema if f.name not in (id_col, text_col)]
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(*(rest or key)))
+    return (docs.join(kept, key[0].cast("long").eqNullSafe(F.col("_kept_id")) & (key[1] == F.col("_kept_hash")), "left_semi")
+            .withColumn("_turn", turn).filter("_turn = 1").drop("_turn"))

@@ -251,6 +251,19 @@ def test_near_duplicates_ids(make_docs):
     assert sorted(r.doc_id or 0 for r in minhash.keep_one_of_each(docs).collect()) == [0, 5, 7]
 
 
+def test_keep_one_of_each_keeps_unlinked_texts_of_one_id(make_docs):
+    text = prose(1, 40)
+    own = [prose(i, 30) for i in range(2, 7)]
+    rows = [(5, text, "s"), (5, text, "r"), (None, text, "s"), (None, own[0], "s"), (None, own[1], "s"), (7, None, "s"),
+            (9, own[2], "s"), (9, own[3], "s"), (8, own[4], "t"), (10, own[4], "s"), (None, "", "s")]
+    wanted = [(5, text, "r"), (None, own[0], "s"), (None, own[1], "s"), (7, None, "s"), (9, own[2], "s"), (9, own[3], "s"),
+              (8, own[4], "t"), (None, "", "s")]
+    for parts in (1, 5):
+        got = minhash.keep_one_of_each(make_docs(rows).repartition(parts))
+        assert got.columns == make_docs(rows).columns
+        assert sorted(((r.doc_id, r.text, r.source) for r in got.collect()), key=str) == sorted(wanted, key=str)
+
+
 # ---------------------------------------------------------------- 6 quality
 
 def brute_quality(t):
