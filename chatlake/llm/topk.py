@@ -10,7 +10,7 @@ is below its kth score: nothing unmet can score more, nor tie.  Depths double,
 so a step is one numpy operation.  The blocks' best are ranked at the end.
 
 Defined results: vectors that are null, or hold a null or non-finite component,
-take no part; a query meets vectors of its own length only (an empty vector
+and rows with a null id, which no result could name, take no part; a query meets vectors of its own length only (an empty vector
 scores 0 with empty ones); repeated rows are candidates each, and a query is
 kept from its own row only; scores must fit a long.
 """

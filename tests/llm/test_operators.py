@@ -416,6 +416,12 @@ def test_topk_equals_brute_force(spark, block):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_leaves_out_null_ids(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (None, [9.0, 0.0]), (2, [0.25, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, 1, 256 * 128), (0, 2, 2, 256 * 64)]
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_stages(spark, make_docs, tmp_path):
