@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chatlake.functions.semantics import JS_WS_CHARS
 from chatlake.operators import knowledge as K
 from chatlake.sources import tables as T
-from conftest import SF001, SF01
+from fixture_paths import SF001, SF01
 
 _WS = "[" + re.escape(JS_WS_CHARS) + "]"
 

@@ -8,7 +8,7 @@ import random
 
 from chatlake.operators import limits as L
 from chatlake.sources import tables as T
-from conftest import SF01
+from fixture_paths import SF01
 
 T0 = dt.datetime(2024, 1, 1)
 

@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as E
 from oracle_check import canon, duck
-from conftest import SF001
+from fixture_paths import SF001
 
 NAMES = sorted(E.queries())
 SQL = E.oracle_sql()

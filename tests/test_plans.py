@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from fixture_paths import SF001
 
 # Theta joins on purpose: the large-dictionary keyword match joins a
 # size-checked broadcast dictionary on contains().

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chatlake.operators import state as S
 from chatlake.sources import tables as T
-from conftest import SF001
+from fixture_paths import SF001
 
 T0 = dt.datetime(2024, 1, 30)
 

@@ -11,7 +11,7 @@ from chatlake.operators import limits as L
 from chatlake.operators import state as S
 from chatlake.sources import tables as T
 from chatlake.streaming import streams as ST
-from conftest import SF001
+from fixture_paths import SF001
 
 
 def _split_events(spark, parts: int) -> str:

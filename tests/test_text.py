@@ -8,7 +8,7 @@ from chatlake.functions.semantics import js_trim, js_word_count
 from chatlake.operators import text as X
 from chatlake.sources import tables as T
 from chatlake.sources.lexicon import BENGALI, LATIN
-from conftest import SF01
+from fixture_paths import SF01
 
 
 def _classify(spark, texts, lex=BENGALI, method="literal"):
