@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import alignment, bpe_codec, line_dedup, lm, minhash, mixing, pii, quality, secret_scan, token_counts, topk
+from chatlake.llm import alignment, bpe_codec, line_dedup, lm, minhash, mixing, partenum, pii, quality, secret_scan, token_counts, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,6 +156,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                            public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by Jaccard similarity of their three-word shingles."""
+    return partenum.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -164,6 +169,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_pii, op4_secret_scan, op5_minhash_near_dedup,
                             op6_quality_rules, op7_token_counts, op8_bpe_codec, op9_mixing, op10_topk_search,
-                            op11_alignment, pipeline)}
+                            op11_alignment, op12_ngram_join, pipeline)}
 
 ORACLE = {"op1_line_dedup": OP1_SQL, "op9_mixing": OP9_SQL, "op10_topk_search": OP10_SQL}
