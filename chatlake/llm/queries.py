@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import alignment, bpe_codec, line_dedup, lm, minhash, mixing, partenum, pii, quality, secret_scan, token_counts, topk
+from chatlake.llm import (alignment, bpe_codec, lexical, line_dedup, lm, minhash, mixing, partenum, pii, quality, secret_scan,
+                          token_counts, topk)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,6 +162,65 @@ def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+OP12_SQL = f"""
+WITH RECURSIVE worded AS (
+  SELECT row_number() OVER () AS place, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+sets AS (
+  SELECT place, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {partenum.SHINGLE} THEN [words]
+    ELSE list_distinct(list_transform(generate_series(1, len(words) - {partenum.SHINGLE - 1}),
+      lambda i: words[i:i + {partenum.SHINGLE - 1}])) END AS shingles FROM worded),
+classes AS MATERIALIZED (
+  SELECT min(place) AS node, list_sort(shingles) AS shingles FROM sets WHERE len(shingles) > 0 GROUP BY list_sort(shingles)),
+named AS MATERIALIZED (
+  SELECT s.place, s.doc_id, c.node, len(s.shingles) AS n_shingles
+  FROM sets s LEFT JOIN classes c ON list_sort(s.shingles) = c.shingles),
+postings AS MATERIALIZED (SELECT node, len(shingles) AS n, unnest(shingles) AS shingle FROM classes),
+links AS MATERIALIZED (
+  SELECT a, b FROM (
+    SELECT x.node AS a, y.node AS b, any_value(x.n + y.n) AS total, count(*) AS shared
+    FROM postings x JOIN postings y ON x.shingle = y.shingle AND x.node <> y.node GROUP BY ALL)
+  WHERE 100 * shared >= {partenum.THRESHOLD_PCT} * (total - shared)),
+reach(node, other) AS (
+  SELECT node, node FROM classes UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (
+  SELECT r.node, min(n.doc_id) AS component_id FROM reach r JOIN named n ON n.node = r.other GROUP BY r.node)
+SELECT n.doc_id, CAST(n.n_shingles AS BIGINT) AS n_shingles,
+  CASE WHEN n.n_shingles = 0 THEN n.doc_id ELSE l.component_id END AS component_id
+FROM named n LEFT JOIN least l USING (node)"""
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item, over all documents."""
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = ("regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          "'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+OP13_SQL = f"""
+WITH cut AS (SELECT row_number() OVER () AS place, doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+worded AS (SELECT place, doc_id, terms, len(terms) AS n FROM cut WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM worded),
+counted AS MATERIALIZED (
+  SELECT place, doc_id, n, term, count(*) AS tf
+  FROM (SELECT place, doc_id, n, unnest(terms) AS term FROM worded) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counted, totals GROUP BY term),
+items AS (
+  SELECT item, item_id, unnest(list_distinct(terms)) AS term
+  FROM (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS terms FROM benchmark WHERE text IS NOT NULL)),
+scored AS (
+  SELECT item, item_id, place, doc_id, CAST(sum(w * ((1000000000 * tf)
+    // (1000 * tf + 20 * (50 + (50 * n * docs) // length)))) AS BIGINT) AS score
+  FROM items JOIN weights USING (term) JOIN counted USING (term), totals GROUP BY ALL),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, place) AS INTEGER) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {lexical.K}"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -169,6 +229,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_pii, op4_secret_scan, op5_minhash_near_dedup,
                             op6_quality_rules, op7_token_counts, op8_bpe_codec, op9_mixing, op10_topk_search,
-                            op11_alignment, op12_ngram_join, pipeline)}
+                            op11_alignment, op12_ngram_join, op13_lexical_search, pipeline)}
 
-ORACLE = {"op1_line_dedup": OP1_SQL, "op9_mixing": OP9_SQL, "op10_topk_search": OP10_SQL}
+ORACLE = {"op1_line_dedup": OP1_SQL, "op9_mixing": OP9_SQL, "op10_topk_search": OP10_SQL,
+          "op12_ngram_join": OP12_SQL, "op13_lexical_search": OP13_SQL}
