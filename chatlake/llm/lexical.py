@@ -40,7 +40,7 @@ from chatlake.llm.words import LOWER, Texts, fingerprints, mix, text_slices
 
 K = 50
 #: Documents in a shard, items in a group, and documents that a block holds on average.
-SHARD, GROUP, BLOCK = 4096, 128, 32
+SHARD, GROUP, BLOCK = 4096, 256, 16
 #: Up to so many terms of items go to every task (8 bytes each), to keep only their
 #: postings; with more, all postings are written and joined with the terms.
 TERMS_IN_TASK = 1 << 20
@@ -124,7 +124,7 @@ class Shard:
                  impacts: np.ndarray, weights: np.ndarray, items: list[np.ndarray], block: int = BLOCK) -> None:
         """``terms`` number ``weights``; ``items`` are the items' terms."""
         self.ids, self.no_id, self.rows = ids, no_id, rows
-        self.indptr, self.terms, self.impacts, self.weights = indptr, terms, impacts, weights
+        self.indptr, self.terms, self.impacts, self.weights = indptr, terms.astype(np.int32), impacts, weights
         self.size = np.diff(indptr)
         together: list[list[np.ndarray]] = [[] for _ in range(weights.size)]
         for x in items:
@@ -174,7 +174,8 @@ class Shard:
         at = _ranges(self.indptr[docs], self.size[docs])
         own = np.repeat(own, self.size[docs])
         use = wanted[self.terms[at]]
-        key = np.sort(((own[use] * wanted.size + self.terms[at[use]]) << IMPACT_BITS) | self.impacts[at[use]])
+        at, own = at[use], own[use]
+        key = np.sort(((own * wanted.size + self.terms[at]) << IMPACT_BITS) | self.impacts[at])
         cell = key >> IMPACT_BITS
         last = np.flatnonzero(np.append(cell[1:] != cell[:-1], True))  # the largest impact of each (block, term)
         s_block, s_terms = np.divmod(cell[last], wanted.size)
