@@ -2,12 +2,12 @@
 
 RL1 windows are anchored at their first event (not clock-aligned) and a
 limited event does not move the window, so window starts form a chain that
-depends on the previous window: an ordered fold per key.  The fold runs in
-``mapInPandas`` over partitions hash-partitioned by key and sorted by
-(key, ts, id): state is O(1) per key and is carried across Arrow batches, so
-a key of any size streams through without being collected.  Each Python
-iteration handles a whole window (``searchsorted`` finds its end), so the
-cost is per window, not per event.
+depends on the previous window: an ordered fold per key.  The events are range
+partitioned by (key, ts, id), whatever the keys' sizes; the fold runs in
+``mapInArrow`` with O(1) state, entered with the window state that a scan over
+the partitions' step functions (``window_scan``) gives.  Each Python iteration
+handles a whole window (``searchsorted`` finds its end), so the cost is per
+window, not per event.
 
 OT1 rolling counts are windows over (key, 15-minute bucket) with the previous
 bucket duplicated in as context, so a hot e-mail or IP is split by time
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlake.functions.semantics import col_
+from chatlake.operators import window_scan
+from chatlake.session import checkpoint_dir
 
 US_PER_MS = 1000
 
@@ -54,9 +56,10 @@ def fold_windows(t: np.ndarray, start, count: int, window_us: int, max_count: in
     return start, count
 
 
-#: Names of the key digest (two 64-bit hashes) and of the event time in microseconds.
+#: Names of the key digest (two 64-bit hashes), of the event time in microseconds and of the range partition.
 _DIGEST = ("_rl_key_a", "_rl_key_b")
 _TIME = "_rl_us"
+_PART = "_rl_part"
 
 
 def key_digest(group: list[str]) -> list[Column]:
@@ -65,14 +68,17 @@ def key_digest(group: list[str]) -> list[Column]:
     return [F.xxhash64(F.lit(salt), *parts).alias(name) for salt, name in enumerate(_DIGEST)]
 
 
-def _rate_fold(window_us: int, max_count: int):
-    """Fold sorted Arrow batches; every input column passes through untouched."""
+def _rate_fold(window_us: int, max_count: int, carried: dict):
+    """Fold sorted Arrow batches from the partition's carried-in state; every input column passes through untouched."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cur, start, count = None, None, 0
+        cur, start, count, begun = None, None, 0, False
         for batch in it:
             n = len(batch)
             if n == 0:
                 continue
+            if not begun:
+                begun = True
+                cur, start, count = carried.get(batch[_PART][0].as_py(), (None, None, 0))
             a, b = (batch[c].to_numpy() for c in _DIGEST)
             t = batch[_TIME].to_numpy()
             limited = np.zeros(n, dtype=bool)
@@ -83,7 +89,7 @@ def _rate_fold(window_us: int, max_count: int):
                 if k != cur:
                     cur, start, count = k, None, 0
                 start, count = fold_windows(t[lo:hi], start, count, window_us, max_count, limited[lo:hi])
-            keep = [c for c in batch.schema.names if c not in (*_DIGEST, _TIME)]
+            keep = [c for c in batch.schema.names if c not in (*_DIGEST, _TIME, _PART)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(limited)], names=[*keep, "limited"])
     return run
 
@@ -92,169 +98,39 @@ def _micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{ts}`)")
 
 
-# Below this many rows a key folds in one task in well under a second, so the
-# parallel hot-key path is not worth its fixed cost.
-HOT_MIN_ROWS = 1_000_000
-
-
-def hot_keys(df: DataFrame, key: str, share: float | None = None, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Keys holding more than ``share`` of all rows (default 1 / (2 x parallelism)) and at least ``min_rows``.
-
-    At most 1/share keys qualify, so the list is bounded; it is collected once
-    (two small jobs: a row count and a per-key count filtered by the bound)
-    and returned as a small DataFrame that is safe to broadcast.
-    """
-    spark = df.sparkSession
-    share = share if share is not None else 1.0 / (2 * spark.sparkContext.defaultParallelism)
-    total = df.count()
-    rows = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-              .where((F.col("_n") > F.lit(total * share)) & (F.col("_n") >= F.lit(min_rows)))
-              .select(key).collect())
-    return spark.createDataFrame(rows, T.StructType([df.schema[key]]))
-
-
 def rate_limit(df: DataFrame, key: str, ts: str, window_ms: int, max_count: int,
-               tie: str | None = None, partitions: int | None = None, split_hot: bool = True,
-               hot_min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+               tie: str | None = None, partitions: int | None = None) -> DataFrame:
     """RL1: add ``limited`` per event, anchored windows per key.
 
     Per key, in (ts, tie) order: an event starts a new window (count 1) if
     there is none or ``ts - start > window`` (strict); else it is limited if
     count >= max (count and start unchanged); else count + 1.
 
-    Ordinary keys fold in ``mapInPandas`` over key-partitioned, sorted data.
-    Hot keys (``hot_keys``: a bounded list) take ``rate_limit_doubling``, whose
-    work is spread over (key, time bucket) partitions and position joins, so no
-    task ever holds a hot key.
+    Events are range-partitioned by (key, ts, tie), so a key of any size, NULL
+    included, spreads over partitions.  Every partition's effect on the window
+    state is summed up as a step function, a scan over the functions gives the
+    state at each partition's entry (``window_scan``), and each partition then
+    folds its own events.  The sorted events are checkpointed, so that all
+    passes see the same partitions.
     """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
     schema = T.StructType(df.schema.fields + [T.StructField("limited", T.BooleanType(), False)])
     # A total order, so a recomputed partition (lost executor) folds identically:
     # without an explicit tie column, every remaining column breaks ties.
     ties = [tie] if tie else [c for c in df.columns if c not in (key, ts)]
-    cold = df
-    hot_part = None
-    if split_hot:
-        hot = hot_keys(df, key, min_rows=hot_min_rows)
-        if not hot.isEmpty():
-            hot = F.broadcast(hot)
-            cold = df.join(hot, key, "left_anti")
-            hot_part = rate_limit_doubling(df.join(hot, key, "left_semi"), [key], ts, ties, window_ms, max_count)
-    keyed = cold.select("*", *key_digest([key]), _micros(ts).alias(_TIME))
-    parts = keyed.repartition(partitions, *_DIGEST) if partitions else keyed.repartition(*_DIGEST)
-    srt = parts.sortWithinPartitions(*_DIGEST, ts, *ties)
-    out = srt.mapInArrow(_rate_fold(window_ms * US_PER_MS, max_count), schema)
-    if hot_part is not None:
-        out = out.unionByName(hot_part.select(*[f.name for f in schema.fields]))
-    return out
-
-
-# Sub-buckets per window in the hot-key path: a window partition holds at most
-# about 2/SUB_PER_WINDOW of a window-length of one key's events.
-SUB_PER_WINDOW = 64
-
-
-def rate_limit_doubling(df: DataFrame, group: list[str], ts: str, ties: str | list[str], window_ms: int,
-                        max_count: int, sub: int = SUB_PER_WINDOW) -> DataFrame:
-    """RL1 for very large groups, exact and parallel: window starts by pointer doubling.
-
-    Every window has the form [start, nxt(start)) with nxt(i) = first event
-    with ts > ts_i + W, and the starts are the orbit of a group's first event
-    under nxt.  Time is cut into sub-buckets of width w = W / ``sub``:
-
-    * positions: row_number within (group, sub-bucket) + offsets from a
-      per-sub-bucket summary (size bounded by time span / w, not by rows);
-    * nxt: a probe at ts_i + W goes to its sub-bucket c; the nearest event
-      after it inside c comes from a reverse running ``last(ignorenulls)`` over
-      (group, c), else nxt = number of events in sub-buckets <= c (a running
-      sum over the summary);
-    * starts are more than W apart, so the orbit has at most span / W + 1
-      nodes; doubling (J_{k+1} = J_k o J_k, key joins on position,
-      checkpointed, stopped when the orbit ends) finds it in log rounds;
-    * assignment: each start's interval [s, next start) is attached to the
-      sub-buckets it can govern (at most ``sub`` + 2 of them) and events join
-      on (group, sub-bucket) with a containment filter: one match each.
-
-    Every window operator is partitioned by (group, sub-bucket), so a task
-    holds about 2/``sub`` of a window-length of one group's events.  ``ties``
-    must make (group, ts, ties) unique.
-    """
-    from chatlake.functions.joins import broadcast_if_small
-    from chatlake.session import checkpoint_dir
-    ties = [ties] if isinstance(ties, str) else list(ties)
-    checkpoint_dir(df.sparkSession)
-    w_us = window_ms * US_PER_MS
-    sub_us = max(1, w_us // sub)
-    x = df.withColumn("_us", _micros(ts)).withColumn("_b", F.floor(F.col("_us") / sub_us))
-
-    # sub-bucket summary: count, offset (events in earlier sub-buckets), group size
-    bs = x.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    wg = Window.partitionBy(*group).orderBy("_b")
-    bs = (bs.withColumn("_off", F.coalesce(F.sum("_cnt").over(wg.rowsBetween(Window.unboundedPreceding, -1)),
-                                           F.lit(0)))
-            .withColumn("_n", F.sum("_cnt").over(Window.partitionBy(*group)))
-            .checkpoint(eager=True))
-    wb = Window.partitionBy(*group, "_b").orderBy("_us", *ties)
-    ev = (x.join(broadcast_if_small(bs), [*group, "_b"])
-           .withColumn("_pos", (F.col("_off") + F.row_number().over(wb) - 1).cast("long"))
-           .checkpoint(eager=True))
-
-    # nxt, part 1: nearest event after ts + W inside the probe's sub-bucket
-    probes = ev.select(*group, F.floor((F.col("_us") + w_us) / sub_us).alias("_b"),
-                       (F.col("_us") + w_us).alias("_t"), F.lit(1).alias("_type"), F.col("_pos").alias("_src"),
-                       F.lit(None).cast("long").alias("_p"), "_n")
-    events = ev.select(*group, "_b", F.col("_us").alias("_t"), F.lit(0).alias("_type"),
-                       F.lit(None).cast("long").alias("_src"), F.col("_pos").alias("_p"), "_n")
-    # descending (time, type, position): the running last() is the nearest event strictly
-    # after the probe, and among equal times the one with the smallest position
-    rev = (Window.partitionBy(*group, "_b").orderBy(F.col("_t").desc(), F.col("_type").desc(),
-                                                    F.col("_p").desc_nulls_first())
-                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = (probes.unionByName(events)
-                   .withColumn("_hit", F.last("_p", ignorenulls=True).over(rev))
-                   .where(F.col("_type") == 1))
-    # nxt, part 2: otherwise the first position after sub-bucket c = events in sub-buckets <= c
-    targets = found.select(*group, "_b").distinct().withColumn("_cnt", F.lit(0)).withColumn("_k", F.lit(1))
-    cum = (bs.select(*group, "_b", "_cnt", F.lit(0).alias("_k")).unionByName(targets)
-             .withColumn("_cum", F.sum("_cnt").over(Window.partitionBy(*group).orderBy("_b", "_k")
-                                                     .rowsBetween(Window.unboundedPreceding, 0)))
-             .where(F.col("_k") == 1).select(*group, "_b", "_cum"))
-    found = found.join(broadcast_if_small(cum), [*group, "_b"])
-    nxt = F.coalesce(F.col("_hit"), F.col("_cum"))
-    jump = found.select(*group, F.col("_src").alias("_pos"),
-                        F.when(nxt < F.col("_n"), nxt).cast("long").alias("_j")).checkpoint(eager=True)
-
-    # doubling: J_k = nxt^(2^k); the orbit of position 0 is the set of window starts
-    span = bs.groupBy(*group).agg((F.max("_b") - F.min("_b") + 1).alias("s")).agg(F.max("s")).first()[0] or 1
-    k_max = max(1, int(np.ceil(np.log2(span * sub_us / w_us + 2))))
-    starts = bs.select(*group).distinct().withColumn("_pos", F.lit(0).cast("long"))
-    j = jump
-    for k in range(k_max):
-        nxt_nodes = (starts.join(j, [*group, "_pos"]).where(F.col("_j").isNotNull())
-                           .select(*group, F.col("_j").alias("_pos")))
-        starts = starts.unionByName(nxt_nodes).distinct().checkpoint(eager=True)
-        # starts holds nxt^d(0) for d < 2^(k+1); fewer nodes than that means the orbit ended
-        longest = starts.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
-        if longest < 2 ** (k + 1):
-            break
-        if k + 1 < k_max:
-            a, b = j.alias("a"), j.alias("b")
-            cond = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in group] + [F.col("a._j") == F.col("b._pos")]
-            j = (a.join(b, cond, "left")
-                  .select(*[F.col(f"a.{c}").alias(c) for c in group], F.col("a._pos").alias("_pos"),
-                          F.col("b._j").alias("_j"))
-                  .checkpoint(eager=True))
-
-    # assignment: interval [s, next start) attached to the sub-buckets it can govern
-    st = starts.join(ev.select(*group, "_pos", "_b", "_n"), [*group, "_pos"])
-    st = st.withColumn("_e", F.coalesce(F.lead("_pos").over(Window.partitionBy(*group).orderBy("_pos")),
-                                        F.col("_n")))
-    iv = (st.select(*group, F.col("_pos").alias("_s"), "_e",
-                    F.explode(F.sequence(F.col("_b"), F.col("_b") + F.lit(sub + 2))).alias("_b"))
-            .checkpoint(eager=True))
-    out = (ev.join(broadcast_if_small(iv), [*group, "_b"])
-             .where((F.col("_s") <= F.col("_pos")) & (F.col("_pos") < F.col("_e"))))
-    return (out.withColumn("limited", (F.col("_pos") - F.col("_s")) >= max_count)
-               .drop("_us", "_b", "_cnt", "_off", "_n", "_pos", "_s", "_e"))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    window = window_ms * US_PER_MS
+    order = [*_DIGEST, _TIME, *ties]
+    sorted_ = (df.select("*", *key_digest([key]), _micros(ts).alias(_TIME)).repartitionByRange(n, *order)
+               .sortWithinPartitions(*order).checkpoint(eager=True)
+               .withColumn(_PART, F.spark_partition_id().cast("long")))
+    functions = (sorted_.select(*_DIGEST, _TIME, _PART)
+                 .mapInArrow(window_scan.summarise(window, max_count, _DIGEST, _TIME, _PART), window_scan.STEPS_DDL))
+    if n > window_scan.FAN:
+        functions = functions.checkpoint(eager=True)
+    carried = window_scan.entries(functions, n, max_count)
+    return sorted_.mapInArrow(_rate_fold(window, max_count, carried), schema)
 
 
 # The chat request limits (per minute).
@@ -437,7 +313,6 @@ def otp_outcomes(events: DataFrame, partitions: int | None = None) -> DataFrame:
     count) and each partition then folds from its exact carry-in.
     Returns (id, outcome).
     """
-    from chatlake.session import checkpoint_dir
     x = events.select("id", "email", "ts", "kind",
                       F.when(F.coalesce(F.col("code"), F.lit("")) != "", F.sha2(F.col("code"), 256)).alias("code_hash"),
                       F.coalesce(col_("code").rlike(r"^[0-9]{6}\z"), F.lit(False)).alias("format_ok"))

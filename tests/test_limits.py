@@ -6,7 +6,11 @@ import datetime as dt
 import hashlib
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from chatlake.operators import limits as L
+from chatlake.operators import window_scan as S
 from chatlake.sources import tables as T
 from fixture_paths import SF01
 
@@ -16,7 +20,7 @@ T0 = dt.datetime(2024, 1, 1)
 def py_rate_limit(events, window_ms, max_count):
     """Row-by-row fold, as the in-memory limiter does it (events sorted by key, ts, id)."""
     state, out = {}, {}
-    for key, ts, i in sorted(events, key=lambda e: (e[0], e[1], e[2])):
+    for key, ts, i in sorted(events, key=lambda e: (e[0] or "", e[1], e[2])):
         s = state.get(key)
         now = ts
         if s is None or (now - s[0]) > dt.timedelta(milliseconds=window_ms):
@@ -58,7 +62,7 @@ def test_rate_limit_random_against_fold(spark):
     # 3 partitions and many Arrow batches: state must carry across batch boundaries
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
     try:
-        got = _run(spark, ev, 30_000, 3, partitions=3)          # plain fold (below the hot minimum)
+        got = _run(spark, ev, 30_000, 3, partitions=3)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == py_rate_limit(ev, 30_000, 3)
@@ -136,12 +140,52 @@ def test_hot_key_bursts(spark):
         for _ in range(5):
             ev.append((f"k{k}", T0 + dt.timedelta(seconds=rnd.randrange(0, 86_400)), i))
             i += 1
-    df = spark.createDataFrame(ev, "k string, ts timestamp_ntz, id long")
-    assert [r["k"] for r in L.hot_keys(df, "k", min_rows=0).collect()] == ["hot"]
-    assert L.hot_keys(df, "k").isEmpty()            # below the absolute minimum: plain fold
-    got = {r["id"]: r["limited"] for r in
-           L.rate_limit(df, "k", "ts", 60_000, 4, tie="id", hot_min_rows=0).collect()}
-    assert got == py_rate_limit(ev, 60_000, 4)
+    for partitions in (1, 5, 40):
+        assert _run(spark, ev, 60_000, 4, partitions) == py_rate_limit(ev, 60_000, 4)
+
+
+def test_one_key_and_null_key_hold_all_rows(spark):
+    """No task gets the key: its rows spread evenly, and the states still match the fold."""
+    rnd = random.Random(12)
+    for key in ("one", None):
+        ev = [(key, T0 + dt.timedelta(milliseconds=rnd.randrange(0, 400_000)), i) for i in range(4000)]
+        want = py_rate_limit(ev, 7_000, 3)
+        df = spark.createDataFrame(ev, "k string, ts timestamp_ntz, id long")
+        res = L.rate_limit(df, "k", "ts", 7_000, 3, tie="id", partitions=20)
+        assert {r["id"]: r["limited"] for r in res.collect()} == want
+        sizes = [r["count"] for r in res.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 2 * 4000 / 20
+
+
+def test_keys_of_any_type_and_repeated_rows(spark):
+    s = dt.timedelta(seconds=1)
+    rows = [(b"a", T0 + i * s, 1) for i in range(5)] + [(b"a", T0 + 4 * s, 1)] * 3 + [(b"b", T0, 2)]
+    df = spark.createDataFrame(rows, "k binary, ts timestamp_ntz, id long")
+    got = sorted((bytes(r["k"]), r["ts"], r["limited"]) for r in L.rate_limit(df, "k", "ts", 2_000, 2, partitions=4).collect())
+    limited = [x[2] for x in got if x[0] == b"a"]
+    assert len(got) == 9 and limited[:4] == [False, False, True, False] and sum(limited) == 4
+
+
+def test_step_functions_equal_the_fold():
+    """Any entry state through any cut of a key's events, composed in any grouping."""
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n, window, most = int(rng.integers(1, 60)), int(rng.integers(1, 50)), int(rng.integers(1, 6))
+        t = np.sort(rng.integers(100, 100 + int(rng.integers(1, 300)), n))
+        cut = np.sort(rng.integers(0, n + 1, 3))
+        parts = [p for p in np.split(t, cut) if p.size]
+        functions = [S.steps_of((1, 2), p, window, most) for p in parts]
+        whole = functions[0]
+        for f in functions[1:]:
+            whole = whole.then(f, most)
+        for start in [None, *rng.integers(int(t[0]) - 2 * window, int(t[0]) + 1, 8).tolist()]:
+            count = int(rng.integers(1, most + 1)) if start is not None else 0
+            want = L.fold_windows(t, start, count, window, most, np.zeros(n, dtype=bool))
+            entry = ((1, 2), start, count) if start is not None else (None, S.NONE, 0)
+            state = entry
+            for f in functions:
+                state = f.leave(*state, most)
+            assert state[1:] == want and whole.leave(*entry, most)[1:] == want
 
 
 def py_otp(rows):
@@ -190,15 +234,12 @@ def test_otp_hot_email_across_partitions(spark):
     assert got == py_otp(rows)
 
 
-def test_doubling_matches_fold_dense_keys(spark):
+def test_dense_keys_with_equal_times(spark):
     rnd = random.Random(21)
     ev = []
     for i in range(2500):
         k = rnd.choice(["hot"] * 8 + ["a", "b"])
         # coarse timestamps (100 ms grid) so equal times occur often
         ev.append((k, T0 + dt.timedelta(milliseconds=100 * rnd.randrange(0, 20_000)), i))
-    df = spark.createDataFrame(ev, "k string, ts timestamp_ntz, id long")
-    for window_ms, mx in [(1_000, 3), (60_000, 5), (600_000, 40)]:
-        got = {r["id"]: r["limited"] for r in
-               L.rate_limit_doubling(df, ["k"], "ts", "id", window_ms, mx).collect()}
-        assert got == py_rate_limit(ev, window_ms, mx), (window_ms, mx)
+    for window_ms, mx, partitions in [(1_000, 3, 6), (60_000, 5, 20), (600_000, 40, 300), (10 ** 10, 7, 20)]:
+        assert _run(spark, ev, window_ms, mx, partitions) == py_rate_limit(ev, window_ms, mx), (window_ms, mx)
