@@ -19,13 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlake.functions.semantics import BLANK_LINE_SEP, js_trim, js_word_count
+from chatlake.operators import vector_index
 from chatlake.sources.lexicon import MAX_KNOWLEDGE_CHARS, MIN_KNOWLEDGE_CHARS
 
 TARGET_WORDS = 350
 # Vectors in a block of KB4: a task holds two blocks and their distances.
 BLOCK_ROWS = 2048
-# KB5: hyperplane tables, bits of a signature, buckets a query looks into per table.
-LSH_TABLES, LSH_BITS, LSH_PROBES = 64, 10, 5
 # Distances are compared after rounding to this many decimals, so engines that
 # differ in the last bits still agree on ties (broken by id).
 DIST_DECIMALS = 9
@@ -236,67 +235,22 @@ def semantic_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, query_key:
 
 # ------------------------------------------------------------------ KB5
 
-def _lsh_codes(tables: int, bits: int, probes: int, seed: int):
-    """Column function: (tbl, sig) buckets of a vector, ``probes`` in each table.
+def approx_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, query_key: str = "query_id",
+                index: vector_index.VectorIndex | None = None, rerank: int | None = None,
+                probe_share: float = vector_index.PROBE_SHARE) -> DataFrame:
+    """KB5: approximate k-NN by inverted cells and residual codes, then exact re-rank.
 
-    One Arrow-batched pandas UDF: a batch of vectors times all tables x bits
-    hyperplanes is one NumPy matrix product (fixed seed, same planes on every
-    executor).  Further probes flip the one, then the two bits whose
-    hyperplanes lie nearest to the vector.
+    Stands in for the HNSW index: every chunk is indexed, recall is below 1 and
+    is measured against KB4 in the tests.  ``index`` is one that
+    ``vector_index.build`` wrote before (default: one is built).  Vectors are
+    joined to the candidate ids only (ties by id).
     """
-    flips = [()] + [(i,) for i in range(bits)] + [(i, j) for i in range(bits) for j in range(i + 1, bits)]
-    weights = (1 << np.arange(bits)).astype(np.int64)
-
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-    def codes(vecs: pd.Series) -> pd.Series:
-        m = np.stack(vecs.map(lambda a: np.asarray(a, np.float64)).to_numpy())
-        planes = np.random.default_rng(seed).standard_normal((m.shape[1], tables * bits))
-        side = (m @ planes).reshape(len(m), tables, bits)
-        code = ((side >= 0) * weights).sum(axis=2)
-        near = weights[np.argsort(np.abs(side), axis=2, kind="stable")]
-        # Probes in order of the summed places of the bits they flip.
-        order = sorted(flips, key=lambda f: (sum(i + 1 for i in f), f))[:probes]
-        got = [code ^ near[:, :, list(f)].sum(axis=2) for f in order]
-        return pd.Series(np.stack(got, axis=2).astype(np.int32).tolist())
-
-    def buckets(vec: Column) -> Column:
-        return F.flatten(F.transform(codes(vec), lambda sigs, t: F.transform(
-            sigs, lambda s: F.struct(t.alias("tbl"), s.alias("sig")))))
-    return buckets
-
-
-def lsh_candidates(queries: DataFrame, chunks: DataFrame, tables: int = LSH_TABLES, bits: int = LSH_BITS,
-                   probes: int = LSH_PROBES, seed: int = 7, query_key: str = "query_id") -> DataFrame:
-    """KB5 candidates: distinct (query_id, id) pairs sharing a bucket.
-
-    The join is an equi-join on (table, signature) that carries ids only; a
-    chunk lies in one bucket of each table, a query looks into ``probes``.
-    """
-    q = _valid_vectors(queries.select(F.col(query_key).alias("query_id"), F.col("embedding").alias("qv")), "qv")
-    c = _valid_vectors(chunks.select("id", "embedding"), "embedding")
-    q = (q.select("query_id", F.explode(_lsh_codes(tables, bits, probes, seed)(F.col("qv"))).alias("s"))
-          .select("query_id", "s.tbl", "s.sig"))
-    c = (c.select("id", F.explode(_lsh_codes(tables, bits, 1, seed)(F.col("embedding"))).alias("s"))
-          .select("id", "s.tbl", "s.sig"))
-    return q.join(c, ["tbl", "sig"]).select("query_id", "id").distinct()
-
-
-def approx_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, tables: int = LSH_TABLES, bits: int = LSH_BITS,
-                probes: int = LSH_PROBES, seed: int = 7, query_key: str = "query_id") -> DataFrame:
-    """KB5: approximate k-NN with multi-probe random-hyperplane LSH, then exact re-rank.
-
-    Stands in for the HNSW index: every chunk is indexed, recall is below 1.
-    ``bits`` should grow with log2 of the number of chunks, so that a bucket
-    keeps its size; recall against KB4 is measured in the tests.  Vectors are
-    joined to the distinct candidate ids only (ties by id).
-    """
-    def norm(vec: Column) -> Column:
-        return F.sqrt(F.aggregate(F.transform(vec, lambda x: x.cast("double") * x), F.lit(0.0), lambda s, x: s + x))
-
-    cand = lsh_candidates(queries, chunks, tables, bits, probes, seed, query_key)
-    q = queries.select(F.col(query_key).alias("query_id"), F.col("embedding").alias("qv"))
-    dot = F.aggregate(F.zip_with("qv", "embedding", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    dist = F.round(1 - dot / (norm(F.col("qv")) * norm(F.col("embedding"))), DIST_DECIMALS)
+    index = index or vector_index.build(chunks)
+    q = queries.select(F.col(query_key).cast("long").alias("query_id"), F.col("embedding").alias("qv"))
+    if not index.rows:
+        return q.limit(0).select("query_id", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank"))
+    cand = vector_index.candidates(q, index, rerank, probe_share)
+    dist = vector_index.cosine_distance("qv", "embedding", DIST_DECIMALS)
     w = Window.partitionBy("query_id").orderBy("dist", "id")
     return (cand.join(chunks.select("id", "embedding"), "id").join(q, "query_id")
                 .select("query_id", "id", dist.alias("dist"))

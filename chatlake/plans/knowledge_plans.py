@@ -140,14 +140,20 @@ def tx6(spark, d):
 
 # ---------------------------------------------------------------- KB5 (approximate: rows-only check)
 
-@register("KB5_approx_topk")
-def kb5(spark, d):
-    """Benchmark passages as queries against the chunk texts, both encoded by one KB3 model."""
+def approx_inputs(spark, d):
+    """Chunk texts and benchmark passages, both encoded by one KB3 model."""
     kc = T.knowledge_chunks(spark, d).select("id", "content")
     model = K.fit_vectoriser(kc, "content", 256)
     chunks = K.vectorise(kc, model)
     qs = K.vectorise(T.load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"),
                                                           F.col("text").alias("content")), model)
+    return chunks, qs
+
+
+@register("KB5_approx_topk")
+def kb5(spark, d):
+    """Benchmark passages as queries against the chunk texts."""
+    chunks, qs = approx_inputs(spark, d)
     return K.approx_topk(qs, chunks, k=5)
 
 

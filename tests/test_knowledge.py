@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from chatlake.functions.semantics import JS_WS_CHARS
 from chatlake.operators import knowledge as K
+from chatlake.operators import vector_index as V
+from chatlake.plans import knowledge_plans as KP
 from chatlake.sources import tables as T
-from fixture_paths import SF001, SF01
+from fixture_paths import SF001, SF01, SF1
 
 _WS = "[" + re.escape(JS_WS_CHARS) + "]"
 
@@ -105,19 +108,63 @@ def test_semantic_topk_without_vectors(spark):
     assert K.approx_topk(q, zero).count() == 0
 
 
-def test_approx_topk_recall_and_pruning(spark):
-    """Recall against the exact search; most pairs are never scored."""
-    kc = T.knowledge_chunks(spark, SF01)
-    q = kc.where("id % 5 = 0").select(F.col("id").alias("query_id"), "embedding")
-    exact = K.semantic_topk(q, kc, k=5).select("query_id", "id")
-    approx = K.approx_topk(q, kc, k=5).select("query_id", "id")
+@pytest.mark.parametrize("folder", [SF01, SF1])
+def test_approx_topk_recall_and_pruning(spark, folder):
+    """The registered query's own vectors: recall against the exact search, and the share of pairs compared in full."""
+    chunks, q = KP.approx_inputs(spark, folder)
+    chunks, q = chunks.checkpoint(), q.checkpoint()
+    index = V.build(chunks)
+    approx = K.approx_topk(q, chunks, k=5, index=index).select("query_id", "id")
+    exact = K.semantic_topk(q.withColumnRenamed("content", "_c"), chunks.withColumn("tradition", F.lit("")), k=5) \
+        .select("query_id", "id")
     recall = approx.join(exact, ["query_id", "id"]).count() / exact.count()
-    share = K.lsh_candidates(q, kc).count() / (q.count() * kc.count())
+    asked = q.select("query_id", F.col("embedding").alias("qv"))
+    share = V.candidates(asked, index).count() / (q.count() * index.rows)
     assert recall >= 0.9, recall
-    assert share < 0.4, share
+    assert share <= 0.15, share
     assert approx.groupBy("query_id").count().where("count > 5").count() == 0
 
 
+def test_index_grows_and_holds_every_row(spark):
+    rng = np.random.default_rng(3)
+    for n, want in ((9, 3), (400, 20)):
+        rows = [(i, rng.normal(size=6).tolist()) for i in range(n)] + [(10 ** 6, [0.0] * 6), (10 ** 6 + 1, None)]
+        df = spark.createDataFrame(rows, "id long, embedding array<float>")
+        index = V.build(df)
+        assert index.quantiser.centres.shape == (want, 6) and index.rows == n
+        assert sorted(r["id"] for r in index.read(spark).collect()) == list(range(n))
+        got = K.approx_topk(df.where("id % 50 = 0").withColumnRenamed("id", "query_id"), df, k=1, index=index).collect()
+        assert all(r["query_id"] == r["id"] and r["dist"] == 0 for r in got) and len(got) == -(-n // 50)
+
+
+def test_hot_cell_is_divided(spark, monkeypatch):
+    monkeypatch.setattr(V, "SLOT_ROWS", 20)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0, 5.0]) for i in range(300)] + [(300 + i, [float(i), -1.0, 0.0, 1.0, 0.5]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    index = V.build(df)
+    assert max(index.slots.values()) >= 15 and index.read(spark).count() == 330
+    got = K.approx_topk(df.where("id = 7").withColumnRenamed("id", "query_id"), df, k=5, index=index).collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rank"])] == [0, 1, 2, 3, 4]
+
+
+def test_only_probed_cells_are_read(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(100)], "id long, embedding array<float>")
+    index = V.build(df)
+    q = df.limit(1).select(F.col("id").alias("query_id"), F.col("embedding").alias("qv"))
+    assert V.probes(q, index, 0.2).select("cell").distinct().count() == 2
+    assert "PartitionFilters: [isnotnull(cell" in index.read(spark).where("cell = 1")._jdf.queryExecution().toString()
+
+
+def test_codes_come_near(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 10)).astype(np.float32)
+    quantiser = V.Quantiser.train(x, 8, 1)
+    cell, codes = quantiser.encode(x)
+    back = quantiser.centres[cell] + quantiser.decode(codes)
+    assert ((back - x) ** 2).sum() < 0.35 * ((quantiser.centres[cell] - x) ** 2).sum()
+
+
 def test_ingest_report_and_rejects(spark):
     texts = spark.createDataFrame([
         (1, "t", "", _words(400, "a") + "\n\n" + _words(20, "b")),
