@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from chatlake.functions.joins import broadcast_if_small
 from chatlake.functions.semantics import col_, js_trim, js_word_count
+from chatlake.operators import keyword_scan
 from chatlake.sources.lexicon import (CONTEXT_ANSWER_MAX_WORDS, HISTORY_MAX_CHARS, MAX_MESSAGE_CHARS,
                                       MIN_MESSAGE_CHARS, SOURCE_LABEL, Lexicon)
 
@@ -78,8 +79,10 @@ def classify(df: DataFrame, text_col: str, lex: Lexicon, key_cols: list[str] | N
     shuffle).  ``method='join'`` joins the size-checked dictionary on
     ``contains`` and keeps each row's best-ranked hit with ``min_by``; rows are
     told apart by a row id, so repeated and NULL keys keep their own answers
-    (``key_cols`` is accepted and not needed).  The caller chooses; the answers
-    are the same.
+    (``key_cols`` is accepted and not needed).  ``method='automaton'`` finds the
+    first keyword in one pass of each text, whatever the number of keywords
+    (``keyword_scan``; ``classify_by_table`` for a dictionary that is a table).
+    The caller chooses; the answers are the same.
     """
     if normalize:
         # Optional: match precomposed and decomposed spellings alike (the default
@@ -95,6 +98,8 @@ def classify(df: DataFrame, text_col: str, lex: Lexicon, key_cols: list[str] | N
                   .withColumn("category", F.coalesce(F.col("_hit.category"), F.lit(lex.default_category)))
                   .withColumn("entity", js_trim(F.col("_hit.kw")))
                   .drop("_hit"))
+    if method == "automaton":
+        return classify_by_table(df, text_col, keyword_frame(df.sparkSession, lex), lex.default_category)
     kw = broadcast_if_small(keyword_frame(df.sparkSession, lex))
     rows = df.select(F.struct("*").alias("_r"), F.monotonically_increasing_id().alias("_row"))
     best = (rows.join(kw, F.col(f"_r.{text_col}").contains(F.col("keyword")), "left")
@@ -105,6 +110,14 @@ def classify(df: DataFrame, text_col: str, lex: Lexicon, key_cols: list[str] | N
                        js_trim(F.col("_hit.keyword")).alias("entity"))
 
 
+def classify_by_table(df: DataFrame, text_col: str, keywords: DataFrame, default_category: str,
+                      max_keywords: int = keyword_scan.MAX_KEYWORDS) -> DataFrame:
+    """TX1 with a dictionary of any size: ``keywords`` (cat_rank, category, kw_rank, keyword)."""
+    found = keyword_scan.first_keyword(df, text_col, keywords, max_keywords=max_keywords)
+    return found.select("row.*", F.when(F.col("keyword").isNull(), F.lit(default_category)).otherwise(F.col("category"))
+                        .alias("category"), js_trim(F.col("keyword")).alias("entity"))
+
+
 # ------------------------------------------------------------------ hints, TX2, TX3
 
 def first_hint(text_lower: Column, hints: list[str]) -> Column:
@@ -116,9 +129,9 @@ def any_hint(text: Column, hints: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(h) for h in hints]), lambda h: text.contains(h))
 
 
-def classify_input(trimmed: Column, context_asked: Column, lex: Lexicon) -> Column:
+def classify_input(trimmed: Column, context_asked: Column, lex: Lexicon, marked: Column | None = None) -> Column:
     """TX2: new_dream (marker present) / context_answer / general_question."""
-    return (F.when(any_hint(trimmed, lex.dream_markers), "new_dream")
+    return (F.when(any_hint(trimmed, lex.dream_markers) if marked is None else marked, "new_dream")
              .when(context_asked & (js_word_count(trimmed) <= CONTEXT_ANSWER_MAX_WORDS), "context_answer")
              .otherwise("general_question"))
 
@@ -138,13 +151,20 @@ def missing_context(trimmed: Column, input_type: Column, known_profession: Colum
 
 # ------------------------------------------------------------------ WN4, WN5, turn labelling
 
-def label_turns(turns: DataFrame, lex: Lexicon) -> DataFrame:
+def label_turns(turns: DataFrame, lex: Lexicon, method: str = "literal") -> DataFrame:
     """Label every user turn as a chat request, with the turns before it as history.
 
     Adds: trimmed, context_asked (WN4), known_profession (WN5), input_type
     (TX2), category/entity (TX1) and missing (TX3), plus the two previous
-    turns (p1 = newest) for prompt assembly.
+    turns (p1 = newest) for prompt assembly.  ``method`` is that of ``classify``;
+    with 'automaton' markers and profession hints are found by it too, in one visit.
     """
+    if method == "automaton":
+        lower = F.lower(F.col("text"))
+        turns = keyword_scan.add_first(turns, {
+            "_hint": (F.when(F.col("role") == "user", lower), lex.profession_hints),
+            "_own_hint": (F.when(F.col("role") == "user", F.lower(js_trim(F.col("text")))), lex.profession_hints),
+            "_marker": (F.when(F.col("role") == "user", js_trim(F.col("text"))), lex.dream_markers)})
     users = turns.where(F.col("role") == "user")
     # The two items before each, whatever their turn numbers.
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -155,7 +175,7 @@ def label_turns(turns: DataFrame, lex: Lexicon) -> DataFrame:
         return F.coalesce((F.col(role) == "ai") & F.col(text).contains(lex.context_marker), F.lit(False))
 
     # WN5: profession hint of the current text, else of the oldest earlier user turn with one.
-    hit = first_hint(F.lower(F.col("text")), lex.profession_hints)
+    hit = F.col("_hint") if method == "automaton" else first_hint(F.lower(F.col("text")), lex.profession_hints)
     first_hits = (users.select("conv_id", "turn", hit.alias("h")).where(F.col("h").isNotNull())
                        .groupBy("conv_id")
                        .agg(F.min("turn").alias("h_turn"), F.min_by("h", "turn").alias("h_first")))
@@ -165,11 +185,13 @@ def label_turns(turns: DataFrame, lex: Lexicon) -> DataFrame:
     x = (x.withColumn("trimmed", trimmed)
           .withColumn("context_asked", asked("p1_role", "p1_text") | asked("p2_role", "p2_text"))
           .withColumn("known_profession",
-                      F.coalesce(first_hint(F.lower(F.col("trimmed")), lex.profession_hints),
+                      F.coalesce(F.col("_own_hint") if method == "automaton"
+                                 else first_hint(F.lower(F.col("trimmed")), lex.profession_hints),
                                  F.when(F.col("h_turn") < F.col("turn"), F.col("h_first"))))
           .drop("h_turn", "h_first"))
-    x = x.withColumn("input_type", classify_input(F.col("trimmed"), F.col("context_asked"), lex))
-    x = classify(x, "trimmed", lex)
+    marked = F.col("_marker").isNotNull() if method == "automaton" else None
+    x = x.withColumn("input_type", classify_input(F.col("trimmed"), F.col("context_asked"), lex, marked))
+    x = classify(x.drop("_hint", "_own_hint", "_marker"), "trimmed", lex, method=method)
     return x.withColumn("missing", missing_context(F.col("trimmed"), F.col("input_type"),
                                                    F.col("known_profession"), F.col("context_asked"), lex))
 

@@ -7,6 +7,7 @@ over a keyword join.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chatlake.functions.semantics import JS_WS_CLASS
@@ -134,6 +135,37 @@ def jn6(spark, d):
     return X.classify(docs, "text", LEX, key_cols=["doc_id"], method="join").select("doc_id", "category", "entity")
 
 
+@register("TX1_classify_automaton", with_views([], (_classify_sql("documents", "doc_id", "text") + f"""
+SELECT d.doc_id, COALESCE(h.category, {_q(LEX.default_category)}) AS category, trim(h.keyword) AS entity
+FROM documents d LEFT JOIN hits h ON h.k = d.doc_id""")))
+def tx1_automaton(spark, d):
+    """TX1/JN6 by one pass of the keyword automaton: no join, no shuffle."""
+    docs = T.load(spark, d, "documents").select("doc_id", "text")
+    return X.classify(docs, "text", LEX, method="automaton").select("doc_id", "category", "entity")
+
+
+def passage_dictionary(spark, d):
+    """Every word of the benchmark passages of four letters or more as a keyword; longer words come first."""
+    word = F.explode(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))).alias("keyword")
+    words = T.load(spark, d, "benchmark").select(word).where(F.length("keyword") >= 4).distinct()
+    by_size = Window.partitionBy(F.length("keyword")).orderBy("keyword")
+    return words.select((1000 - F.length("keyword")).alias("cat_rank"),
+                        F.concat(F.lit("letters_"), F.length("keyword").cast("string")).alias("category"),
+                        F.row_number().over(by_size).alias("kw_rank"), "keyword")
+
+
+@register("JN6_passage_dictionary", with_views([], r"""
+, words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS keyword FROM benchmark),
+hits AS (SELECT d.doc_id, arg_min(w.keyword, {'n': -length(w.keyword), 'w': w.keyword}) AS keyword
+         FROM documents d JOIN words w ON length(w.keyword) >= 4 AND contains(d.text, w.keyword) GROUP BY d.doc_id)
+SELECT d.doc_id, COALESCE('letters_' || length(h.keyword), 'other') AS category, h.keyword AS entity
+FROM documents d LEFT JOIN hits h USING (doc_id)"""))
+def jn6_passages(spark, d):
+    """The automaton over a dictionary that is a table and grows with the input."""
+    docs = T.load(spark, d, "documents").select("doc_id", "text")
+    return X.classify_by_table(docs, "text", passage_dictionary(spark, d), "other").select("doc_id", "category", "entity")
+
+
 @register("TX1_classify_chat_turns", with_views(["chat_turns"], _classify_sql("chat_turns", "conv_id * 10000 + turn", "text") + f"""
 SELECT c.conv_id, c.turn, COALESCE(h.category, {_q(LEX.default_category)}) AS category, trim(h.keyword) AS entity
 FROM chat_turns c LEFT JOIN hits h ON h.k = c.conv_id * 10000 + c.turn"""))
@@ -161,6 +193,13 @@ def tx2(spark, d):
     return _labelled(spark, d).select("conv_id", "turn", "input_type", "category", "entity")
 
 
+@register("TX2_classify_input_automaton", _LAB.replace("{cols}", "conv_id, turn, known_profession, input_type, category, entity"))
+def tx2_automaton(spark, d):
+    """TX1, TX2 and WN5 with all lists found by automata."""
+    return X.label_turns(T.chat_turns(spark, d), LEX, method="automaton") \
+        .select("conv_id", "turn", "known_profession", "input_type", "category", "entity")
+
+
 @register("TX3_missing_context", _LAB.replace("{cols}", "conv_id, turn, array_to_string(missing, '|') AS missing_items"))
 def tx3(spark, d):
     return _labelled(spark, d).select("conv_id", "turn", F.array_join("missing", "|").alias("missing_items"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import random
+
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from chatlake.functions.semantics import js_trim, js_word_count
+from chatlake.operators import keyword_scan as A
 from chatlake.operators import text as X
 from chatlake.sources import tables as T
 from chatlake.sources.lexicon import BENGALI, LATIN
-from fixture_paths import SF01
+from fixture_paths import SF01, SF1
 
 
 def _classify(spark, texts, lex=BENGALI, method="literal"):
@@ -65,6 +70,57 @@ def test_join_method_equals_literal(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_automaton_method_equals_literal(spark):
+    docs = T.load(spark, SF01, "documents").select(F.col("doc_id").alias("id"), "text", F.lit(1).alias("row"), F.lit("k").alias("keyword"))
+    docs = docs.union(spark.createDataFrame([(None, None, 1, "k"), (-1, "", 1, "k"), (-1, "", 1, "k")], docs.schema))
+    a = X.classify(docs, "text", LATIN, method="literal")
+    b = X.classify(docs, "text", LATIN, method="automaton")
+    assert a.columns == b.columns
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_label_turns_by_automaton_equals_literal(spark):
+    turns = T.chat_turns(spark, SF01)
+    a, b = X.label_turns(turns, LATIN), X.label_turns(turns, LATIN, method="automaton")
+    assert a.columns == b.columns
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_automaton_equals_first_contained(monkeypatch):
+    """Also with few full rows, short lanes, empty and repeated keywords, and keywords inside others."""
+    rng = random.Random(1)
+    for dense, lane in ((16_384, 1024), (5, 3), (1, 1)):
+        monkeypatch.setattr(A, "DENSE", dense)
+        monkeypatch.setattr(A, "LANE", lane)
+        for turn in range(30):
+            words = ["".join(rng.choice("abcé ") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 40))]
+            words += words[:1] + ([""] if turn % 10 == 0 else [])
+            texts = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(60))) for _ in range(30)] + [None, ""]
+            want = [next((i for i, w in enumerate(words) if x is not None and w in x), A.NO_HIT) for x in texts]
+            assert A.Automaton(words).first_ranks(pa.array(texts)).tolist() == want
+    assert A.Automaton([]).first_ranks(pa.array(["x", None])).tolist() == [A.NO_HIT] * 2
+
+
+@pytest.mark.parametrize("max_keywords", [1 << 20, 40_000])
+def test_hundred_thousand_keywords_without_a_join(spark, max_keywords):
+    """Over sf0.1, in one pass and in several."""
+    docs = T.load(spark, SF1, "documents").select("doc_id", "text")
+    rng = random.Random(3)
+    made = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(100_000)]
+    rows = [(i // 1000, f"c{i // 1000}", i % 1000, w) for i, w in enumerate([*made[:50_000], "eronth", *made[50_000:], "and", "que"])]
+    frame = spark.createDataFrame(rows, "cat_rank int, category string, kw_rank int, keyword string")
+    got = X.classify_by_table(docs, "text", frame, "other", max_keywords=max_keywords)
+    plan = got._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    rank = {}
+    for i, (_, c, _, w) in enumerate(rows):
+        rank.setdefault(w, (i, c))
+    for r in got.where(F.xxhash64("doc_id") % 400 == 0).select("doc_id", "category", "entity", "text").collect():
+        want = min((rank[w] + (w,) for n in (3, 6) for w in {r["text"][j:j + n] for j in range(len(r["text"]))} if w in rank),
+                   default=(None, "other", None)) if r["text"] else (None, "other", None)
+        assert (r["category"], r["entity"]) == want[1:]
+
+
 def test_fixture_first_match_counts(spark):
     docs = T.load(spark, SF01, "documents")
     c = {r["category"]: r["count"] for r in X.classify(docs, "text", LATIN).groupBy("category").count().collect()}
