@@ -376,7 +376,11 @@ def dashboard(users: DataFrame, msgs: DataFrame, tokens: DataFrame,
 def dashboard_long(users: DataFrame, msgs: DataFrame, tokens: DataFrame,
                    as_of: str = DEFAULT_AS_OF) -> DataFrame:
     """AG21 as one table (section, bucket, metric, value); see ``dashboard``."""
-    d = dashboard(users, msgs, tokens, as_of)
+    return long_table(dashboard(users, msgs, tokens, as_of))
+
+
+def long_table(d: dict[str, DataFrame]) -> DataFrame:
+    """The parts of a dashboard as one table."""
     parts = [
         _long(d["totals"], "totals", None, ["total_users", "users_via_devonix", "users_via_email",
                                             "banned_users", "new_today", "new_last_7_days",
