@@ -19,6 +19,7 @@ by rule; repeated rows repeat; an empty table gives an empty one.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -28,6 +29,10 @@ from pyspark.sql import functions as F
 from chatlake.llm.shared import Scratch
 
 
+#: Matches of a text that are walked in one go.
+PIECE = 256
+
+
 @dataclass(frozen=True)
 class Rule:
     """``least`` code points in ``group`` (0: the match); shorter matches are dropped, not retried."""
@@ -153,25 +158,55 @@ def candidates(index: DataFrame, queries: DataFrame, rules: list[Rule]) -> DataF
     return met.filter(F.col("met") == need).groupBy("text_hash").agg(F.collect_set("rule").alias("rules"))
 
 
-def spans(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start, place, stop>> of a rule's matches."""
-    find = ("(?is)" if rule.any_case else "(?s)") + rf"\G(.*?)({rule.pattern})"
-    # The pattern's own groups follow the two that are put around it.
-    part = lambda g: F.regexp_extract_all(text, F.lit(find), F.lit(g))
-    lengths = F.arrays_zip(F.transform(part(1), F.length).alias("gap"), F.transform(part(2), F.length).alias("size"),
-                           F.transform(part(rule.group + 2), F.length).alias("value"))
+def _walked(matches: Column, order: int, base: Column) -> Column:
+    """Spans of matches given by their lengths, the first search beginning at ``base``."""
     none = F.array().cast("array<struct<start:int,place:int,stop:int,ok:boolean>>")
-    walked = F.aggregate(
-        lengths, F.struct(F.lit(0).alias("at"), none.alias("found")),
+    return F.aggregate(
+        matches, F.struct(base.alias("at"), none.alias("found")),
         lambda acc, m: F.struct(
             (acc["at"] + m["gap"] + m["size"]).alias("at"),
             F.concat(acc["found"], F.array(F.struct(
                 (acc["at"] + m["gap"]).alias("start"), F.lit(order).alias("place"),
-                (acc["at"] + m["gap"] + m["size"]).alias("stop"),
-                (m["value"] >= rule.least).alias("ok")))).alias("found")),
+                (acc["at"] + m["gap"] + m["size"]).alias("stop"), m["ok"].alias("ok")))).alias("found")),
         lambda acc: acc["found"])
-    good = F.filter(walked, lambda s: s["ok"])
-    return F.transform(good, lambda s: F.struct(s["start"], s["place"], s["stop"]))
+
+
+def spans(text: Column, rule: Rule, order: int) -> Column:
+    """array<struct<start, place, stop>> of a rule's matches.
+
+    ``aggregate`` copies its list for each match, so matches are walked in pieces of PIECE, whose
+    places come from a walk over the pieces: 100,000 matches of a text copy some PIECE lists each.
+    """
+    find = ("(?is)" if rule.any_case else "(?s)") + rf"\G(.*?)({_long(rule)})"
+    # The pattern's own groups follow the two that are put around it.
+    part = lambda g: F.regexp_extract_all(text, F.lit(find), F.lit(g))
+    matches = F.transform(
+        F.arrays_zip(F.transform(part(1), F.length).alias("gap"), F.transform(part(2), F.length).alias("size"),
+                     F.transform(part(rule.group + 2), F.length).alias("value")),
+        lambda m: F.struct(m["gap"], m["size"], (m["value"] >= rule.least).alias("ok")))
+    none = F.array().cast("array<struct<start:int,place:int,stop:int,ok:boolean>>")
+    found = _bound(matches, lambda m: F.when(F.size(m) > 0, _bound(_pieces(m), lambda p: _in_pieces(p, order))).otherwise(none))
+    return F.transform(F.filter(found, lambda s: s["ok"]), lambda s: F.struct(s["start"], s["place"], s["stop"]))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used (also inside lambdas)."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _pieces(matches: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / PIECE).cast("int")),
+                       lambda i: F.slice(matches, i * PIECE + 1, PIECE))
+
+
+def _in_pieces(pieces: Column, order: int) -> Column:
+    """The spans of all pieces, each begun where the one before it ends."""
+    length = lambda piece: F.aggregate(piece, F.lit(0), lambda n, m: n + m["gap"] + m["size"])
+    begins = F.aggregate(
+        F.transform(pieces, length), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
+        lambda acc: acc["all"])
+    return F.flatten(F.zip_with(pieces, begins, lambda piece, at: _walked(piece, order, at)))
 
 
 def scan(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
@@ -200,11 +235,18 @@ def scan(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = Non
     return joined.select("row", F.array_sort(F.concat(*each)).alias("found"))
 
 
-def _quick(rule: Rule) -> str:
-    """A class repeated needs a run of the least length; other expressions are tried as they are."""
+def _long(rule: Rule) -> str:
+    """The rule's pattern without matches that are too short, where that is plain: a class repeated.
+
+    Its matches are maximal runs, so those of the least length are found alike.
+    """
     if rule.group == 0 and re.fullmatch(r"\[[^\]]+\]\+", rule.pattern):
-        return f"{rule.pattern[:-1]}{{{rule.least}}}"
-    return ("(?i)" if rule.any_case else "") + rule.pattern
+        return f"{rule.pattern[:-1]}{{{rule.least},}}"
+    return rule.pattern
+
+
+def _quick(rule: Rule) -> str:
+    return ("(?i)" if rule.any_case else "") + _long(rule)
 
 
 def digest_text(found: Column, rules: list[Rule]) -> Column:
