@@ -417,10 +417,14 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     alone = found.filter("comp IS NULL").select("doc_id", "text_hash").distinct()
     least = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(row).alias("row"))
     kept = least.select("row.doc_id", "row.text_hash").unionByName(alone)
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
-    key = [F.col(id_col), F.xxhash64(F.col(text_col))]
-    rest = [F.col(f.name) if isinstance(f.dataType, T.AtomicType) else F.to_json(f.name)
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    # The row as a struct, so that its columns may have any names.
+    of = lambda c: F.col("row").getField(c)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("id", of(id_col).cast("long")).withColumn("hash", F.xxhash64(of(text_col)))
+    rest = [of(f.name) if isinstance(f.dataType, T.AtomicType) else F.to_json(F.struct(of(f.name)))
             for f in docs.schema if f.name not in (id_col, text_col)]
-    turn = F.row_number().over(Window.partitionBy(*key).orderBy(*(rest or key)))
-    return (docs.join(kept, key[0].cast("long").eqNullSafe(F.col("_kept_id")) & (key[1] == F.col("_kept_hash")), "left_semi")
-            .withColumn("_turn", turn).filter("_turn = 1").drop("_turn"))
+    turn = F.row_number().over(Window.partitionBy("id", "hash").orderBy(*(rest or ["id"])))
+    return (rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+            .withColumn("turn", turn).filter("turn = 1")
+            .select(*[of(c).alias(c) for c in docs.columns]))

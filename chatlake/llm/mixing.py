@@ -26,8 +26,9 @@ comes from digests of ``doc_id`` and the source.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatlake.llm.shared import Scratch
 
@@ -43,15 +44,20 @@ SEED = "mix"
 def sized_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                source_col: str = "source") -> DataFrame:
     """``row`` (the document as it was), id, source, site (never null), digest, tie and size."""
-    row = F.struct(*[F.col(c) for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return docs.select(
         row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("site"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("digest"),
-        F.xxhash64(*docs.columns).alias("tie"),
+        F.xxhash64(*[_hashable(f) for f in docs.schema]).alias("tie"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
+def _hashable(field: T.StructField) -> Column:
+    """The column, or its JSON where it holds a map, whose entries have no order to hash."""
+    return F.to_json(F.struct(F.col(f"`{field.name}`"))) if "map<" in field.dataType.simpleString() else F.col(f"`{field.name}`")
+
+
 def source_targets(sized: DataFrame) -> DataFrame:
     """site, source_size and target (double) from rows of (site, source, size)."""
     totals = sized.groupBy("site", "source").agg(F.sum("size").alias("source_size"))

@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,7 +195,7 @@ def _limits(bins: DataFrame, by: list[str]) -> DataFrame:
 def bands(measured: DataFrame, lang: str, scratch: Scratch) -> DataFrame:
     """Lower and upper limits by language and size class, from exact histograms."""
     worded = measured.filter("n_words > 0")
-    group = [F.coalesce(F.col(f"row.{lang}"), F.lit("")).alias("lang"), size_class().alias("class")]
+    group = [_lang(lang).alias("lang"), size_class().alias("class")]
     values = F.explode(F.create_map(*[x for m in MEASURES for x in (F.lit(m), F.col(m))])).alias("measure", "value")
     bins = scratch.save(worded.select(*group, values)
                         .groupBy("lang", "class", "measure", F.floor(F.col("value") * BINS).alias("bin"))
@@ -211,6 +211,11 @@ def bands(measured: DataFrame, lang: str, scratch: Scratch) -> DataFrame:
     return own.unionByName(reach.filter("reach IS NULL").select("lang", "class").join(common, "class"))
 
 
+def _lang(column: str) -> Column:
+    """A row's language as a key that is never null: a null language is not the empty one."""
+    return F.coalesce(F.concat(F.lit("="), F.col(f"row.{column}")), F.lit(""))
+
+
 def size_class():
     return F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))).cast("int")
 
@@ -223,7 +228,7 @@ def judge(docs: DataFrame, path: str, text_col: str = "text", lang_col: str = "l
     measured = scratch.save(measure(docs, text_col, path, keep), "measured")
     limits = scratch.save(bands(measured, lang_col, scratch), "bands")
     limits = limits.withColumnsRenamed({"lang": "b_lang", "class": "b_class"})
-    joined = measured.join(limits, (F.coalesce(F.col(f"row.{lang_col}"), F.lit("")) == F.col("b_lang"))
+    joined = measured.join(limits, (_lang(lang_col) == F.col("b_lang"))
                            & (size_class() == F.col("b_class")), "left")
     inside = F.lit(True)
     for m in MEASURES:
