@@ -51,8 +51,8 @@ THRESHOLD_PCT = 90
 BAND_RATIO = 1.25
 #: Elements that a signature stands for, on average, in the smallest set of its band.
 LEAST_ELEMENTS = 10
-#: Ranges whose element counts are compared before the sets.
-RANGES = 64
+#: Ranges whose element counts are compared before the sets (a byte each).
+RANGES = 256
 #: Pivots of a bucket in each round, before the rest is compared in blocks ...
 PIVOTS = (1, 4)
 #: ... of about so many members and bytes of text.
@@ -85,8 +85,13 @@ def shingle_sets(texts: Texts, size: int = SHINGLE) -> Iterator[np.ndarray]:
 
 
 def range_counts(elements: np.ndarray) -> np.ndarray:
-    """Elements in each of RANGES equal ranges of the domain."""
-    return np.bincount((elements >> np.uint64(58)).astype(np.int64), minlength=RANGES).astype(np.int32)
+    """Elements in each of RANGES equal ranges of the domain, 255 at most.
+
+    Counts so cut differ by no more than the counts themselves, so sets differ in at least the summed
+    differences.
+    """
+    counts = np.bincount((elements >> np.uint64(56)).astype(np.int64), minlength=RANGES)
+    return np.minimum(counts, 255).astype(np.uint8)
 
 
 # ---------------------------------------------------------------- signatures
@@ -190,17 +195,24 @@ def _spell_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- comparison
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int32).reshape(len(column), RANGES)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), RANGES).astype(np.int16)
+
+
+def _room(counts: np.ndarray, size: np.ndarray, one: np.ndarray, one_size: np.ndarray, threshold_pct: int) -> np.ndarray:
+    """Whether the counts leave room for similarity, row by row."""
+    apart = np.abs(counts - one).sum(axis=1, dtype=np.int64)
+    return (100 + threshold_pct) * apart <= (100 - threshold_pct) * (size + one_size)
 
 
 def _prune(threshold_pct: int):
     """Pairs whose element counts leave room for their similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not len(batch):
+                continue
             left, right = _matrix(batch["counts_a"]), _matrix(batch["counts_b"])
-            apart = np.abs(left - right).sum(axis=1)
-            total = left.sum(axis=1) + right.sum(axis=1)
-            keep = pa.array(np.flatnonzero((100 + threshold_pct) * apart <= (100 - threshold_pct) * total))
+            sizes = (batch[c].to_numpy() for c in ("n_shingles_a", "n_shingles_b"))
+            keep = pa.array(np.flatnonzero(_room(left, next(sizes), right, next(sizes), threshold_pct)))
             yield pa.RecordBatch.from_arrays([batch["a"].take(keep), batch["b"].take(keep)], names=["a", "b"])
     return run
 
@@ -227,35 +239,64 @@ def _verify(threshold_pct: int):
     return run
 
 
-class Members:
-    """Some members of one bucket, ready to be compared."""
+class Block:
+    """Some members of one bucket."""
 
-    def __init__(self, table: pa.Table, threshold_pct: int) -> None:
+    def __init__(self, table: pa.Table) -> None:
         self.node, self.comp = table["node"].to_numpy(), table["comp"].to_numpy()
-        self.sets = _sets(table["text"].combine_chunks())
-        self.sigs = [signatures(s, threshold_pct) for s in self.sets]
-        self.size = np.array([s.size for s in self.sets], dtype=np.int64)
-        self.counts = np.array([range_counts(s) for s in self.sets]).reshape(-1, RANGES)
+        self.size = table["n_shingles"].to_numpy()
+        self.counts = _matrix(table["counts"].combine_chunks())
+        self.texts = table["text"].combine_chunks() if "text" in table.column_names else None
+
+    def sets(self, threshold_pct: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each member's set and signatures."""
+        return [(s, signatures(s, threshold_pct)) for s in _sets(self.texts)]
+
+
+def _both(table: pa.Table) -> tuple[Block, Block]:
+    """The group's two blocks (the same one twice, if it is compared with itself)."""
+    one, two = table["one"][0].as_py(), table["two"][0].as_py()
+    slot = table["slot"].to_numpy()
+    left = Block(table.filter(pa.array(slot == one)))
+    return left, left if one == two else Block(table.filter(pa.array(slot == two)))
+
+
+def _near(left: Block, right: Block, i: int, threshold_pct: int) -> np.ndarray:
+    """Members of ``right`` that member i of ``left`` must still be compared with."""
+    rows = np.arange(i + 1 if right is left else 0, right.node.size)
+    rows = rows[right.comp[rows] != left.comp[i]]
+    return rows[_room(right.counts[rows], right.size[rows], left.counts[i], left.size[i], threshold_pct)]
+
+
+def _block_candidates(threshold_pct: int):
+    """The members of two blocks whose counts leave room for a link between the blocks."""
+    def run(table: pa.Table) -> pa.Table:
+        left, right = _both(table)
+        found: set[int] = set()
+        for i in range(left.node.size):
+            rows = _near(left, right, i, threshold_pct)
+            if rows.size:
+                found.add(int(left.node[i]))
+                found.update(right.node[rows].tolist())
+        out = pa.array(sorted(found), pa.int64())
+        same = [pa.array([table[c][0].as_py()] * len(out), table.schema.field(c).type) for c in ("sig", "one", "two")]
+        return pa.table([*same, out], names=["sig", "one", "two", "node"])
+    return run
 
 
-def _blocks(threshold_pct: int):
-    """Links between the two blocks of members in a group, or within its one block."""
+def _block_links(threshold_pct: int):
+    """Links between two blocks, by the sets of the texts."""
     def run(table: pa.Table) -> pa.Table:
-        one, two = table["one"][0].as_py(), table["two"][0].as_py()
-        slot = table["slot"].to_numpy()
-        left = Members(table.filter(pa.array(slot == one)), threshold_pct)
-        right = left if one == two else Members(table.filter(pa.array(slot == two)), threshold_pct)
+        left, right = _both(table)
+        one = left.sets(threshold_pct)
+        two = one if right is left else right.sets(threshold_pct)
         own = np.uint64(table["sig"][0].as_py() % (1 << 64))
         a, b = [], []
         for i in range(left.node.size):
-            rows = np.arange(i + 1 if right is left else 0, right.node.size)
-            rows = rows[right.comp[rows] != left.comp[i]]
-            apart = np.abs(right.counts[rows] - left.counts[i]).sum(axis=1)
-            rows = rows[(100 + threshold_pct) * apart <= (100 - threshold_pct) * (left.size[i] + right.size[rows])]
-            for j in rows.tolist():
+            for j in _near(left, right, i, threshold_pct).tolist():
                 # A pair that shares several signatures is compared in the bucket of the least.
-                if (np.intersect1d(left.sigs[i], right.sigs[j], assume_unique=True)[0] == own
-                        and similar(left.sets[i], right.sets[j], threshold_pct)):
+                if (np.intersect1d(one[i][1], two[j][1], assume_unique=True)[0] == own
+                        and similar(one[i][0], two[j][0], threshold_pct)):
                     a.append(min(left.node[i], right.node[j]))
                     b.append(max(left.node[i], right.node[j]))
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -291,12 +332,13 @@ class Join:
             .agg(F.min("doc_id").alias("min_id"), head.alias("head"))
             .select("set_a", "set_b", "n_shingles", "min_id", "head.*")
             .withColumn("node", F.monotonically_increasing_id()), "classes")
-        heads = save(self.signed.filter("octet_length(sigs) > 0").select("row", "counts", "sigs")
-                     .join(self.classes.select("row", "node", "doc_id", "text_hash"), "row").drop("row"), "heads")
-        every = heads.select("node", "sigs").mapInArrow(_spell_out, "sig long, node long")
+        every = (self.signed.filter("octet_length(sigs) > 0").select("row", "sigs")
+                 .join(self.classes.select("row", "node"), "row").select("node", "sigs")
+                 .mapInArrow(_spell_out, "sig long, node long"))
         self.members = save(_open(every, None).select("sig", "node"), "members")
-        wanted = heads.join(self.members.select("node").distinct(), "node")
-        self.counts = save(wanted.select("node", "counts"), "counts")
+        wanted = self.classes.join(self.members.select("node").distinct(), "node")
+        self.counts = save(self.signed.select("row", "n_shingles", "counts").join(wanted.select("row", "node"), "row")
+                           .drop("row"), "counts")
         # A text is fetched by its id and hash, so that copies under many ids do not meet in one task.
         keys = wanted.select("node", F.col("doc_id").alias("head_id"), F.col("text_hash").alias("head_hash"))
         same = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("text_hash") == F.col("head_hash"))
@@ -314,11 +356,11 @@ class Join:
 
     def compare(self, pairs: DataFrame) -> None:
         """Links of node pairs: first by counts, then by the sets of the texts."""
-        of = lambda table, x, c: table.select(F.col("node").alias(x), F.col(c).alias(f"{c}_{x}"))
+        of = lambda table, x, *c: table.select(F.col("node").alias(x), *[F.col(y).alias(f"{y}_{x}") for y in c])
         pairs = self.scratch.save(pairs, "pairs")
         near = self.scratch.save(
-            pairs.join(of(self.counts, "a", "counts"), "a").join(of(self.counts, "b", "counts"), "b")
-            .select("a", "b", "counts_a", "counts_b").mapInArrow(_prune(self.pct), "a long, b long"), "near")
+            pairs.join(of(self.counts, "a", "n_shingles", "counts"), "a")
+            .join(of(self.counts, "b", "n_shingles", "counts"), "b").mapInArrow(_prune(self.pct), "a long, b long"), "near")
         self.add(near.join(of(self.texts, "b", "text"), "b").join(of(self.texts, "a", "text"), "a")
                  .select("a", "b", "text_a", "text_b").mapInArrow(_verify(self.pct), "a long, b long"))
 
@@ -352,8 +394,12 @@ class Join:
                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
                  .select("sig", "node", "comp", "slot", F.least("slot", "other").alias("one"),
                          F.greatest("slot", "other").alias("two")))
-        self.add(dealt.join(self.texts, "node").groupBy("sig", "one", "two")
-                 .applyInArrow(_blocks(self.pct), "a long, b long"))
+        # First without texts: few members are near any of another component.
+        dealt = self.scratch.save(dealt.join(self.counts, "node"), "dealt")
+        group = ["sig", "one", "two"]
+        near = dealt.groupBy(*group).applyInArrow(_block_candidates(self.pct), "sig long, one int, two int, node long")
+        self.add(dealt.join(near, [*group, "node"]).join(self.texts, "node").groupBy(*group)
+                 .applyInArrow(_block_links(self.pct), "a long, b long"))
 
     def rows(self) -> DataFrame:
         """doc_id, n_shingles and component_id of every document."""
