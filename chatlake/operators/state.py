@@ -11,8 +11,13 @@ write the new snapshot to a new path and swap.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatlake.functions.scalars import suspension_end
 from chatlake.functions.semantics import js_int_or, nullif_empty
@@ -269,27 +274,48 @@ def toggle_feedback(clicks: DataFrame, key: str = "message_id") -> DataFrame:
 
 # ------------------------------------------------------------------ EX1
 
-#: Exchange ids per step of the running totals: a task orders one step.
-ID_STEP = 1 << 20
+def _total_order(df: DataFrame, key: str) -> list[Column]:
+    """``key`` (NULL first), then all other columns: equal places hold equal rows only."""
+    rest = [f for f in df.schema if f.name != key]
+    return [F.col(key)] + [F.col(f.name) if isinstance(f.dataType, T.AtomicType) else F.to_json(F.struct(f.name))
+                           for f in rest]
 
 
 def _running_totals(ex: DataFrame, counts: dict[str, Column]) -> DataFrame:
-    """Add, for each named count, its sum over all rows of smaller ``exchange_id``.
+    """Add, for each named count, its sum over all rows before this one in order of ``exchange_id``.
 
-    Sums per step of ``ID_STEP`` ids are summed up first (a row per step), then
-    the rows of each step: no task sees more than one step's rows.  Like a
-    serial column, ``exchange_id`` must be unique and not NULL.
+    A two-level prefix sum: rows are range-partitioned and sorted, each partition's sums (one small row each)
+    give the totals that it starts from, and a partition then adds up its own rows as they stream by.  No task
+    orders more than a partition, whatever the ids: they may be sparse, repeated (ordered by the other
+    columns) or NULL (first).  The sorted rows are checkpointed, so that both passes see the same partitions.
     """
-    x = ex.withColumn("_step", F.floor(F.col("exchange_id") / ID_STEP))
-    for name, n in counts.items():
-        x = x.withColumn(f"_n_{name}", n.cast("bigint"))
-    steps = x.groupBy("_step").agg(*[F.sum(f"_n_{c}").alias(f"_t_{c}") for c in counts])
-    before = Window.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.select("_step", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in counts])
-    inside = Window.partitionBy("_step").orderBy("exchange_id").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.join(steps, "_step")
-    return x.select(*ex.columns, *[(F.col(f"_b_{c}") + F.coalesce(F.sum(f"_n_{c}").over(inside), F.lit(0))).alias(c)
-                                   for c in counts])
+    from chatlake.session import checkpoint_dir
+    checkpoint_dir(ex.sparkSession)
+    names = list(counts)
+    order = _total_order(ex, "exchange_id")
+    x = (ex.repartitionByRange(*order).sortWithinPartitions(*order)
+         .select("*", *[n.cast("bigint").alias(f"_n_{c}") for c, n in counts.items()]).checkpoint(eager=True)
+         .withColumn("_part", F.spark_partition_id().cast("bigint")))
+    carried, total = {}, np.zeros(len(names), dtype=np.int64)
+    for r in sorted(x.groupBy("_part").agg(*[F.sum(f"_n_{c}").alias(c) for c in names]).collect(), key=lambda r: r["_part"]):
+        carried[r["_part"]] = total
+        total = total + np.array([r[c] for c in names], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            before = carried[batch["_part"][0].as_py()] if before is None else before
+            n = np.stack([batch[f"_n_{c}"].to_numpy() for c in names], axis=1)
+            sums = before + np.cumsum(n, axis=0)
+            before = sums[-1]
+            keep = [c for c in batch.schema.names if c != "_part" and not c.startswith("_n_")]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(pa.array(s) for s in (sums - n).T)],
+                                             names=[*keep, *names])
+
+    schema = T.StructType([*ex.schema.fields, *[T.StructField(c, T.LongType()) for c in names]])
+    return x.mapInArrow(run, schema)
 
 
 def log_exchanges(ex: DataFrame, default_category: str, new_title: str,
@@ -299,7 +325,7 @@ def log_exchanges(ex: DataFrame, default_category: str, new_title: str,
     ``ex``: exchange_id, user_id, session_id (NULL → new session), category,
     entity, ts, usage array<struct<model, prompt_tokens, completion_tokens,
     total_tokens>>.  New ids go on from the largest id of the ``existing``
-    tables (0 if not given), without gaps, in order of exchange_id, so no two
+    tables (0 if not given), without gaps, in order of exchange_id (NULL first), so no two
     rows collide whatever the number of usage rows; reruns give the same ids.
     Message contents are stored empty, as the application does.
     """

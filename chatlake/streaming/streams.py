@@ -7,9 +7,9 @@
 * SM1: tumbling one-day windows with a watermark, update mode.  Daily
   distinct users come from a (day, user) keyed aggregation: the sink holds
   one row per active (day, user), and DAU is a count over it.
-* SM2: ``foreachBatch`` upsert of the latest valid feedback per message into
-  a snapshot table; each batch writes a new snapshot under the checkpoint
-  folder keyed by batch id, so a retried batch rewrites the same path.
+* SM2: ``foreachBatch`` upsert of the latest valid feedback per message into a
+  table of runs under the checkpoint folder; a batch writes its own rows, keyed
+  by batch id, so a retried batch rewrites the same run.
 
 Checkpoints live under the session's ``spark.checkpoint.dir`` (shared storage
 on a cluster), so a lost executor or a restarted driver resumes from there.
@@ -29,6 +29,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from chatlake.operators.limits import fold_windows
 from chatlake.session import checkpoint_dir
+from chatlake.streaming.run_store import RunStore
 
 SWEEP_MS = 300_000
 
@@ -150,39 +151,28 @@ def feedback_stream(events: DataFrame, msgs: DataFrame, name: str = "feedback",
                     base: str | None = None) -> DataFrame:
     """SM2: stream feedback events into a per-message latest-feedback table; return the final table.
 
-    Each micro-batch keeps only valid, owned events (JN4), reduces them to
-    the latest per message by (ts, id), and merges with the previous snapshot
-    by the same rule, so out-of-order batches still converge.
+    Each micro-batch keeps only valid, owned events (JN4) and writes the latest
+    of each message by (ts, id) as a run of its own; runs merge geometrically and
+    readers merge what is live (``RunStore``), so what a batch writes grows with
+    the batch, not with the table, and out-of-order batches still converge.
     """
     spark = events.sparkSession
     base = base or stream_dir(spark, name)
     own = msgs.where(F.col("role") == "ai").select(F.col("id").alias("message_id"), "user_id")
-    snap = f"{base}/snap"
-    state = {"path": None}
-
-    def previous(batch_id: int) -> str | None:
-        """Latest snapshot written before this batch (also after a driver restart)."""
-        ids = [i for i in batches(spark, snap) if i < batch_id]
-        return f"{snap}/batch={max(ids)}" if ids else None
+    store = feedback_store(spark, f"{base}/runs")
 
     def upsert(df: DataFrame, batch_id: int) -> None:
-        v = (df.where(F.col("feedback").isNull() | F.col("feedback").isin("up", "down"))
-               .join(own, ["message_id", "user_id"], "left_semi")
-               .select("message_id", "feedback", "ts", "id"))
-        prev = previous(batch_id)
-        if prev is not None:
-            v = v.unionByName(spark.read.parquet(prev))
-        latest = (v.groupBy("message_id")
-                   .agg(F.max_by(F.struct("feedback", "ts", "id"), F.struct("ts", "id")).alias("l"))
-                   .select("message_id", "l.feedback", "l.ts", "l.id"))
-        path = f"{snap}/batch={batch_id}"
-        latest.write.mode("overwrite").parquet(path)
-        state["path"] = path
+        store.write(df.where(F.col("feedback").isNull() | F.col("feedback").isin("up", "down"))
+                    .join(own, ["message_id", "user_id"], "left_semi"), batch_id)
 
     q = (events.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{base}/ckpt")
                .trigger(availableNow=True).start())
     q.awaitTermination()
-    path = state["path"] or previous(2 ** 62)   # a restart with no new input: last snapshot on disk
-    if path is None:
-        return spark.createDataFrame([], "message_id long, feedback string")
-    return spark.read.parquet(path).select("message_id", "feedback")
+    return store.read().select("message_id", "feedback")
+
+
+def feedback_store(spark: SparkSession, path: str, **how) -> RunStore:
+    """The table behind SM2."""
+    schema = T.StructType([T.StructField("message_id", T.LongType()), T.StructField("feedback", T.StringType()),
+                           T.StructField("ts", T.TimestampNTZType()), T.StructField("id", T.LongType())])
+    return RunStore(spark, path, schema, "message_id", ["ts", "id"], **how)

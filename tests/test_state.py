@@ -148,7 +148,7 @@ def test_exchange_ids_do_not_collide(spark):
     usage = lambda n: [("m", i, 1, 0) for i in range(n)]
     ex = spark.createDataFrame([
         (5, 1, None, None, None, usage(30)), (6, 1, 77, "c", "e", usage(0)), (7, 2, None, "c", "e", None),
-        (5 + S.ID_STEP, 2, None, "c", "e", usage(12)), (6 + 3 * S.ID_STEP, 2, 78, "c", "e", usage(1)),
+        (5 + (1 << 20), 2, None, "c", "e", usage(12)), (6 + (3 << 40), 2, 78, "c", "e", usage(1)),
     ], "exchange_id long, user_id long, session_id long, category string, entity string, "
        "usage array<struct<model string, prompt_tokens int, completion_tokens int, total_tokens int>>")
     ex = ex.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
@@ -165,3 +165,23 @@ def test_exchange_ids_do_not_collide(spark):
     assert {r["message_id"] for r in out["token_usage"].collect()} <= ai
     alone = S.log_exchanges(ex, "other", "new")
     assert sorted(r["id"] for r in alone["dream_sessions"].collect()) == [1, 2, 3]
+
+
+def test_exchange_ids_sparse_repeated_and_null(spark):
+    """Any ids: every exchange gets ids of its own, in the order of a sequential log."""
+    rnd = random.Random(4)
+    keys = [None] * 5 + [7] * 20 + [rnd.randrange(-1 << 60, 1 << 60) for _ in range(300)]
+    rows = [(k, i % 9, None if rnd.random() < 0.4 else i, "c", f"e{i}", [("m", 1, 1, 0)] * rnd.randrange(3)) for i, k in enumerate(keys)]
+    rows.append(rows[7])                                   # a whole row twice
+    ex = spark.createDataFrame(rows, "exchange_id long, user_id long, session_id long, category string, entity string, "
+                                     "usage array<struct<model string, prompt_tokens int, completion_tokens int, total_tokens int>>")
+    out = S.log_exchanges(ex.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")), "other", "new")
+    asked = sorted(out["dream_messages"].where("role = 'user'").collect(), key=lambda r: r["id"])
+    assert [r["id"] for r in asked] == list(range(1, 2 * len(rows), 2))
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    place = {r[4]: (r[0] is not None, r[0] or 0) for r in rows}
+    assert [place[r["entity"]] for r in asked] == [(r[0] is not None, r[0] or 0) for r in want]
+    tokens = sorted(out["token_usage"].collect(), key=lambda r: r["id"])
+    assert [r["id"] for r in tokens] == list(range(1, 1 + sum(len(r[5]) for r in rows)))
+    assert [r["message_id"] for r in tokens] == sorted(r["message_id"] for r in tokens)
+    assert out["dream_sessions"].count() == sum(r[2] is None for r in rows)

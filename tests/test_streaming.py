@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
+import random
 import tempfile
 
 from pyspark.sql import functions as F
@@ -115,3 +117,34 @@ def test_signup_and_token_streams_multi_batch(spark):
     want = {r["day"]: r["count"] for r in
             T.users(spark, SF001).groupBy(F.to_date("created_at").alias("day")).count().collect()}
     assert got == want
+
+
+def test_run_store_writes_grow_with_the_batch(spark, tmp_path):
+    """30 batches: each writes its own rows and now and then a merge; every state equals the fold."""
+    rng = random.Random(5)
+    store = ST.feedback_store(spark, str(tmp_path / "runs"), fan=3, buckets=2)
+    written, state = [], {}
+    write = store._write
+    store._write = lambda df, run: (write(df, run), written.append((run, spark.read.parquet(f"{store.path}/{run.name}").count())))
+    for batch in range(12):
+        rows = [(rng.randrange(40), rng.choice(["up", "down", None]), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(600)),
+                 100 * batch + i) for i in range(6)]
+        for m, f, t, i in rows:
+            state[m] = max(state.get(m, (t, i, f)), (t, i, f), key=lambda x: x[:2])
+        store.write(spark.createDataFrame(rows, store.schema), batch)
+    assert {r["message_id"]: r["feedback"] for r in store.read().collect()} == {m: f for m, (_, _, f) in state.items()}
+    assert all(n <= 6 for run, n in written if run.level == 0)
+    assert sum(n for _, n in written) <= 12 * 6 * 3           # once a level
+    assert sorted(r.level for r in store.live()) == [1, 2]
+    again = spark.createDataFrame([(99, "up", dt.datetime(2024, 2, 1), 1)], store.schema)
+    before = len(written)
+    store.write(again, 3)                                     # a retried batch that is merged already
+    assert len(written) == before and store.read().where("message_id = 99").count() == 0
+    parts = [store.read(b).count() for b in range(2)]
+    assert sum(parts) == len(state)
+    assert len(store.complete()) == len(store.live())         # dead runs are gone a batch later
+
+
+def test_run_store_without_batches(spark, tmp_path):
+    store = ST.feedback_store(spark, str(tmp_path / "none"))
+    assert store.read().count() == 0 and store.live() == []
