@@ -133,6 +133,78 @@ def rate_limit(df: DataFrame, key: str, ts: str, window_ms: int, max_count: int,
     return sorted_.mapInArrow(_rate_fold(window, max_count, carried), schema)
 
 
+_COUNT = "_rl_count"
+STATE_DDL = "a long, b long, start long, count long"
+
+
+def _fold_from_states(window_us: int, max_count: int, carried: dict):
+    """As ``_rate_fold`` over rows in a struct: events with ``limited`` and the state after each; state rows go."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cur, start, count, begun = None, None, 0, False
+        for batch in it:
+            n = len(batch)
+            if n == 0:
+                continue
+            if not begun:
+                begun = True
+                cur, start, count = carried.get(batch[_PART][0].as_py(), (None, None, 0))
+            a, b = (batch[c].to_numpy() for c in _DIGEST)
+            t, given = batch[_TIME].to_numpy(), batch[_COUNT].fill_null(-1).to_numpy()
+            limited, starts, counts = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+            bounds = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), n]):
+                if (a[lo], b[lo]) != cur:
+                    cur, start, count = (a[lo], b[lo]), None, 0
+                if given[lo] >= 0:
+                    start, count, lo = int(t[lo]), int(given[lo]), lo + 1
+                while lo < hi:      # a window at a time
+                    if start is None or t[lo] - start > window_us:
+                        start, count = int(t[lo]), 0
+                    end = lo + int(np.searchsorted(t[lo:hi], start + window_us, side="right"))
+                    seen = count + 1 + np.arange(end - lo)
+                    limited[lo:end] = seen > max_count
+                    starts[lo:end], counts[lo:end] = start, np.minimum(seen, max_count)
+                    count, lo = int(counts[end - 1]), end
+            keep = pa.array(np.flatnonzero(given < 0))
+            columns = [batch["_row"], pa.array(limited), *(batch[c] for c in _DIGEST), pa.array(starts), pa.array(counts)]
+            yield pa.RecordBatch.from_arrays([c.take(keep) for c in columns],
+                                             names=["_row", "limited", "a", "b", "start", "count"])
+    return run
+
+
+def rate_limit_from(df: DataFrame, key: str, ts: str, window_ms: int, max_count: int, tie: str,
+                    states: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+    """RL1 that goes on from stored window states (STATE_DDL, by key digest), for a stream's next batch.
+
+    A key's state is the first row of its events in the range partitioning, so no key is one task's here
+    either.  Returns ``_row`` (the event), limited, and the state after the event: a, b, start, count.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    window = window_ms * US_PER_MS
+    rows = df.select(F.struct("*").alias("_row"), *key_digest([key]), _micros(ts).alias(_TIME), F.col(tie).alias("_tie"),
+                     F.lit(None).cast("long").alias(_COUNT))
+    if states is not None:
+        here = rows.select(F.col(_DIGEST[0]).alias("a"), F.col(_DIGEST[1]).alias("b")).distinct()
+        known = states.join(here, ["a", "b"], "left_semi")
+        types = {f.name: f.dataType for f in rows.schema}
+        rows = rows.unionByName(known.select(
+            F.lit(None).cast(types["_row"]).alias("_row"), F.col("a").alias(_DIGEST[0]), F.col("b").alias(_DIGEST[1]),
+            F.col("start").alias(_TIME), F.lit(None).cast(types["_tie"]).alias("_tie"), F.col("count").alias(_COUNT)))
+    order = [*map(F.col, _DIGEST), F.col(_COUNT).isNull(), F.col(_TIME), F.col("_tie")]
+    sorted_ = (rows.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+               .withColumn(_PART, F.spark_partition_id().cast("long")))
+    functions = (sorted_.select(*_DIGEST, _TIME, _PART, _COUNT)
+                 .mapInArrow(window_scan.summarise(window, max_count, _DIGEST, _TIME, _PART, _COUNT), window_scan.STEPS_DDL))
+    if n > window_scan.FAN:
+        functions = functions.checkpoint(eager=True)
+    carried = window_scan.entries(functions, n, max_count)
+    schema = T.StructType([sorted_.schema["_row"], T.StructField("limited", T.BooleanType()),
+                           *[T.StructField(c, T.LongType()) for c in ("a", "b", "start", "count")]])
+    return sorted_.mapInArrow(_fold_from_states(window, max_count, carried), schema)
+
+
 # The chat request limits (per minute).
 IP_LIMIT = (60_000, 15)
 USER_LIMIT = (60_000, 20)

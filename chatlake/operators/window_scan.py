@@ -199,34 +199,37 @@ def entries(functions: DataFrame, segments: int, most: int) -> dict[int, tuple[K
     return {r["segment"]: ((r["a"], r["b"]), r["start"], r["count"]) for r in found.collect()}
 
 
-def summarise(window: int, most: int, digest: tuple[str, str], time: str, segment: str):
+def summarise(window: int, most: int, digest: tuple[str, str], time: str, segment: str, state: str | None = None):
     """A partition's sorted events to one row with its step function.
 
     Events of the first key are held (8 bytes each) until a second key comes; of later keys only the state.
+    Rows where the column ``state`` is set are not events: they begin a key with a window start and this count.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from chatlake.operators.limits import fold_windows
         number = first = last = None
-        held: list[np.ndarray] = []
+        held: list[np.ndarray] | None = []      # None: the state does not depend on the entry
         start, count = None, 0
         for batch in batches:
             if not len(batch):
                 continue
             a, b, t = (batch[c].to_numpy() for c in (*digest, time))
+            given = batch[state].fill_null(-1).to_numpy() if state else np.full(len(batch), -1)
             number = batch[segment][0].as_py()
             bounds = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
             for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(batch)]):
                 key = (int(a[lo]), int(b[lo]))
-                first = first or key
                 if key != last:
-                    last, start, count = key, None, 0
-                if key == first:
+                    if first is not None:
+                        held = None
+                    first, last, start, count = first or key, key, None, 0
+                if given[lo] >= 0:
+                    held, start, count, lo = None, int(t[lo]), int(given[lo]), lo + 1
+                if held is not None:
                     held.append(t[lo:hi].copy())
                 else:
-                    held = []
                     start, count = fold_windows(t[lo:hi], start, count, window, most, np.zeros(hi - lo, dtype=bool))
         if number is not None:
-            f = (steps_of(first, np.concatenate(held), window, most) if last == first
-                 else constant(first, last, start, count))
-            yield row_of(number, f)
+            yield row_of(number, constant(first, last, start, count) if held is None
+                         else steps_of(first, np.concatenate(held), window, most))
     return run

@@ -14,6 +14,7 @@ from chatlake.plans.oracle_views import with_views
 from chatlake.plans.registry import register
 from chatlake.sources import tables as T
 from chatlake.streaming import streams as S
+from chatlake.streaming.limit_stream import LimitStream
 
 
 @register("RL3_rate_limit_stream", "WITH RECURSIVE " + _rl_sql("events", "user_id", "ts", "event_id", 86_400_000, 2, "rl")
@@ -24,6 +25,16 @@ def rl3(spark, d):
     return S.run_to_table(out, "rl3", mode="append").select("event_id", "limited")
 
 
+@register("RL3_rate_limit_stream_scanned", "WITH RECURSIVE " + _rl_sql("events", "event_type", "ts", "event_id",
+                                                                        3_600_000, 3, "rl")
+          + "\nSELECT id AS event_id, limited FROM rl")
+def rl3_scanned(spark, d):
+    """Five keys of a fifth of the events each, spread over tasks, with stored window states between batches."""
+    stream = LimitStream(spark, "event_type", "ts", "event_id", 3_600_000, 3)
+    stream.run(T.load_stream(spark, d, "events").select("event_id", "event_type", "ts"))
+    return stream.limited().select("event_id", "limited")
+
+
 @register("SM1_daily_counts_stream", with_views(["dream_messages"], """
 SELECT CAST(created_at AS DATE) AS day, COUNT(*) FILTER (WHERE role = 'ai') AS ai_total,
   COUNT(*) FILTER (WHERE role = 'ai' AND feedback = 'up') AS up,

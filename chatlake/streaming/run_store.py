@@ -91,24 +91,30 @@ class RunStore:
         (df.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket")
          .parquet(f"{self.path}/{run.name}"))
 
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        """Add a batch's rows, then merge every level that is full."""
+    def write(self, df: DataFrame, batch_id: int, expired: Column | None = None) -> None:
+        """Merge the levels that earlier batches filled, then add this batch's rows.
+
+        The run of a batch stays as it is until the next batch, so that a batch that is run again can still be
+        read without it.  Rows that are ``expired`` are dropped when they are merged.
+        """
         runs = self.complete()
         dead = [r for r in runs if any(other.holds(r) for other in runs)]
+        level = 0
+        while level <= max((r.level for r in runs), default=-1):
+            full = [r for r in self.live() if r.level == level and r.last < batch_id]
+            if len(full) >= self.fan:
+                rows = self._latest(self._rows(full).drop("bucket"))
+                rows = rows if expired is None else rows.where(~F.coalesce(expired, F.lit(False)))
+                self._write(rows, Run(level + 1, full[0].first, full[-1].last))
+                runs = self.complete()
+            level += 1
         own = Run(0, batch_id, batch_id)
         if not any(r.holds(own) for r in runs):
             self._write(self._latest(df.select(*self.schema.names)), own)
         self._delete(dead)
-        level = 0
-        while True:
-            full = [r for r in self.live() if r.level == level]
-            if len(full) < self.fan:
-                break
-            self._write(self._latest(self._rows(full).drop("bucket")), Run(level + 1, full[0].first, full[-1].last))
-            level += 1
 
-    def read(self, bucket: int | None = None) -> DataFrame:
-        """The latest row of each key."""
-        rows = self._rows(self.live())
+    def read(self, bucket: int | None = None, before: int | None = None) -> DataFrame:
+        """The latest row of each key (of one bucket, of the batches before one)."""
+        rows = self._rows([r for r in self.live() if before is None or r.last < before])
         rows = rows if bucket is None else rows.where(F.col("bucket") == bucket)
         return self._latest(rows.drop("bucket"))

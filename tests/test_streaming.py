@@ -13,6 +13,7 @@ from chatlake.operators import limits as L
 from chatlake.operators import state as S
 from chatlake.sources import tables as T
 from chatlake.streaming import streams as ST
+from chatlake.streaming.limit_stream import LimitStream
 from fixture_paths import SF001
 
 
@@ -135,16 +136,62 @@ def test_run_store_writes_grow_with_the_batch(spark, tmp_path):
     assert {r["message_id"]: r["feedback"] for r in store.read().collect()} == {m: f for m, (_, _, f) in state.items()}
     assert all(n <= 6 for run, n in written if run.level == 0)
     assert sum(n for _, n in written) <= 12 * 6 * 3           # once a level
-    assert sorted(r.level for r in store.live()) == [1, 2]
+    assert [r.name for r in store.live()] == ["0-9-9", "0-10-10", "0-11-11", "2-0-8"]
+    parts = [store.read(b).count() for b in range(2)]
+    assert sum(parts) == len(state)
     again = spark.createDataFrame([(99, "up", dt.datetime(2024, 2, 1), 1)], store.schema)
     before = len(written)
     store.write(again, 3)                                     # a retried batch that is merged already
     assert len(written) == before and store.read().where("message_id = 99").count() == 0
-    parts = [store.read(b).count() for b in range(2)]
-    assert sum(parts) == len(state)
+    store.write(again, 12, expired=F.col("message_id") < 20)   # merges 9 to 11 without their expired rows
+    assert [r.name for r in store.live()] == ["0-12-12", "1-9-11", "2-0-8"]
+    assert spark.read.parquet(f"{store.path}/1-9-11").where("message_id < 20").count() == 0
+    store.write(again, 13)
     assert len(store.complete()) == len(store.live())         # dead runs are gone a batch later
+    assert store.read(before=12).where("message_id = 99").count() == 0
 
 
 def test_run_store_without_batches(spark, tmp_path):
     store = ST.feedback_store(spark, str(tmp_path / "none"))
     assert store.read().count() == 0 and store.live() == []
+
+
+def _py_limits(events, window_s, most):
+    state, out = {}, {}
+    for key, t, i in sorted(events, key=lambda e: (e[0] or "", e[1], e[2])):
+        s = state.setdefault(key, [t, 0])
+        if (t - s[0]).total_seconds() > window_s:
+            s[:] = [t, 0]
+        out[i] = s[1] >= most
+        s[1] += not out[i]
+    return out
+
+
+def test_limit_stream_batches_restart_and_late(spark, tmp_path):
+    """Hot and NULL keys over batches in time order equal the fold; late events go to the side output."""
+    rng = random.Random(8)
+    t0 = dt.datetime(2024, 1, 1)
+    events = [(rng.choice(["hot"] * 6 + [None, "a", "b"]), t0 + dt.timedelta(seconds=rng.randrange(3600)), i) for i in range(600)]
+    events.sort(key=lambda e: (e[1], e[2]))
+    schema = "k string, ts timestamp_ntz, id long"
+    stream = LimitStream(spark, "k", "ts", "id", 90_000, 3, str(tmp_path / "limits"), delay_ms=300_000)
+    cuts = [events[i:i + 150] for i in range(0, 600, 150)]
+    for i, part in enumerate(cuts):
+        late = [("hot", t0 - dt.timedelta(hours=1), 1000 + i), ("hot", None, 2000 + i)] if i else []
+        stream.step(spark.createDataFrame(part + late, schema), i)
+        if i == 2:      # the same batch again, as after a failure, by a new driver
+            stream = LimitStream(spark, "k", "ts", "id", 90_000, 3, stream.base, delay_ms=300_000)
+            stream.step(spark.createDataFrame(part + late, schema), i)
+    got = {r["id"]: r["limited"] for r in stream.limited().collect()}
+    assert got == _py_limits(events, 90, 3)
+    assert sorted(r["id"] for r in stream.late().collect()) == [1001, 1002, 1003, 2001, 2002, 2003]
+
+
+def test_limit_stream_drops_states_that_are_over(spark, tmp_path):
+    stream = LimitStream(spark, "k", "ts", "id", 60_000, 1, str(tmp_path / "limits"), delay_ms=60_000)
+    stream.store.fan = 2
+    t0 = dt.datetime(2024, 1, 1)
+    for i in range(4):
+        stream.step(spark.createDataFrame([(f"k{i}", t0 + dt.timedelta(hours=i), i)], "k string, ts timestamp_ntz, id long"), i)
+    assert stream.store.read().count() < 4
+    assert stream.limited().where("limited").count() == 0
