@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
 from chatlake.operators import metrics as M
+from chatlake.operators import page_directory
 from chatlake.sources.sinks import CSV_HEADER, users_csv_lines
 
 USERS = ("id long, login_source string, first_name string, last_name string, email string, plan string, "
@@ -109,3 +111,33 @@ def test_write_users_csv_file(spark):
     write_users_csv(u, out)
     lines = open(glob.glob(f"{out}/part-*")[0]).read().splitlines()
     assert lines[0] == CSV_HEADER and [ln.split(",")[0] for ln in lines[1:]] == ["3", "2", "1"]
+
+
+def test_page_directory_reads_the_ranges_of_a_page(spark):
+    """Every page equals OFFSET paging, ties and NULLs included; a deep page reads one range."""
+    t0 = dt.datetime(2024, 1, 1)
+    u = _users(spark, [(i, "email", "n", "L", f"{i}@x.io", "free", False,
+                        None if i % 11 == 0 else t0 + dt.timedelta(days=i % 17)) for i in range(1, 1001)])
+    order = [F.col("created_at").desc_nulls_first(), F.col("id").desc()]
+    pages = page_directory.build(u, order, ranges=10)
+    want = [r["id"] for r in u.orderBy(*order).collect()]
+    assert pages.total == 1000 and len(pages.numbers) > 5
+    got = []
+    for p in range(1, 12):
+        rows, meta = pages.page(p, 100)
+        got += [r["id"] for r in rows.collect()]
+        assert meta == {"total": 1000, "page": p, "limit": 100, "total_pages": 10}
+    assert got == want
+    assert len(pages.ranges(990, 10)) == 1 and pages.ranges(1000, 10) == [] and pages.page("x", 7)[1]["page"] == 1
+    rows, _ = pages.page(150, 6)
+    assert re.search(r"PartitionFilters: \[[^\]]*_range", rows._jdf.queryExecution().executedPlan().toString())
+    assert [r["id"] for r in rows.collect()] == want[894:900]
+
+
+def test_page_directory_one_value_and_empty(spark):
+    u = _users(spark, [(i, "email", "n", "L", None, "free", False, None) for i in range(50)])
+    pages = page_directory.build(u, [F.col("created_at").desc_nulls_first()], ranges=4)   # all rows tie
+    seen = [r["id"] for p in range(1, 6) for r in pages.page(p, 10)[0].collect()]
+    assert sorted(seen) == list(range(50))
+    none = page_directory.build(u.limit(0), [F.col("id")])
+    assert none.page(1, 10)[0].count() == 0 and none.page(1, 10)[1]["total_pages"] == 1
