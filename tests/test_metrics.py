@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from chatlake.operators import metrics as M
-from chatlake.operators import page_directory
+from chatlake.operators import page_directory, top_items
 from chatlake.sources.sinks import CSV_HEADER, users_csv_lines
 
 USERS = ("id long, login_source string, first_name string, last_name string, email string, plan string, "
@@ -141,3 +141,21 @@ def test_page_directory_one_value_and_empty(spark):
     assert sorted(seen) == list(range(50))
     none = page_directory.build(u.limit(0), [F.col("id")])
     assert none.page(1, 10)[0].count() == 0 and none.page(1, 10)[1]["total_pages"] == 1
+
+
+def test_top_items_equal_the_full_count(spark, monkeypatch):
+    """Skewed items are found among the candidates; like counts are counted in full; few items are all held."""
+    rows = [(i % 7, f"h{j}") for j in range(6) for i in range(400 - 40 * j)] + [(i % 7, f"rare{i}") for i in range(2000)]
+    rows += [(0, None)] * 50
+    df = spark.createDataFrame(rows, "day int, item string")
+    full = lambda part, k: [tuple(r) for r in part.where("item IS NOT NULL").groupBy("item").count()
+                            .orderBy(F.col("count").desc(), "item").limit(k).collect()]
+    for part, k, tracked in ((df, 4, 64), (df, 9, 64), (df.where("item LIKE 'rare%'"), 3, 64),
+                             (df.where("item LIKE 'h%'"), 20, 1024), (df.limit(0), 3, 64)):
+        sketches = top_items.day_sketches(part, "item", F.col("day"), tracked)
+        got = [tuple(r) for r in top_items.top_items(part, "item", k, sketches, tracked).collect()]
+        assert got == full(part, k)
+    sketches = top_items.day_sketches(df, "item", F.col("day"), 256)
+    found, others, total = top_items.candidates(sketches, 256)
+    assert {"h0", "h1", "h2", "h3"} <= set(found) and total == len(rows) - 50
+    assert max(n for x, n in full(df, 10_000) if x not in found) <= others
