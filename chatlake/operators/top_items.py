@@ -39,3 +39,20 @@ def candidates(sketches: DataFrame, tracked: int = TRACKED) -> tuple[list, float
         return [], 0.0, 0
     top = sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {tracked})")).first()[0]
     return [x["item"] for x in top], 2 * error_share(tracked) * rows, rows
+
+
+def top_items(rows: DataFrame, item: str, k: int, sketches: DataFrame, tracked: int = TRACKED) -> DataFrame:
+    """The ``k`` most frequent items (item, count) of ``rows``, ties by item; ``sketches`` cover the same rows."""
+    def counts(part: DataFrame) -> DataFrame:
+        return part.where(F.col(item).isNotNull()).groupBy(item).agg(F.count(F.lit(1)).alias("count"))
+
+    def best(part: DataFrame) -> DataFrame:
+        return part.orderBy(F.col("count").desc(), F.col(item).asc()).limit(k)
+
+    found, others, total = candidates(sketches, tracked)
+    if found:
+        exact = counts(rows.where(F.col(item).isin(found)))     # at most ``tracked`` rows
+        held = sorted((r["count"] for r in exact.collect()), reverse=True)
+        if sum(held) == total or (len(held) >= k and held[k - 1] > others):
+            return best(exact)
+    return best(counts(rows))
