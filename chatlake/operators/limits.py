@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chatlake.functions.scalars import code_hash
 from chatlake.functions.semantics import col_
 from chatlake.operators import window_scan
 from chatlake.session import checkpoint_dir
@@ -386,7 +387,7 @@ def otp_outcomes(events: DataFrame, partitions: int | None = None) -> DataFrame:
     Returns (id, outcome).
     """
     x = events.select("id", "email", "ts", "kind",
-                      F.when(F.coalesce(F.col("code"), F.lit("")) != "", F.sha2(F.col("code"), 256)).alias("code_hash"),
+                      F.when(F.coalesce(F.col("code"), F.lit("")) != "", code_hash("code")).alias("code_hash"),
                       F.coalesce(col_("code").rlike(r"^[0-9]{6}\z"), F.lit(False)).alias("format_ok"))
     n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     checkpoint_dir(events.sparkSession)

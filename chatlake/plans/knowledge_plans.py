@@ -178,11 +178,13 @@ def kb6_count(spark, d):
 @register("SC5_knowledge_append", with_views(["knowledge_chunks"], """
 SELECT tradition, COUNT(*) AS chunk_count FROM knowledge_chunks GROUP BY tradition"""))
 def sc5(spark, d):
-    """Append the chunk table (partitioned by tradition) to a folder under the checkpoint dir; read it back."""
+    """Append the chunk table in two batches to a folder under the checkpoint dir, one of them twice; read it back."""
     import uuid
 
     from chatlake.session import checkpoint_dir
     from chatlake.sources.sinks import append_knowledge
     path = f"{checkpoint_dir(spark)}/knowledge-{uuid.uuid4().hex[:8]}"
-    append_knowledge(T.knowledge_chunks(spark, d), path)
+    chunks = T.knowledge_chunks(spark, d)
+    for batch in ("0", "1", "0"):
+        append_knowledge(chunks.where(F.pmod("id", F.lit(2)) == int(batch)), path, batch)
     return spark.read.parquet(path).groupBy("tradition").agg(F.count(F.lit(1)).alias("chunk_count"))

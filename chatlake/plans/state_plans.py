@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from chatlake.operators import state as S
@@ -9,8 +11,10 @@ from chatlake.operators import text as X
 from chatlake.plans.limit_plans import _rl_sql
 from chatlake.plans.oracle_views import with_views
 from chatlake.plans.registry import register
+from chatlake.session import checkpoint_dir
 from chatlake.sources import tables as T
 from chatlake.sources.lexicon import LATIN
+from chatlake.sources.sinks import append_audit
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
@@ -134,8 +138,12 @@ def st2(spark, d):
 @register("SC6_audit_append", with_views(["admin_actions"], _ACT + """
 SELECT seq, action || '_user' AS action, target_id AS target_user_id FROM ok"""))
 def sc6(spark, d):
+    """Audit rows appended with the actions' batch (run twice), read back."""
     _, audit, _ = S.apply_actions(T.users(spark, d), T.admin_actions(spark, d))
-    return audit
+    path = f"{checkpoint_dir(spark)}/audit-{uuid.uuid4().hex}"
+    for _ in range(2):
+        append_audit(audit, path, "actions")
+    return spark.read.parquet(path).select(*audit.columns)
 
 
 # ---------------------------------------------------------------- ST3

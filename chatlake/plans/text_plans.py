@@ -7,6 +7,8 @@ over a keyword join.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,10 @@ from chatlake.functions.semantics import JS_WS_CLASS
 from chatlake.operators import text as X
 from chatlake.plans.oracle_views import with_views
 from chatlake.plans.registry import register
+from chatlake.session import checkpoint_dir
 from chatlake.sources import tables as T
-from chatlake.sources.lexicon import LATIN, LATIN_CURATED, LATIN_REGISTRY
+from chatlake.sources.lexicon import (LATIN, LATIN_CURATED, LATIN_REGISTRY, load_curated, load_keywords,
+                                      write_json_lines)
 
 LEX = LATIN
 TPL = X.Templates()
@@ -154,18 +158,33 @@ def passage_dictionary(spark, d):
                         F.row_number().over(by_size).alias("kw_rank"), "keyword")
 
 
-@register("JN6_passage_dictionary", with_views([], r"""
+_PASSAGES = with_views([], r"""
 , words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS keyword FROM benchmark),
 hits AS (SELECT d.doc_id, arg_min(w.keyword, {'n': -length(w.keyword), 'w': w.keyword}) AS keyword
          FROM documents d JOIN words w ON length(w.keyword) >= 4 AND contains(d.text, w.keyword) GROUP BY d.doc_id)
 SELECT d.doc_id, COALESCE('letters_' || length(h.keyword), 'other') AS category, h.keyword AS entity
-FROM documents d LEFT JOIN hits h USING (doc_id)"""))
+FROM documents d LEFT JOIN hits h USING (doc_id)""")
+
+
+@register("JN6_passage_dictionary", _PASSAGES)
 def jn6_passages(spark, d):
     """The automaton over a dictionary that is a table and grows with the input."""
     docs = T.load(spark, d, "documents").select("doc_id", "text")
     return X.classify_by_table(docs, "text", passage_dictionary(spark, d), "other").select("doc_id", "category", "entity")
 
 
+@register("SC2_keyword_file", _PASSAGES)
+def sc2(spark, d):
+    """The same dictionary as a file of JSON lines, written and scanned in its order."""
+    path = f"{checkpoint_dir(spark)}/keywords-{uuid.uuid4().hex}"
+    lines = (passage_dictionary(spark, d).groupBy("cat_rank", "category")
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("kw_rank", "keyword"))), lambda x: x["keyword"])
+                  .alias("keywords")))
+    write_json_lines(lines, path, "cat_rank", ["category", "keywords"])
+    docs = T.load(spark, d, "documents").select("doc_id", "text")
+    return X.classify_by_table(docs, "text", load_keywords(spark, path), "other").select("doc_id", "category", "entity")
+
+
 @register("TX1_classify_chat_turns", with_views(["chat_turns"], _classify_sql("chat_turns", "conv_id * 10000 + turn", "text") + f"""
 SELECT c.conv_id, c.turn, COALESCE(h.category, {_q(LEX.default_category)}) AS category, trim(h.keyword) AS entity
 FROM chat_turns c LEFT JOIN hits h ON h.k = c.conv_id * 10000 + c.turn"""))
@@ -205,7 +224,7 @@ def tx3(spark, d):
     return _labelled(spark, d).select("conv_id", "turn", F.array_join("missing", "|").alias("missing_items"))
 
 
-# ---------------------------------------------------------------- JN3, TX4
+# ---------------------------------------------------------------- JN3, TX4, SC3
 
 @register("JN3_curated_lookup", with_views(["chat_turns"], _labelled_sql() + _curated_sql() + """
 SELECT conv_id, turn, input_type, category, entity, meaning FROM cl"""))
@@ -213,6 +232,16 @@ def jn3(spark, d):
     return _curated(spark, d).select("conv_id", "turn", "input_type", "category", "entity", "meaning")
 
 
+@register("SC3_curated_file", with_views(["chat_turns"], _labelled_sql() + _curated_sql() + """
+SELECT conv_id, turn, input_type, category, entity, meaning FROM cl"""))
+def sc3(spark, d):
+    """JN3 of all chat turns with the curated meanings read from a file of JSON lines."""
+    path = f"{checkpoint_dir(spark)}/curated-{uuid.uuid4().hex}"
+    write_json_lines(X.curated_frame(spark, LATIN_CURATED), path, "line_no", ["category", "entity", "meaning"])
+    return X.curated_lookup(_labelled(spark, d), load_curated(spark, path), LATIN_REGISTRY) \
+        .select("conv_id", "turn", "input_type", "category", "entity", "meaning")
+
+
 def _tx4_sql() -> str:
     nl = "chr(10)"
 

@@ -155,31 +155,42 @@ LATIN_REGISTRY = ["d_nature", "d_road", "d_fire"]
 # ---------------------------------------------------------------------------
 
 def _ordered_json_lines(spark, path: str, schema: str):
-    """Read JSON lines keeping file order in ``line_no``.
+    """Read JSON lines keeping file order in ``line_no`` (0, 1, ...), however many files and splits there are.
 
-    ``monotonically_increasing_id`` is increasing in file order (partition
-    index in the high bits, row position in the low bits); the file is read as
-    text so no reordering happens before the ids are assigned.
+    A line's place is (file, split, place in the split).  Spark packs splits into partitions in an order of its
+    own, so lines are numbered from the counts of the splits before theirs: one small row for each split.
     """
+    from pyspark.sql import Window
     from pyspark.sql import functions as F
-    raw = spark.read.text(path).where(F.trim("value") != "")
-    return raw.select(F.monotonically_increasing_id().alias("line_no"),
-                      F.from_json("value", schema).alias("r")).select("line_no", "r.*")
+    raw = (spark.read.text(path).where(F.trim("value") != "")
+           .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                   F.monotonically_increasing_id().alias("id")))
+    splits = raw.groupBy("file", "split").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return (raw.join(splits, ["file", "split"])
+            .select((F.col("before") + F.col("id") - F.col("first")).alias("line_no"), F.from_json("value", schema).alias("r"))
+            .select("line_no", "r.*"))
 
 
 def load_keywords(spark, path: str):
     """SC2: keyword dictionary from JSON lines {"category": ..., "keywords": [...]}, in order.
 
     Returns (cat_rank, category, kw_rank, keyword) — the frame ``classify``'s
-    join method and ``keyword_frame`` use.
+    join and automaton methods and ``keyword_frame`` use.
     """
-    from pyspark.sql import Window
     from pyspark.sql import functions as F
     rows = _ordered_json_lines(spark, path, "category string, keywords array<string>")
-    # one small dictionary file: a global row_number over its lines is fine
-    ranked = rows.withColumn("cat_rank", F.row_number().over(Window.orderBy("line_no")))
-    return ranked.select("cat_rank", "category", F.posexplode("keywords").alias("kw_pos", "keyword")) \
-                 .select("cat_rank", "category", (F.col("kw_pos") + 1).alias("kw_rank"), "keyword")
+    return rows.select((F.col("line_no") + 1).cast("int").alias("cat_rank"), "category",
+                       F.posexplode("keywords").alias("kw_pos", "keyword")) \
+               .select("cat_rank", "category", (F.col("kw_pos") + 1).alias("kw_rank"), "keyword")
+
+
+def write_json_lines(rows, path: str, order: str, fields: list[str]) -> None:
+    """Write a dictionary's ``fields`` as JSON lines in the order of a column, in files whose names keep it."""
+    from pyspark.sql import functions as F
+    (rows.repartitionByRange(order).sortWithinPartitions(order)
+     .select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value")).write.text(path))
 
 
 def lexicon_from_frame(frame, base: Lexicon) -> Lexicon:

@@ -53,18 +53,20 @@ def write_users_csv(users: DataFrame, path: str, search: str | None = "") -> Non
      .select("line").write.mode("overwrite").text(path))
 
 
-def append_knowledge(chunks: DataFrame, path: str) -> None:
-    """SC5: append chunk rows, partitioned by tradition (KB6 then drops a folder)."""
-    chunks.write.mode("append").partitionBy("tradition").parquet(path)
+def append_knowledge(chunks: DataFrame, path: str, batch: str = "0") -> None:
+    """SC5: append one batch of chunk rows, in folders of its own by tradition (KB6 then drops folders).
 
+    A batch that is run again replaces itself, so nothing is stored twice.  Rejected chunks and their indexes
+    are in the report of ``operators.knowledge.ingest``, whose stored chunks are this function's input.
+    """
+    _replace_batch(chunks, path, batch, ["tradition"])
 
-def audit_rows(actions: DataFrame, ip: Column | str | None = None) -> DataFrame:
-    """SC6: one audit row per (action, target id), even when no user has the id.
 
-    ``actions`` has ``action`` and either ``ids`` (array) or ``target_id``.
-    """
-    if "ids" in actions.columns:
-        actions = actions.select("*", F.explode("ids").alias("target_id"))
-    ipc = F.col(ip) if isinstance(ip, str) else (ip if ip is not None else F.lit("unknown"))
-    return actions.select(F.concat(F.col("action"), F.lit("_user")).alias("action"),
-                          F.col("target_id").cast("bigint").alias("target_user_id"), ipc.alias("ip"))
+def append_audit(audit: DataFrame, path: str, batch: str = "0") -> None:
+    """SC6: append the audit rows of one batch of actions (``operators.state.apply_actions``), once."""
+    _replace_batch(audit, path, batch, [])
+
+
+def _replace_batch(rows: DataFrame, path: str, batch: str, by: list[str]) -> None:
+    (rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch", *by).parquet(path))

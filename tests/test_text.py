@@ -222,3 +222,20 @@ def test_synthesis_input(spark):
            X.synthesis_input(r, texts, template="{text}|{first}|{second}|{{end}}").collect()}
     assert got == {1: "hi {first}|one {second}|two|{end}", 3: "y||q|{end}"}
     assert X.synthesis_input(r.limit(0), texts).count() == 0
+
+
+def test_dictionary_files_keep_order_over_splits(spark, tmp_path):
+    """Several files, each in many splits: lines are numbered in the order of names and places."""
+    from chatlake.sources.lexicon import load_keywords, write_json_lines
+    rows = [(i, f"c{i:04d}", [f"k{i}a", f"k{i}b"]) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "place int, category string, keywords array<string>")
+    path = str(tmp_path / "kw")
+    write_json_lines(frame, path, "place", ["category", "keywords"])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = load_keywords(spark, path).orderBy("cat_rank", "kw_rank").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["cat_rank"], r["category"], r["kw_rank"], r["keyword"]) for r in got] == \
+        [(i + 1, c, j + 1, k) for i, c, ks in rows for j, k in enumerate(ks)]
