@@ -9,11 +9,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as E
+from chatlake.plans import catalog
 from oracle_check import canon, duck
 from fixture_paths import SF001
 
-NAMES = sorted(E.queries())
-SQL = E.oracle_sql()
+NAMES = sorted(catalog.queries())
+SQL = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")

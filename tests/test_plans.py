@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as E
+from chatlake.plans import catalog
 from fixture_paths import SF001
 
 # Theta joins on purpose: the large-dictionary keyword match joins a
@@ -16,7 +17,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_no_cartesian_or_row_udf(spark, name):
     if name.startswith(("RL3", "SM")):
         pytest.skip("streaming queries return their sink table")
