@@ -181,23 +181,26 @@ def codec(path: str) -> Codec:
 def _run(path: str, text: str, keep: list[str], with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
-        for batch in batches:
-            count, ids, digest, decoded = [], [], [], []
-            row = batch["row"]
-            for texts in text_slices(row.field(text), SLICE):
-                for x in coder.encode(texts):
-                    count.append(len(x) // 4)
-                    digest.append(hashlib.sha256(x).hexdigest())
-                    decoded.append(hashlib.sha256(coder.decode(x).encode()).hexdigest())
-                    if with_ids:
-                        ids.append(np.frombuffer(x, dtype="<i4"))
-            kept = pa.StructArray.from_arrays([row.field(c) for c in keep], names=keep)
-            arrays = [kept, pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]
-            names = ["row", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                arrays.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        try:
+            for batch in batches:
+                count, ids, digest, decoded = [], [], [], []
+                row = batch["row"]
+                for texts in text_slices(row.field(text), SLICE):
+                    for x in coder.encode(texts):
+                        count.append(len(x) // 4)
+                        digest.append(hashlib.sha256(x).hexdigest())
+                        decoded.append(hashlib.sha256(coder.decode(x).encode()).hexdigest())
+                        if with_ids:
+                            ids.append(np.frombuffer(x, dtype="<i4"))
+                kept = pa.StructArray.from_arrays([row.field(c) for c in keep], names=keep)
+                arrays = [kept, pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]
+                names = ["row", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    arrays.append(pa.array(ids, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+        finally:  # workers are used again: by other stages too, which need the memory
+            coder.known.clear()
     return run
 
 
