@@ -3,14 +3,15 @@
 High-recall generators propose overlapping spans of four kinds.  Boosted trees
 learn which of them are right from format and context alone: what the base rules
 require literally (the plus of a phone number, the check digit of a card, the
-at sign) is hidden from them.  Right in the bounded sample are the base spans;
-wrong are candidates known to be something else (``something_else``: dates, named
+at sign) is hidden from them.  Right in all documents are the base spans; wrong are candidates known to be something else (``something_else``: dates, named
 numbers, wrong lengths, parts of longer numbers, spans of another kind).  Other
-candidates look alike and are not labelled.  Fixed written examples of either
-sort join each kind's sample, so no kind lacks labels in any input.
+candidates look alike and are not labelled.  Every labelled candidate of every
+document is learnt from.  Fixed written examples of either sort join them, with a
+tenth of each kind's weight at least, so no kind lacks labels in any input and no
+table drowns the formats that the base rules cannot label.
 
-On a held-out part each kind's threshold is the least probability with the wanted
-precision, ``LEAST_CUT`` at least, and ``FALLBACK_CUT`` where no probability has
+On a held-out third each kind's threshold is the least probability, in
+thousandths, with the wanted precision, ``LEAST_CUT`` at least, and ``FALLBACK_CUT`` where no probability has
 that precision.  Candidates above it that are nothing else are added, cards only
 with a right check digit.  Base spans always stay; an added span overlaps no
 other of its kind, and no span of a kind before it.
@@ -38,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.boosting import Boosted, threshold
+from chatlake.llm.boosting import Boosted, fit_kinds
+from chatlake.session import checkpoint_dir
 
 #: Kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
-#: Bounds of the training sample: documents drawn, and candidates kept of them.
-SAMPLE_DOCS = 20_000
-SAMPLE_CANDIDATES = 40_000
+#: Labelled candidates that a task gives out at once.
+OUT_ROWS = 10_000
 PRECISION = 0.97
 LEAST_HELD_OUT = 20
 LEAST_CUT, FALLBACK_CUT = 0.5, 0.9
@@ -267,43 +268,42 @@ def examples() -> Iterator[tuple[int, int, list[float]]]:
                     yield k, label, features(before + body + after, k, (len(before), len(before) + len(body)))
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind, label, held, feature = [], [], [], []
+
+    def out() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays(
+            [pa.array(kind, pa.int32()), pa.array(label, pa.int32()), pa.array(held, pa.bool_()),
+             pa.array(feature, pa.list_(pa.float64()))], names=["kind", "label", "held", "feature"])
+        for column in (kind, label, held, feature):
+            column.clear()
+        return made
+
     for batch in batches:
-        kind, label, feature, key = [], [], [], []
-        for text, h in zip(batch["text"].to_pylist(), batch["key"].to_pylist()):
-            for k, right, span in labelled(text or "", base_spans(text or "")):
+        for text, h in zip(batch["text"], batch["key"].to_pylist()):
+            text = text.as_py() or ""
+            for k, right, span in labelled(text, base_spans(text)):
                 kind.append(k)
                 label.append(right)
+                held.append((h + span[0]) % 3 == 0)
                 feature.append(features(text, k, span))
-                key.append(h ^ span[0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kind, pa.int32()), pa.array(label, pa.int32()),
-             pa.array(feature, pa.list_(pa.float64())), pa.array(key, pa.int64())],
-            names=["kind", "label", "feature", "key"])
+                if len(kind) == OUT_ROWS:
+                    yield out()
+    yield out()
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str) -> dict[int, tuple[Boosted, float]]:
-    """A model and a calibrated threshold of each kind, from at most SAMPLE_CANDIDATES candidates."""
-    total = max(1, docs.count())
-    parts = 1 << 20
-    key = F.xxhash64(F.col(id_col).cast("string"), F.lit("pii"))
-    drawn = (docs.select(F.col(text_col).alias("text"), key.alias("key"))
-             .filter(F.pmod("key", F.lit(parts)) < max(1, parts * SAMPLE_DOCS // max(total, SAMPLE_DOCS))))
-    rows = (drawn.mapInArrow(_sample, "kind int, label int, feature array<double>, key long")
-            .orderBy(F.xxhash64("key"), "kind", "feature", "label").limit(SAMPLE_CANDIDATES).toArrow())
-    written = list(examples())
-    kind = np.append(rows["kind"].to_numpy(), [k for k, _, _ in written])
-    label = np.append(rows["label"].to_numpy(), [y for _, y, _ in written]).astype(float)
-    feature = [*rows["feature"].to_pylist(), *[f for _, _, f in written]]
-    models = {}
-    for k in range(len(KINDS)):
-        at = np.flatnonzero(kind == k)
-        x, y = np.array([feature[i] for i in at]), label[at]
-        held = np.arange(at.size) % 3 == 0
-        model = Boosted().fit(x[~held], y[~held])
-        cut = threshold(model.probability(x[held]), y[held], PRECISION, LEAST_HELD_OUT)
-        models[k] = (model, max(cut, LEAST_CUT) if cut <= 1 else FALLBACK_CUT)
-    return models
+    """A model and a calibrated threshold of each kind, from all labelled candidates of all documents."""
+    checkpoint_dir(docs.sparkSession)
+    known = (docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit("pii")).alias("key"))
+             .mapInArrow(_known, "kind int, label int, held boolean, feature array<double>").checkpoint(eager=True))
+    written: dict[int, tuple[list, list]] = {k: ([], []) for k in range(len(KINDS))}
+    for k, label, feature in examples():
+        written[k][0].append(feature)
+        written[k][1].append(label)
+    given = {k: (np.array(x), np.array(y, dtype=float), np.arange(len(y)) % 3 == 0) for k, (x, y) in written.items()}
+    models = fit_kinds(known, given, PRECISION, LEAST_HELD_OUT)
+    return {k: (model, max(cut, LEAST_CUT) if cut <= 1 else FALLBACK_CUT) for k, (model, cut) in models.items()}
 
 
 def added(text: str, base: dict[str, list[Span]], models: dict[int, tuple[Boosted, float]]) -> dict[str, list[Span]]:

@@ -157,6 +157,40 @@ def test_pii_adds_planted_look_alikes(make_docs):
             assert (rows[i].n_added > 0) == (t in right), t
 
 
+def test_pii_learns_from_every_labelled_candidate(spark, monkeypatch):
+    """The model of a table larger than any former sample rests on all of it, whatever its partitions."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, size=(30, 3)).astype(float)
+    given = {0: (x, (x[:, 0] > 2).astype(float), np.arange(30) % 3 == 0)}
+    rows = (spark.range(60_000).select(F.lit(0).alias("kind"), (F.col("id") % 2).cast("int").alias("label"),
+                                       (F.col("id") % 3 == 0).alias("held"),
+                                       F.array((F.col("id") % 2).cast("double"), (F.col("id") % 5).cast("double"), F.lit(1.0)).alias("feature")))
+    seen = []
+    grow = boosting.Boosted.grow
+
+    def watched(self, cuts, share):
+        trainer = grow(self, cuts, share)
+        state = next(trainer)
+        while True:
+            sums = yield state
+            seen.append(int(sums[1, :, 0].sum()))
+            try:
+                state = trainer.send(sums)
+            except StopIteration:
+                return
+
+    monkeypatch.setattr(boosting.Boosted, "grow", watched)
+    monkeypatch.setattr(boosting.Boosted, "__init__", lambda self: self.__dict__.update(trees=2, depth=2, rate=0.2, least=2.0, model=[], base=0.0))
+    made = [boosting.fit_kinds(rows.repartition(n).checkpoint(), given, 0.9, 20)[0] for n in (2, 7)]
+    weight = 60_000 // (9 * 30)
+    n = 40_000 + 20 * weight
+    share = (20_000 + weight * given[0][1][~given[0][2]].sum()) / n
+    assert abs(seen[0] / boosting.ONE - n * share * (1 - share)) < 1
+    (a, cut_a), (b, cut_b) = made
+    assert cut_a == cut_b and all(np.array_equal(u, v) for s, t in zip(a.model, b.model) for u, v in zip(s, t))
+    assert a.probability(np.array([[1.0, 0, 1], [0, 0, 1]])).round().tolist() == [1, 0]
+
+
 def test_boosting_learns_and_threshold_is_calibrated():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
