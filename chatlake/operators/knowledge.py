@@ -3,28 +3,38 @@
 KB1 chunking is pure built-in higher-order functions on each text row (split,
 transform, aggregate, slice): no UDF, no shuffle, whole texts.
 
-KB4 exact retrieval deals queries and chunks into blocks of bounded rows; each
-pair of blocks meets in one task, which scores it with one matrix product and
-emits a partial top-k per query.  The final top-k is a ``row_number() <= k``
-over k rows per query and block.  No vector passes through the driver and no
-query x chunk pair is ever materialised as a row.
+KB4 exact retrieval deals queries and chunks into a square of blocks, as many as
+the tasks need and not more, so the vectors that move grow with the table.  Each
+pair of blocks meets in one task: its queries are held and its chunks stream past
+them, screened by single-precision products and compared exactly where a product
+comes near a query's k-th best.  The final top-k is a ``row_number() <= k`` over
+k rows per query and block.  No vector passes through the driver and no query x
+chunk pair is ever materialised as a row.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlake.functions.semantics import BLANK_LINE_SEP, js_trim, js_word_count
 from chatlake.operators import vector_index
+from chatlake.session import checkpoint_dir
 from chatlake.sources.lexicon import MAX_KNOWLEDGE_CHARS, MIN_KNOWLEDGE_CHARS
 
 TARGET_WORDS = 350
-# Vectors in a block of KB4: a task holds two blocks and their distances.
+# Vectors in a block of KB4, at least: smaller tables are dealt into fewer blocks.
 BLOCK_ROWS = 2048
+# Numbers in a query block of KB4, on average at most: a task holds it twice, in both precisions.
+BLOCK_VALUES = 1 << 23
+# Chunks and queries of one matrix product, and the share of its pairs above which all are compared exactly.
+TILE_ROWS, SLAB_ROWS, DENSE = 1024, 256, 0.02
 # Distances are compared after rounding to this many decimals, so engines that
 # differ in the last bits still agree on ties (broken by id).
 DIST_DECIMALS = 9
@@ -117,7 +127,6 @@ def ingest(texts: DataFrame, key: str = "doc_id", vectorise_fn=None, sep: str =
     if vectorise_fn is not None:
         # The encoder fit and the transform both read the chunks: write them once
         # (reliable checkpoint in the shared folder) instead of chunking twice.
-        from chatlake.session import checkpoint_dir
         checkpoint_dir(chunks.sparkSession)
         chunks = chunks.checkpoint(eager=True)
         chunks = vectorise_fn(chunks)
@@ -171,40 +180,128 @@ def _valid_vectors(df: DataFrame, vec: str) -> DataFrame:
     return df.where(F.col(vec).isNotNull() & F.exists(vec, lambda x: x != 0))
 
 
-def _topk_of_block(k: int):
-    def run(queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or chunks.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "dist": []}).astype(
-                {"query_id": "int64", "id": "int64", "dist": "float64"})
-        q_ids, ids = queries["query_id"].to_numpy(np.int64), chunks["id"].to_numpy(np.int64)
-        q_mat, m = _unit(queries["qv"]), _unit(chunks["embedding"])
-        dist = np.round(1.0 - m @ q_mat.T, DIST_DECIMALS)      # chunks x queries
-        kk = min(k, len(ids))
-        out_q, out_c, out_d = [], [], []
-        for j in range(q_mat.shape[0]):
-            d = dist[:, j]
-            if len(d) > kk:
-                kth = np.partition(d, kk - 1)[kk - 1]
-                cand = np.nonzero(d <= kth)[0]
-            else:
-                cand = np.arange(len(d))
-            order = cand[np.lexsort((ids[cand], d[cand]))][:kk]
-            out_q.append(np.full(len(order), q_ids[j], np.int64))
-            out_c.append(ids[order])
-            out_d.append(d[order])
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "id": np.concatenate(out_c),
-                             "dist": np.concatenate(out_d)})
+def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list column as unit vectors, and which of them are finite throughout."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    m = flat.reshape(len(column), -1)
+    with np.errstate(invalid="ignore", over="ignore"):
+        m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    return m, np.isfinite(m).all(axis=1)
+
+
+class _Nearest:
+    """The k nearest chunks of a block of queries, kept while chunks stream past.
+
+    Distances are whole numbers of the last decimal that counts.  A chunk whose
+    single-precision product lies below a query's k-th best by more than the
+    product's error cannot be among its k nearest; the others are compared in
+    double precision.
+    """
+
+    def __init__(self, ids: pa.Array, vectors: pa.Array, k: int) -> None:
+        m, finite = _unit(vectors)
+        self.query_id, self.exact, self.k = ids.filter(pa.array(finite)), m[finite], k
+        self.near = self.exact.astype(np.float32)
+        self.error = (m.shape[1] + 8) * 2.0 ** -23 + 2 * 10.0 ** -DIST_DECIMALS
+        self.dist = np.full((len(self.exact), k), np.iinfo(np.int64).max)
+        self.id = np.full((len(self.exact), k), np.iinfo(np.int64).max)
+        self.product = np.empty(SLAB_ROWS * TILE_ROWS, dtype=np.float32)
+
+    def add(self, ids: pa.Array, vectors: pa.Array) -> None:
+        m, finite = _unit(vectors)
+        ids, m = ids.to_numpy(zero_copy_only=False)[finite], m[finite]
+        for lo in range(0, len(ids), TILE_ROWS):
+            order = lo + np.argsort(ids[lo:lo + TILE_ROWS], kind="stable")
+            tile = m[order]
+            single = tile.astype(np.float32).T
+            for at in range(0, len(self.exact), SLAB_ROWS):
+                self._meet(slice(at, at + SLAB_ROWS), ids[order], tile, single)
+
+    def _meet(self, slab: slice, ids: np.ndarray, tile: np.ndarray, single: np.ndarray) -> None:
+        worst, n = self.dist[slab, -1], len(ids)
+        least = (1 - worst / 10.0 ** DIST_DECIMALS - self.error).astype(np.float32)
+        product = self.product[:len(worst) * n].reshape(len(worst), n)
+        np.matmul(self.near[slab], single, out=product)
+        near = product >= least[:, None]
+        if np.count_nonzero(near) > DENSE * near.size:
+            # ids ascend in a tile: a distance and a place in one number order like (distance, id)
+            key = _whole(self.exact[slab] @ tile.T) * n + np.arange(n)
+            k = min(self.k, n)
+            best = np.partition(key, k - 1, axis=1)[:, :k].ravel()
+            q, d, c = np.repeat(np.arange(len(worst)), k), best // n, best % n
+        else:
+            rows = np.flatnonzero(near.any(axis=1))
+            q, c = np.divmod(np.flatnonzero(near[rows].ravel()), n)
+            q = rows[q]
+            d = _whole(np.einsum("ij,ij->i", self.exact[slab][q], tile[c]))
+        in_reach = d <= worst[q]
+        q, d, i = q[in_reach], d[in_reach], ids[c[in_reach]]
+        if not q.size:
+            return
+        asked, own = np.unique(q, return_inverse=True)
+        at, k = asked + slab.start, self.k
+        own = np.concatenate([own, np.repeat(np.arange(at.size), k)])
+        d, i = np.concatenate([d, self.dist[at].ravel()]), np.concatenate([i, self.id[at].ravel()])
+        order = np.lexsort((i, d, own))
+        first = order[np.searchsorted(own[order], np.arange(at.size))[:, None] + np.arange(k)]
+        self.dist[at], self.id[at] = d[first], i[first]
+
+    def rows(self) -> pa.RecordBatch:
+        q, j = np.nonzero(self.dist < np.iinfo(np.int64).max)
+        return pa.RecordBatch.from_arrays(
+            [self.query_id.take(pa.array(q)), pa.array(self.id[q, j]), pa.array(self.dist[q, j] / 10.0 ** DIST_DECIMALS)],
+            names=["query_id", "id", "dist"])
+
+
+def _whole(cosine: np.ndarray) -> np.ndarray:
+    return np.rint((1.0 - cosine) * 10.0 ** DIST_DECIMALS).astype(np.int64)
+
+
+def _topk_of_pairs(k: int):
+    """Partial top-k of the pairs of blocks in a partition; a pair's queries come before its chunks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, asked, top = None, [], None
+        for batch in batches:
+            pairs, chunk = batch["pair"].to_numpy(), batch["chunk"].to_numpy()
+            cuts = np.flatnonzero((np.diff(pairs) != 0) | (np.diff(chunk) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if pairs[lo] != pair:
+                    if top is not None:
+                        yield top.rows()
+                    pair, asked, top = pairs[lo], [], None
+                if not chunk[lo]:
+                    asked.append(part)
+                elif asked:
+                    if top is None:
+                        held = pa.Table.from_batches(asked).combine_chunks().to_batches()[0]
+                        top, asked = _Nearest(held["id"], held["vector"], k), [part]
+                    top.add(part["id"], part["vector"])
+        if top is not None:
+            yield top.rows()
     return run
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.stack(vectors.map(lambda a: np.asarray(a, np.float64)).to_numpy())
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+def _pairs_of_blocks(q: DataFrame, c: DataFrame, block_rows: int) -> DataFrame:
+    """(pair, chunk, id, vector): each query and chunk once for each block that it meets, a pair in one partition."""
+    side = math.ceil(math.sqrt(4 * c.sparkSession.sparkContext.defaultParallelism))
+    few = F.least(F.lit(side), F.ceil(F.count(F.lit(1)) / block_rows))
+    held = F.ceil(F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0)) / BLOCK_VALUES)
+    # Scalar subqueries: no job runs while the plan is built.
+    n_q = q.agg(F.greatest(F.lit(1), few, held).cast("bigint").alias("n")).scalar()
+    n_c = c.agg(F.greatest(F.lit(1), few).cast("bigint").alias("n")).scalar()
 
+    def dealt(df: DataFrame, chunk: int) -> DataFrame:
+        own, n = F.pmod(F.xxhash64("id"), F.col("nc" if chunk else "nq")), F.col("nq" if chunk else "nc")
+        other = F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+        qb, cb = ("other", "own") if chunk else ("own", "other")
+        return (df.withColumn("nq", n_q).withColumn("nc", n_c).withColumn("own", own).withColumn("other", other)
+                .select((F.col(qb) * F.col("nc") + F.col(cb)).cast("int").alias("pair"), F.lit(chunk).alias("chunk"), "id", "vector"))
 
-def _blocks(df: DataFrame, rows: int) -> Column:
-    """Number of blocks of about ``rows`` rows, as a scalar subquery: no job runs while the plan is built."""
-    return df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows)).cast("bigint").alias("n")).scalar()
+    return (dealt(q, 0).unionByName(dealt(c, 1)).repartitionById(side * side, F.pmod("pair", F.lit(side * side)))
+            .sortWithinPartitions("pair", "chunk"))
 
 
 def semantic_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, query_key: str = "query_id",
@@ -212,21 +309,13 @@ def semantic_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, query_key:
     """KB4: the k nearest chunks (cosine distance, ties by id) for every query.
 
     Returns (query_id, rank, id, dist, tradition, content).  Chunk content is
-    joined back only for the k winners per query.
+    joined back only for the k winners per query.  Vectors that hold a NULL or a
+    number that is not finite take no part.
     """
-    q = _valid_vectors(queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("qv")), "qv")
-    c = _valid_vectors(chunks.select("id", "embedding"), "embedding")
-    n_q, n_c = _blocks(q.select("query_id"), block_rows), _blocks(c.select("id"), block_rows)
-    q = (q.withColumn("nq", n_q).withColumn("nc", n_c)
-          .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq")))
-          .withColumn("cb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nc") - 1)))
-          .select("qb", "cb", "query_id", "qv"))
-    c = (c.withColumn("nq", n_q).withColumn("nc", n_c)
-          .withColumn("cb", F.pmod(F.xxhash64("id"), F.col("nc")))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nq") - 1)))
-          .select("qb", "cb", "id", "embedding"))
-    partial = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
-               .applyInPandas(_topk_of_block(k), "query_id long, id long, dist double"))
+    q = _valid_vectors(queries.select(F.col(query_key).cast("long").alias("id"), F.col(query_vec).alias("vector")), "vector")
+    c = _valid_vectors(chunks.select(F.col("id").cast("long").alias("id"), F.col("embedding").alias("vector")), "vector")
+    met = _pairs_of_blocks(q, c, block_rows)
+    partial = met.mapInArrow(_topk_of_pairs(k), "query_id long, id long, dist double")
     w = Window.partitionBy("query_id").orderBy("dist", "id")
     top = partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     meta = chunks.select("id", "tradition", "content")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -98,6 +99,38 @@ def test_semantic_topk_matches_numpy(spark):
         assert [i for _, i in sorted(got[q])] == list(ids[order])
 
 
+def test_semantic_topk_copies_grow_with_the_table(spark):
+    """Many blocks' worth of rows: each row goes to as many blocks as the tasks need, not to one for each block of rows."""
+    side = math.ceil(math.sqrt(4 * spark.sparkContext.defaultParallelism))
+    for n in (400, 800):
+        v = spark.range(n).select("id", F.array(F.sin("id") + 2, F.cos("id")).alias("vector"))
+        met = K._pairs_of_blocks(v, v, block_rows=10)
+        assert met.count() == 2 * side * n and met.select("pair").distinct().count() == side * side
+
+
+def test_semantic_topk_ties_and_odd_vectors(spark):
+    """Many equal and nearly equal vectors; NULL and infinite numbers take no part."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 9))
+    rows = [(i, base[i % 40].tolist()) for i in range(400)]
+    rows += [(400 + i, (base[i] + 1e-7 * rng.normal(size=9)).tolist()) for i in range(40)]
+    rows = [(int(j), v) for j, (_, v) in zip(rng.permutation(len(rows)), rows)]
+    odd = [(1000, [None] + [1.0] * 8), (1001, [float("inf")] + [1.0] * 8), (1002, [0.0] * 9), (1003, None)]
+    df = spark.createDataFrame(rows + odd, "id long, embedding array<double>")
+    df = df.withColumn("tradition", F.lit("t")).withColumn("content", F.lit("c"))
+    got = {}
+    for r in K.semantic_topk(df.withColumnRenamed("id", "query_id"), df, k=7, block_rows=100).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["dist"]))
+    ids = np.array([i for i, _ in rows])
+    m = np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    d = np.round(1 - m @ m.T, K.DIST_DECIMALS)
+    assert sorted(got) == sorted(ids.tolist())
+    for at, q in enumerate(ids):
+        order = np.lexsort((ids, d[at]))[:7]
+        assert [(i, round(x, 9)) for _, i, x in sorted(got[q])] == [(ids[j], abs(d[at][j])) for j in order]
+
+
 def test_semantic_topk_without_vectors(spark):
     kc = T.knowledge_chunks(spark, SF001)
     q = kc.select(F.col("id").alias("query_id"), "embedding")
