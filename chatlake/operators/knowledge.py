@@ -334,7 +334,11 @@ def approx_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, query_key: st
     ``vector_index.build`` wrote before (default: one is built).  Vectors are
     joined to the candidate ids only (ties by id).
     """
-    index = index or vector_index.build(chunks)
+    if index is None:
+        # The index's passes and the exact re-rank all read the vectors: they are made and written once.
+        checkpoint_dir(chunks.sparkSession)
+        chunks = chunks.select("id", "embedding").checkpoint(eager=True)
+        index = vector_index.build(chunks)
     q = queries.select(F.col(query_key).cast("long").alias("query_id"), F.col("embedding").alias("qv"))
     if not index.rows:
         return q.limit(0).select("query_id", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank"))

@@ -9,6 +9,7 @@ from chatlake.operators import knowledge as K
 from chatlake.operators import text as X
 from chatlake.plans.oracle_views import with_views
 from chatlake.plans.registry import register
+from chatlake.session import checkpoint_dir
 from chatlake.sources import tables as T
 
 _TRIM = f"regexp_replace(@X@, '^{JS_WS_CLASS}+|{JS_WS_CLASS}+$', '', 'g')"
@@ -142,7 +143,9 @@ def tx6(spark, d):
 
 def approx_inputs(spark, d):
     """Chunk texts and benchmark passages, both encoded by one KB3 model."""
-    kc = T.knowledge_chunks(spark, d).select("id", "content")
+    checkpoint_dir(spark)
+    # The fit and the transform both read the texts: they are joined once.
+    kc = T.knowledge_chunks(spark, d).select("id", "content").checkpoint(eager=True)
     model = K.fit_vectoriser(kc, "content", 256)
     chunks = K.vectorise(kc, model)
     qs = K.vectorise(T.load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"),

@@ -131,6 +131,22 @@ def test_semantic_topk_ties_and_odd_vectors(spark):
         assert [(i, round(x, 9)) for _, i, x in sorted(got[q])] == [(ids[j], abs(d[at][j])) for j in order]
 
 
+def test_approx_topk_makes_texts_and_vectors_once(spark):
+    """The texts are joined once, and no pass over the vectors encodes the texts again."""
+    chunks, q = KP.approx_inputs(spark, SF001)
+    assert "Join" not in chunks._jdf.queryExecution().toString()
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def counted(v):
+        made.add(1)
+        return v
+    counted = counted.asNondeterministic()
+    vectors = chunks.select("id", "embedding").checkpoint()
+    top = K.approx_topk(q, vectors.withColumn("embedding", counted("embedding")), k=5)
+    assert top.count() > 0 and made.value == vectors.count()
+
+
 def test_semantic_topk_without_vectors(spark):
     kc = T.knowledge_chunks(spark, SF001)
     q = kc.select(F.col("id").alias("query_id"), "embedding")
