@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chatlake.functions.semantics import JS_WS_CHARS
 from chatlake.operators import knowledge as K
+from chatlake.operators import text as X
 from chatlake.operators import vector_index as V
 from chatlake.plans import knowledge_plans as KP
 from chatlake.sources import tables as T
@@ -131,6 +132,16 @@ def test_semantic_topk_ties_and_odd_vectors(spark):
         assert [(i, round(x, 9)) for _, i, x in sorted(got[q])] == [(ids[j], abs(d[at][j])) for j in order]
 
 
+def test_knowledge_block_of_many_blocks(spark):
+    """TX6 over the same search: a block for each query, its nearest chunk (itself) first."""
+    df = spark.range(300).select("id", F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("embedding"),
+                                 F.lit("t").alias("tradition"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("content"))
+    top = K.semantic_topk(df.select(F.col("id").alias("query_id"), "embedding"), df, k=3, block_rows=20)
+    rows = X.knowledge_block(top).collect()
+    assert len(rows) == 300
+    assert all(r["block"].startswith(f"\n[[{X.SOURCE_LABEL} 1]: c{r['query_id']}\n\n") for r in rows)
+
+
 def test_approx_topk_makes_texts_and_vectors_once(spark):
     """The texts are joined once, and no pass over the vectors encodes the texts again."""
     chunks, q = KP.approx_inputs(spark, SF001)
