@@ -34,7 +34,9 @@ BLOCK_ROWS = 2048
 # Numbers in a query block of KB4, on average at most: a task holds it twice, in both precisions.
 BLOCK_VALUES = 1 << 23
 # Chunks and queries of one matrix product, and the share of its pairs above which all are compared exactly.
-TILE_ROWS, SLAB_ROWS, DENSE = 1024, 256, 0.02
+TILE_ROWS, SLAB_ROWS, DENSE = 2048, 256, 0.02
+# Numbers of the pairs that await the exact comparison together.
+PENDING_VALUES = 1 << 21
 # Distances are compared after rounding to this many decimals, so engines that
 # differ in the last bits still agree on ties (broken by id).
 DIST_DECIMALS = 9
@@ -195,7 +197,8 @@ class _Nearest:
     Distances are whole numbers of the last decimal that counts.  A chunk whose
     single-precision product lies below a query's k-th best by more than the
     product's error cannot be among its k nearest; the others are compared in
-    double precision.
+    double precision.  Most queries have no such chunk in a tile, which their
+    largest product shows; the pairs left over wait for one comparison of many.
     """
 
     def __init__(self, ids: pa.Array, vectors: pa.Array, k: int) -> None:
@@ -205,46 +208,72 @@ class _Nearest:
         self.error = (m.shape[1] + 8) * 2.0 ** -23 + 2 * 10.0 ** -DIST_DECIMALS
         self.dist = np.full((len(self.exact), k), np.iinfo(np.int64).max)
         self.id = np.full((len(self.exact), k), np.iinfo(np.int64).max)
+        self.least = np.full(len(self.exact), -np.inf, dtype=np.float32)
         self.product = np.empty(SLAB_ROWS * TILE_ROWS, dtype=np.float32)
+        self.pending = max(1, PENDING_VALUES // m.shape[1])
 
     def add(self, ids: pa.Array, vectors: pa.Array) -> None:
         m, finite = _unit(vectors)
         ids, m = ids.to_numpy(zero_copy_only=False)[finite], m[finite]
         for lo in range(0, len(ids), TILE_ROWS):
             order = lo + np.argsort(ids[lo:lo + TILE_ROWS], kind="stable")
-            tile = m[order]
-            single = tile.astype(np.float32).T
-            for at in range(0, len(self.exact), SLAB_ROWS):
-                self._meet(slice(at, at + SLAB_ROWS), ids[order], tile, single)
-
-    def _meet(self, slab: slice, ids: np.ndarray, tile: np.ndarray, single: np.ndarray) -> None:
-        worst, n = self.dist[slab, -1], len(ids)
-        least = (1 - worst / 10.0 ** DIST_DECIMALS - self.error).astype(np.float32)
-        product = self.product[:len(worst) * n].reshape(len(worst), n)
-        np.matmul(self.near[slab], single, out=product)
-        near = product >= least[:, None]
-        if np.count_nonzero(near) > DENSE * near.size:
-            # ids ascend in a tile: a distance and a place in one number order like (distance, id)
-            key = _whole(self.exact[slab] @ tile.T) * n + np.arange(n)
-            k = min(self.k, n)
-            best = np.partition(key, k - 1, axis=1)[:, :k].ravel()
-            q, d, c = np.repeat(np.arange(len(worst)), k), best // n, best % n
-        else:
-            rows = np.flatnonzero(near.any(axis=1))
-            q, c = np.divmod(np.flatnonzero(near[rows].ravel()), n)
-            q = rows[q]
-            d = _whole(np.einsum("ij,ij->i", self.exact[slab][q], tile[c]))
-        in_reach = d <= worst[q]
-        q, d, i = q[in_reach], d[in_reach], ids[c[in_reach]]
+            self._meet(ids[order], m[order])
+
+    def _meet(self, ids: np.ndarray, tile: np.ndarray) -> None:
+        n, single = len(ids), np.ascontiguousarray(tile.astype(np.float32).T)
+        asked, met, waiting, k = [], [], 0, min(self.k, n)
+        for at in range(0, len(self.exact), SLAB_ROWS):
+            slab = slice(at, at + SLAB_ROWS)
+            least = self.least[slab]
+            product = self.product[:len(least) * n].reshape(len(least), n)
+            np.matmul(self.near[slab], single, out=product)
+            rows = np.flatnonzero(product.max(axis=1) >= least)
+            if not rows.size:
+                continue
+            seen = product[rows]
+            near = seen >= least[rows, None]
+            if np.count_nonzero(near) > DENSE * product.size and n > k:
+                # the tile's own k-th best product bounds its k nearest, by an error on either side
+                kth = np.partition(seen, n - k, axis=1)[:, n - k] - np.float32(2 * self.error)
+                near = seen >= np.maximum(least[rows], kth)[:, None]
+            if np.count_nonzero(near) > DENSE * product.size:
+                # ids ascend in a tile: a distance and a place in one number order like (distance, id)
+                key = _whole(self.exact[slab] @ tile.T) * n + np.arange(n)
+                best = np.partition(key, k - 1, axis=1)[:, :k].ravel()
+                self._keep(np.repeat(at + np.arange(len(least)), k), best // n, ids[best % n])
+                continue
+            q, c = np.divmod(np.flatnonzero(near.ravel()), n)
+            asked.append(at + rows[q])
+            met.append(c)
+            waiting += len(c)
+            if waiting >= self.pending:
+                self._compare(asked, met, ids, tile)
+                asked, met, waiting = [], [], 0
+        self._compare(asked, met, ids, tile)
+
+    def _compare(self, asked: list[np.ndarray], met: list[np.ndarray], ids: np.ndarray, tile: np.ndarray) -> None:
+        if asked:
+            q, c = np.concatenate(asked), np.concatenate(met)
+            self._keep(q, _whole(np.einsum("ij,ij->i", self.exact[q], tile[c])), ids[c])
+
+    def _keep(self, q: np.ndarray, d: np.ndarray, i: np.ndarray) -> None:
+        in_reach = d <= self.dist[q, -1]
+        q, d, i = q[in_reach], d[in_reach], i[in_reach]
         if not q.size:
             return
-        asked, own = np.unique(q, return_inverse=True)
-        at, k = asked + slab.start, self.k
+        at, own = np.unique(q, return_inverse=True)
+        k = self.k
         own = np.concatenate([own, np.repeat(np.arange(at.size), k)])
         d, i = np.concatenate([d, self.dist[at].ravel()]), np.concatenate([i, self.id[at].ravel()])
-        order = np.lexsort((i, d, own))
+        # own and d in one number; ids are looked at only if two of a query's distances are equal
+        key = (own << 32) + np.minimum(d, (1 << 32) - 1)
+        order = np.argsort(key)
+        ranked = key[order]
+        if (ranked[1:] == ranked[:-1]).any():
+            order = np.lexsort((i, key))
         first = order[np.searchsorted(own[order], np.arange(at.size))[:, None] + np.arange(k)]
         self.dist[at], self.id[at] = d[first], i[first]
+        self.least[at] = 1 - self.dist[at, -1] / 10.0 ** DIST_DECIMALS - self.error
 
     def rows(self) -> pa.RecordBatch:
         q, j = np.nonzero(self.dist < np.iinfo(np.int64).max)

@@ -6,6 +6,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,29 @@ def test_semantic_topk_ties_and_odd_vectors(spark):
         assert [(i, round(x, 9)) for _, i, x in sorted(got[q])] == [(ids[j], abs(d[at][j])) for j in order]
 
 
+def test_queries_of_a_block_are_merged_together(monkeypatch):
+    """A tile of chunks costs one merge for all queries of the block, not one for each slab of them."""
+    rng, merges = np.random.default_rng(12), []
+    unique = np.unique
+    monkeypatch.setattr(K.np, "unique", lambda *a, **b: merges.append(1) or unique(*a, **b))
+    base = rng.normal(size=(9000, 6)).astype(np.float32)
+    base[8000:8100], base[8100:8200] = base[:100], base[8000] + 1e-7 * rng.normal(size=(100, 6))
+    ids, queries = rng.permutation(9000), base[np.r_[0:4000, 8000:8200]]
+
+    def rows(x):
+        return pa.array(x.tolist(), pa.list_(pa.float32()))
+    top = K._Nearest(pa.array(np.arange(len(queries))), rows(queries), 4)
+    for lo in range(0, 9000, 3000):
+        top.add(pa.array(ids[lo:lo + 3000]), rows(base[lo:lo + 3000]))
+    assert len(merges) <= 3 * 6
+    q, c = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (queries.astype(np.float64), base.astype(np.float64)))
+    d = np.rint((1 - q @ c.T) * 1e9).astype(np.int64)
+    got = top.rows().to_pydict()
+    for at in [*range(0, 4000, 37), *range(4000, 4200)]:
+        order = np.lexsort((ids, d[at]))[:4]
+        assert got["query_id"][4 * at:4 * at + 4] == [at] * 4 and got["id"][4 * at:4 * at + 4] == ids[order].tolist()
+
+
 def test_knowledge_block_of_many_blocks(spark):
     """TX6 over the same search: a block for each query, its nearest chunk (itself) first."""
     df = spark.range(300).select("id", F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("embedding"),
